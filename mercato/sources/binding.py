@@ -198,6 +198,33 @@ SELECT e.event_id AS seq, e.event_id % k.n AS request_id,
             WHEN 'purchase' THEN 'pay' ELSE 'deliver' END AS kind,
        e.user_id AS actor_id, e.ts AS ts
 FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k
+""",
+    "d_slug_lookups": """
+SELECT p_partkey AS seq,
+       CASE WHEN p_partkey % 4 = 3 THEN concat('missing-', CAST(p_partkey AS STRING))
+            ELSE concat(replace(lower(p_name), ' ', '-'), '-', CAST(p_partkey AS STRING)) END AS slug
+FROM part
+""",
+    "d_service_slug_lookups": """
+SELECT s_suppkey AS seq,
+       CASE WHEN s_suppkey % 4 = 3 THEN concat('nope-', CAST(s_suppkey AS STRING))
+            ELSE concat('service-', CAST(s_suppkey AS STRING)) END AS slug
+FROM supplier
+""",
+    "d_viewers": """
+SELECT c_custkey AS id,
+       CASE c_custkey % 50 WHEN 0 THEN 'admin' WHEN 1 THEN 'editor' ELSE 'customer' END AS role,
+       c_custkey % 3 = 0 AS mine,
+       CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 150 END AS target_user_id
+FROM customer
+""",
+    "d_quote_answers": """
+SELECT e.event_id AS seq, e.event_id % k.n AS quote_id,
+       CASE WHEN e.event_id % 3 = 0 THEN e.event_id % k.n + 2 ELSE e.user_id END AS caller_id,
+       CASE WHEN e.event_id % 2 = 0 THEN 'accept' ELSE 'decline' END AS action,
+       e.ts AS ts
+FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k
+WHERE e.event_type = 'view'
 """,
 }
 

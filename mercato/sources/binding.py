@@ -225,6 +225,25 @@ SELECT e.event_id AS seq, e.event_id % k.n AS quote_id,
        e.ts AS ts
 FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k
 WHERE e.event_type = 'view'
+""",
+    "d_login_attempts": """
+SELECT event_id AS seq,
+       CASE WHEN event_id % 5 = 0 THEN concat('ghost', CAST(user_id AS STRING), '@example.com')
+            ELSE concat('USER', CAST(user_id AS STRING), '@Example.COM') END AS email,
+       ts
+FROM events WHERE event_type = 'click'
+""",
+    "d_broadcasts": """
+SELECT n_nationkey AS seq, concat('News for ', n_name) AS title, concat('An update about ', n_name) AS body,
+       CASE n_nationkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN 'editor' WHEN 2 THEN 'admin' END AS role
+FROM nation
+""",
+    "d_reads": """
+SELECT event_id AS id, CASE WHEN event_id % 35 = 0 THEN user_id + 1 ELSE user_id END AS user_id
+FROM events WHERE event_id % 5 = 0
+""",
+    "d_logins": """
+SELECT event_id AS id, user_id, ts FROM events WHERE event_type IN ('signup', 'click')
 """,
 }
 

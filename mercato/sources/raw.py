@@ -26,6 +26,7 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
     "events": _st(("event_id", _L), ("ts", _TS), ("user_id", _L), ("event_type", _S), ("value", _D),
                   ("props", _S)),
     "conversations": _st(("conv_id", _L), ("turn", _L), ("role", _S), ("text", _S)),
+    "nation": _st(("n_nationkey", _I), ("n_name", _S), ("n_regionkey", _I)),
     "pages": _st(("page_id", _L), ("url", _S), ("html", _S)),
 }
 

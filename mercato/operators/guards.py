@@ -34,14 +34,18 @@ def payable_orders(payments: DataFrame, orders: DataFrame, users: DataFrame) ->
     return j.withColumn("outcome", outcome).drop("_caller", "_order")
 
 
-def acceptable_quotes(accepts: DataFrame, quotes: DataFrame, requests: DataFrame) -> DataFrame:
+def acceptable_quotes(accepts: DataFrame, quotes: DataFrame, requests: DataFrame,
+                      services: DataFrame) -> DataFrame:
     """accepts(quote_id, caller_id, ...) -> + outcome in
-    not_found (no quote, or its request is gone) > forbidden (caller does not
-    own the request) > bad_state (status not sent/draft) > accept."""
+    not_found (no quote, or its request or service is gone) > forbidden
+    (caller does not own the request) > bad_state (status not sent/draft) >
+    accept. Carries the service title for the order item and notice."""
     q = quotes.select(F.col("id").alias("_quote"), "service_request_id", "amount_cents",
                       F.col("status").alias("quote_status"))
     r = requests.select(F.col("id").alias("_req"), F.col("user_id").alias("owner_id"), "service_id")
-    qr = q.join(r, q["service_request_id"] == r["_req"], "inner").drop("_req")
+    s = services.select(F.col("id").alias("_svc"), F.col("title").alias("service_title"))
+    qr = (q.join(r, q["service_request_id"] == r["_req"], "inner").drop("_req")
+          .join(s, F.col("service_id") == s["_svc"], "inner").drop("_svc"))
     j = accepts.join(qr, accepts["quote_id"] == qr["_quote"], "left")
     outcome = (F.when(F.col("_quote").isNull(), "not_found")
                .when(F.col("owner_id") != F.col("caller_id"), "forbidden")

@@ -146,15 +146,16 @@ def q_payable_orders(d):
 
 @register("acceptable_quotes", """
 SELECT a.seq, a.quote_id, a.caller_id, a.action, a.ts, q.service_request_id, q.amount_cents,
-       q.status AS quote_status, r.user_id AS owner_id, r.service_id,
+       q.status AS quote_status, r.user_id AS owner_id, r.service_id, s.title AS service_title,
        CASE WHEN q.id IS NULL THEN 'not_found'
             WHEN r.user_id <> a.caller_id THEN 'forbidden'
             WHEN q.status NOT IN ('sent', 'draft') THEN 'bad_state'
             ELSE 'accept' END AS outcome
 FROM d_quote_answers a
-LEFT JOIN (d_quotes q JOIN d_service_requests r ON r.id = q.service_request_id) ON q.id = a.quote_id
+LEFT JOIN (d_quotes q JOIN d_service_requests r ON r.id = q.service_request_id JOIN d_services s ON s.id = r.service_id)
+  ON q.id = a.quote_id
 WHERE a.action = 'accept'
 """)
 def q_acceptable_quotes(d):
     return guards.acceptable_quotes(d.quote_answers.where(F.col("action") == "accept"), d.quotes,
-                                    d.service_requests)
+                                    d.service_requests, d.services)

@@ -1 +1,426 @@
-"""Registered queries."""
+"""Registered bulk-change queries."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from mercato.functions.rules import EMAIL_RE, URL_RE, validate_rows, issues
+from mercato.operators import changes, guards
+from mercato.plans.registry import register
+
+NOW = dt.datetime(2024, 2, 1, 0, 0, 0)
+NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+def canon(col="issues"):
+    return F.array_join(F.col(col), ",").alias("issues_canon")
+
+
+def bad(pred: str, code: str) -> str:
+    """SQL: the issue code when ``pred`` is not true."""
+    return f"CASE WHEN NOT coalesce({pred}, false) THEN '{code}' END"
+
+
+def opt(col: str, pred: str, code: str) -> str:
+    return f"CASE WHEN {col} IS NOT NULL AND NOT coalesce({pred}, false) THEN '{code}' END"
+
+
+REGISTER_ISSUES = "concat_ws(',', " + ", ".join([
+    bad(f"regexp_matches(email, '{EMAIL_RE}')", "email"),
+    bad("length(password) >= 8", "password"),
+    bad("length(name) BETWEEN 2 AND 80", "name")]) + ")"
+
+PRODUCT_ISSUES = "concat_ws(',', " + ", ".join([
+    bad("length(slug) >= 3", "slug"), bad("length(title) >= 3", "title"),
+    bad("length(description) >= 10", "description"), bad("price_cents IS NOT NULL AND price_cents >= 0", "price"),
+    opt("cover_image_url", f"regexp_matches(cover_image_url, '{URL_RE}')", "cover_image_url"),
+    opt("digital_file_url", f"regexp_matches(digital_file_url, '{URL_RE}')", "digital_file_url")]) + ")"
+
+
+@register("validate_rows", f"""
+SELECT seq, {REGISTER_ISSUES} AS issues_canon, {REGISTER_ISSUES} = '' AS valid FROM d_registrations
+""")
+def q_validate_rows(d):
+    """Registration rule set: every issue of every row."""
+    good, rejects = validate_rows(d.registrations, "register")
+    return (good.select("seq", F.lit("").alias("issues_canon"), F.lit(True).alias("valid"))
+            .unionByName(rejects.select("seq", canon(), F.lit(False).alias("valid"))))
+
+
+@register("validate_products", f"""
+SELECT seq, {PRODUCT_ISSUES} AS issues_canon FROM d_product_inserts
+""")
+def q_validate_products(d):
+    """Product rule set (incl. optional URL fields)."""
+    return d.product_inserts.select("seq", F.array_join(issues("product"), ",").alias("issues_canon"))
+
+
+_REG = ("reg", f"""
+WITH r AS (SELECT seq, lower(email) AS email, {REGISTER_ISSUES} AS issues_canon FROM d_registrations),
+x AS (SELECT r.*, EXISTS (SELECT 1 FROM d_users u WHERE lower(u.email) = r.email) AS taken FROM r),
+w AS (SELECT email, min(seq) AS first_seq FROM x WHERE issues_canon = '' AND NOT taken GROUP BY email)
+SELECT x.seq, x.email,
+       CASE WHEN x.issues_canon <> '' THEN 'invalid' WHEN x.taken OR x.seq <> w.first_seq THEN 'conflict'
+            ELSE 'created' END AS outcome,
+       x.issues_canon,
+       CASE WHEN x.issues_canon = '' AND NOT x.taken AND x.seq = w.first_seq
+            THEN sha256(concat_ws('~', 'user', x.email)) END AS user_id
+FROM x LEFT JOIN w ON w.email = x.email
+""")
+
+
+@register("register_users", "SELECT * FROM reg", _REG)
+def q_register_users(d):
+    _, outcomes = changes.register_users(d.registrations, d.users, NOW)
+    return outcomes.select("seq", "email", "outcome", canon(), "user_id")
+
+
+_CATALOG_X = ("cx", f"""
+SELECT i.*, {PRODUCT_ISSUES} AS issues_canon,
+       EXISTS (SELECT 1 FROM d_products p WHERE p.slug = i.slug) AS taken
+FROM d_product_inserts i
+""")
+_CATALOG_O = ("co", """
+SELECT cx.*, CASE WHEN cx.issues_canon <> '' THEN 'invalid'
+                  WHEN cx.taken OR cx.seq <> w.first_seq THEN 'conflict' ELSE 'created' END AS outcome
+FROM cx LEFT JOIN (SELECT slug, min(seq) AS first_seq FROM cx WHERE issues_canon = '' AND NOT taken GROUP BY slug) w
+  ON w.slug = cx.slug
+""")
+
+
+@register("insert_catalog", """
+SELECT seq, slug, outcome, issues_canon,
+       CASE WHEN outcome = 'created' THEN sha256(concat_ws('~', 'product', slug)) END AS new_id
+FROM co
+""", _CATALOG_X, _CATALOG_O)
+def q_insert_catalog(d):
+    _, outcomes = changes.insert_catalog(d.product_inserts, d.products, "product", NOW)
+    return outcomes.select("seq", "slug", "outcome", canon(), "new_id")
+
+
+@register("append_with_defaults", f"""
+SELECT sha256(concat_ws('~', 'product', slug)) AS id, slug, title, description, price_cents,
+       coalesce(is_active, true) AS is_active, sku, coalesce(tags, CAST([] AS VARCHAR[])) AS tags,
+       cover_image_url, digital_file_url, {NOW_SQL} AS created_at, {NOW_SQL} AS updated_at
+FROM co WHERE outcome = 'created'
+""", _CATALOG_X, _CATALOG_O)
+def q_append_with_defaults(d):
+    """Product rows as inserted: defaults for is_active, tags and timestamps."""
+    inserts, _ = changes.insert_catalog(d.product_inserts, d.products, "product", NOW)
+    return inserts
+
+
+_PATCH_P = ("pp", """
+SELECT pp.*,
+       concat_ws(',', CASE WHEN slug IS NOT NULL AND NOT coalesce(length(slug) >= 3, false) THEN 'slug' END,
+                      CASE WHEN title IS NOT NULL AND NOT coalesce(length(title) >= 3, false) THEN 'title' END,
+                      CASE WHEN price_cents IS NOT NULL AND NOT coalesce(price_cents >= 0, false) THEN 'price' END) AS issues_canon,
+       CAST(slug IS NOT NULL AS INT) + CAST(title IS NOT NULL AS INT) + CAST(price_cents IS NOT NULL AS INT) AS n_given,
+       EXISTS (SELECT 1 FROM d_products t WHERE t.id = pp.id) AS found,
+       EXISTS (SELECT 1 FROM d_products t WHERE t.slug = pp.slug AND t.id <> pp.id) AS clash
+FROM d_product_patches pp
+""")
+_PATCH_O = ("po", """
+SELECT p.*, CASE WHEN p.issues_canon <> '' THEN 'invalid'
+                 WHEN p.slug IS NOT NULL AND (p.clash OR (w.claim IS NOT NULL AND p.id > w.claim)) THEN 'conflict'
+                 WHEN p.n_given = 0 THEN 'no_updates' WHEN NOT p.found THEN 'not_found' ELSE 'updated' END AS outcome
+FROM pp p LEFT JOIN (SELECT slug, min(id) AS claim FROM pp
+                     WHERE issues_canon = '' AND slug IS NOT NULL AND NOT clash AND found GROUP BY slug) w
+  ON w.slug = p.slug
+""")
+
+
+def _product_patch(d):
+    return changes.apply_patches(d.products, d.product_patches, ["slug", "title", "price_cents"], "slug", NOW,
+                                 rules=changes.patch_rules("product"))
+
+
+@register("apply_patches", "SELECT id, outcome, issues_canon FROM po", _PATCH_P, _PATCH_O)
+def q_apply_patches(d):
+    """Outcome of every product patch."""
+    _, outcomes = _product_patch(d)
+    return outcomes.select("id", "outcome", canon())
+
+
+@register("patched_products", f"""
+SELECT t.id, coalesce(u.slug, t.slug) AS slug, coalesce(u.title, t.title) AS title,
+       coalesce(u.price_cents, t.price_cents) AS price_cents, t.is_active,
+       CASE WHEN u.id IS NOT NULL THEN {NOW_SQL} ELSE t.updated_at END AS updated_at
+FROM d_products t LEFT JOIN (SELECT * FROM po WHERE outcome = 'updated') u ON u.id = t.id
+""", _PATCH_P, _PATCH_O)
+def q_patched_products(d):
+    """Products table after the patch batch."""
+    table, _ = _product_patch(d)
+    return table.select("id", "slug", "title", "price_cents", "is_active", "updated_at")
+
+
+_UPATCH = ("up", f"""
+  SELECT up.id, lower(up.email) AS email, up.name, up.role,
+         concat_ws(',', CASE WHEN email IS NOT NULL AND NOT coalesce(regexp_matches(lower(email), '{EMAIL_RE}'), false) THEN 'email' END,
+                        CASE WHEN name IS NOT NULL AND NOT coalesce(length(name) >= 2, false) THEN 'name' END,
+                        CASE WHEN role IS NOT NULL AND NOT coalesce(role IN ('customer', 'editor', 'admin'), false) THEN 'role' END) AS issues_canon,
+         CAST(email IS NOT NULL AS INT) + CAST(name IS NOT NULL AS INT) + CAST(role IS NOT NULL AS INT) AS n_given,
+         EXISTS (SELECT 1 FROM d_users t WHERE t.id = up.id) AS found,
+         EXISTS (SELECT 1 FROM d_users t WHERE t.email = lower(up.email) AND t.id <> up.id) AS clash
+  FROM d_user_patches up
+""")
+
+
+@register("apply_user_patches", """
+SELECT p.id, CASE WHEN p.issues_canon <> '' THEN 'invalid'
+                  WHEN p.email IS NOT NULL AND (p.clash OR (w.claim IS NOT NULL AND p.id > w.claim)) THEN 'conflict'
+                  WHEN p.n_given = 0 THEN 'no_updates' WHEN NOT p.found THEN 'not_found' ELSE 'updated' END AS outcome,
+       p.issues_canon
+FROM up p LEFT JOIN (SELECT email, min(id) AS claim FROM up
+                  WHERE issues_canon = '' AND email IS NOT NULL AND NOT clash AND found GROUP BY email) w
+  ON w.email = p.email
+""", _UPATCH)
+def q_apply_user_patches(d):
+    """Admin user updates: email lower-cased and unique, no updated_at on users."""
+    _, outcomes = changes.apply_patches(
+        d.users, d.user_patches, ["email", "name", "role"], "email", NOW,
+        rules=changes.patch_rules("user"), touch=None, normalize={"email": F.lower("email")})
+    return outcomes.select("id", "outcome", canon())
+
+
+@register("create_requests", """
+SELECT r.seq,
+       CASE WHEN u.id IS NULL THEN 'unauthorized' WHEN u.role IN ('admin', 'editor') THEN 'forbidden'
+            WHEN NOT (coalesce(r.service_id >= 0, false) AND coalesce(json_valid(r.brief), false)
+                      AND coalesce(ltrim(r.brief) LIKE '{%', false)) THEN 'invalid'
+            WHEN s.id IS NULL THEN 'not_found' ELSE 'created' END AS outcome,
+       CASE WHEN u.id IS NOT NULL AND u.role NOT IN ('admin', 'editor') AND r.service_id >= 0 AND json_valid(r.brief)
+                 AND ltrim(r.brief) LIKE '{%' AND s.id IS NOT NULL
+            THEN sha256(concat_ws('~', 'request', CAST(r.seq AS VARCHAR))) END AS request_id
+FROM d_request_rows r LEFT JOIN d_users u ON u.id = r.user_id
+LEFT JOIN (SELECT id FROM d_services WHERE is_active) s ON s.id = r.service_id
+""")
+def q_create_requests(d):
+    _, outcomes = changes.create_requests(d.request_rows, d.users, d.services)
+    return outcomes
+
+
+_MSG_OUT = ("mo", f"""
+SELECT m.seq, m.request_id, m.sender_id, u.role AS caller_role, sr.user_id AS owner_id, m.ts,
+       CASE WHEN u.id IS NULL THEN 'unauthorized'
+            WHEN NOT (coalesce(length(m.body) >= 1, false) AND (m.attachments IS NULL OR NOT EXISTS (
+                 SELECT 1 FROM unnest(m.attachments) t(x) WHERE NOT coalesce(regexp_matches(x, '{URL_RE}'), false))))
+                 THEN 'invalid'
+            WHEN sr.id IS NULL THEN 'not_found'
+            WHEN sr.user_id <> m.sender_id AND u.role NOT IN ('admin', 'editor') THEN 'forbidden'
+            ELSE 'created' END AS outcome
+FROM d_message_posts m LEFT JOIN d_users u ON u.id = m.sender_id
+LEFT JOIN d_service_requests sr ON sr.id = m.request_id
+""")
+
+
+@register("post_messages", """
+SELECT seq, request_id, sender_id, caller_role, owner_id, ts, outcome,
+       CASE WHEN outcome = 'created' THEN sha256(concat_ws('~', 'message', CAST(seq AS VARCHAR))) END AS message_id
+FROM mo
+""", _MSG_OUT)
+def q_post_messages(d):
+    _, outcomes = changes.post_messages(d.message_posts, d.service_requests, d.users)
+    return outcomes
+
+
+_DLV_OUT = ("dvo", f"""
+SELECT p.seq, p.request_id, p.actor_id, sr.user_id AS owner_id, p.ts,
+       CASE WHEN u.id IS NULL THEN 'unauthorized' WHEN NOT coalesce(u.role IN ('admin', 'editor'), false) THEN 'forbidden'
+            WHEN NOT (coalesce(length(p.title) >= 2, false) AND coalesce(regexp_matches(p.file_url, '{URL_RE}'), false))
+                 THEN 'invalid'
+            WHEN sr.id IS NULL THEN 'not_found' ELSE 'created' END AS outcome
+FROM d_deliverable_posts p LEFT JOIN d_users u ON u.id = p.actor_id
+LEFT JOIN d_service_requests sr ON sr.id = p.request_id
+""")
+
+
+@register("post_deliverables", """
+SELECT seq, request_id, actor_id, owner_id, ts, outcome,
+       CASE WHEN outcome = 'created' THEN sha256(concat_ws('~', 'deliverable', CAST(seq AS VARCHAR))) END AS deliverable_id
+FROM dvo
+""", _DLV_OUT)
+def q_post_deliverables(d):
+    _, outcomes = changes.post_deliverables(d.deliverable_posts, d.service_requests, d.users)
+    return outcomes
+
+
+_QUOTE_OUT = ("qo", """
+SELECT p.seq, p.request_id, p.actor_id, sr.user_id AS owner_id, p.amount_cents, p.notes, p.ts,
+       CASE WHEN u.id IS NULL THEN 'unauthorized' WHEN NOT coalesce(u.role IN ('admin', 'editor'), false) THEN 'forbidden'
+            WHEN NOT coalesce(p.amount_cents >= 0, false) THEN 'invalid'
+            WHEN sr.id IS NULL THEN 'not_found' ELSE 'accepted' END AS outcome
+FROM d_quote_posts p LEFT JOIN d_users u ON u.id = p.actor_id
+LEFT JOIN d_service_requests sr ON sr.id = p.request_id
+""")
+
+
+@register("submit_quotes", "SELECT * FROM qo", _QUOTE_OUT)
+def q_submit_quotes(d):
+    return changes.submit_quotes(d.quote_posts, d.service_requests, d.users)
+
+
+_STATUS_OUT = ("so", """
+SELECT p.seq, p.request_id, p.actor_id, p.status, p.ts,
+       CASE WHEN u.id IS NULL THEN 'unauthorized' WHEN NOT coalesce(u.role IN ('admin', 'editor'), false) THEN 'forbidden'
+            WHEN NOT coalesce(p.status IN ('open', 'needs_info', 'quoted', 'paid', 'in_progress', 'delivered',
+                                          'completed', 'declined'), false) THEN 'invalid'
+            WHEN sr.id IS NULL THEN 'not_found' ELSE 'updated' END AS outcome
+FROM d_status_posts p LEFT JOIN d_users u ON u.id = p.actor_id
+LEFT JOIN d_service_requests sr ON sr.id = p.request_id
+""")
+
+
+@register("set_status", "SELECT * FROM so", _STATUS_OUT)
+def q_set_status(d):
+    return changes.set_status(d.status_posts, d.service_requests, d.users)
+
+
+_DECLINE_OUT = ("dco", """
+SELECT a.seq, a.quote_id, a.caller_id, qo.service_request_id, qo.owner_id, a.ts,
+       CASE WHEN qo.id IS NULL THEN 'not_found' WHEN qo.owner_id <> a.caller_id THEN 'forbidden' ELSE 'declined' END AS outcome
+FROM d_quote_answers a
+LEFT JOIN (SELECT q.id, q.service_request_id, sr.user_id AS owner_id FROM d_quotes q
+           JOIN d_service_requests sr ON sr.id = q.service_request_id) qo ON qo.id = a.quote_id
+WHERE a.action = 'decline'
+""")
+
+
+@register("decline_quotes", "SELECT * FROM dco", _DECLINE_OUT)
+def q_decline_quotes(d):
+    declines = d.quote_answers.where(F.col("action") == "decline").select("seq", "quote_id", "caller_id", "ts")
+    _, outcomes = changes.decline_quotes(declines, d.quotes, d.service_requests)
+    return outcomes
+
+
+_ACCEPT_OUT = ("aco", """
+SELECT a.seq, a.quote_id, a.caller_id, a.ts, x.service_request_id, x.amount_cents, x.service_id, x.service_title,
+       CASE WHEN x.id IS NULL THEN 'not_found' WHEN x.user_id <> a.caller_id THEN 'forbidden'
+            WHEN x.status NOT IN ('sent', 'draft') THEN 'bad_state' ELSE 'accept' END AS outcome0
+FROM d_quote_answers a
+LEFT JOIN (SELECT q.id, q.service_request_id, q.amount_cents, q.status, sr.user_id, sr.service_id, s.title AS service_title
+           FROM d_quotes q JOIN d_service_requests sr ON sr.id = q.service_request_id
+           JOIN d_services s ON s.id = sr.service_id) x ON x.id = a.quote_id
+WHERE a.action = 'accept'
+""")
+_ACCEPT_FINAL = ("acf", """
+SELECT aco.*, CASE WHEN outcome0 = 'accept' AND seq <> w.first_seq THEN 'bad_state' ELSE outcome0 END AS outcome
+FROM aco LEFT JOIN (SELECT quote_id, min(seq) AS first_seq FROM aco WHERE outcome0 = 'accept' GROUP BY quote_id) w
+  ON w.quote_id = aco.quote_id
+""")
+
+
+@register("order_from_quote", """
+SELECT sha256(concat_ws('~', 'quote-order', CAST(seq AS VARCHAR))) AS id, caller_id AS user_id, 'pending' AS status,
+       amount_cents AS total_cents, 'service' AS type, ts AS created_at, service_request_id,
+       sha256(concat_ws('~', 'quote-item', CAST(seq AS VARCHAR))) AS item_id, service_title AS item_title
+FROM acf WHERE outcome = 'accept'
+""", _ACCEPT_OUT, _ACCEPT_FINAL)
+def q_order_from_quote(d):
+    """Pending service orders (one item each) created by accepted quotes."""
+    acc = accepted_quotes(d)
+    orders_df, items_df = changes_order_from_quote(acc, d)
+    return (orders_df.join(items_df.select(F.col("order_id").alias("_o"), F.col("id").alias("item_id"),
+                                           F.col("title").alias("item_title")), F.col("id") == F.col("_o"))
+            .drop("_o"))
+
+
+def accepted_quotes(d):
+    """Quote accepts that pass the guard; of several accepts of one quote in a
+    batch only the first (by seq) succeeds, later ones find it accepted."""
+    checked = guards.acceptable_quotes(d.quote_answers.where(F.col("action") == "accept"), d.quotes,
+                                       d.service_requests, d.services)
+    checked = changes.first_claim(checked, "quote_id", "seq", F.col("outcome") == "accept")
+    return checked.withColumn("outcome", F.when((F.col("outcome") == "accept") & (F.col("seq") != F.col("_claim_order")),
+                                                "bad_state").otherwise(F.col("outcome")))
+
+
+def changes_order_from_quote(acc, d):
+    from mercato.operators.orders import order_from_quote
+
+    ok = acc.where(F.col("outcome") == "accept").select(
+        F.col("seq").alias("quote_id"), "caller_id", "service_request_id", "amount_cents", "service_id", "ts")
+    return order_from_quote(ok, d.services)
+
+
+_PAY_OUT = ("pyo", """
+SELECT p.order_id, p.caller_id, p.paid_at, o.user_id AS owner_id, o.type AS order_type, o.service_request_id,
+       CASE WHEN u.id IS NULL THEN 'unauthorized' WHEN o.id IS NULL THEN 'not_found'
+            WHEN o.user_id <> p.caller_id AND u.role = 'customer' THEN 'forbidden'
+            WHEN o.status = 'paid' THEN 'already_paid' ELSE 'pay' END AS outcome
+FROM d_payments p LEFT JOIN d_users u ON u.id = p.caller_id LEFT JOIN d_orders o ON o.id = p.order_id
+""")
+_PAID = ("paid", """
+SELECT order_id, min(owner_id) AS owner_id, min(order_type) AS order_type, min(service_request_id) AS service_request_id,
+       min(paid_at) AS paid_at
+FROM pyo WHERE outcome = 'pay' GROUP BY order_id
+""")
+
+_EVENTS = ("ev", """
+SELECT request_id, status, ts, seq FROM so WHERE outcome = 'updated'
+UNION ALL SELECT request_id, 'quoted', ts, seq FROM qo WHERE outcome = 'accepted'
+UNION ALL SELECT service_request_id, 'in_progress', ts, seq FROM acf WHERE outcome = 'accept'
+UNION ALL SELECT service_request_id, 'declined', ts, seq FROM dco WHERE outcome = 'declined'
+UNION ALL SELECT request_id, 'delivered', ts, seq FROM dvo WHERE outcome = 'created'
+UNION ALL SELECT service_request_id, 'paid', paid_at, order_id FROM paid
+  WHERE order_type = 'service' AND service_request_id IS NOT NULL
+""")
+
+
+@register("request_status", """
+SELECT r.id, coalesce(l.status, r.status) AS status, coalesce(l.ts, r.updated_at) AS updated_at
+FROM d_service_requests r
+LEFT JOIN (SELECT request_id, arg_max(status, ts_seq) AS status, max(ts) AS ts
+           FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || lpad(CAST(seq AS VARCHAR), 20, '0') || status AS ts_seq FROM ev)
+           GROUP BY request_id) l ON l.request_id = r.id
+""", _STATUS_OUT, _QUOTE_OUT, _ACCEPT_OUT, _ACCEPT_FINAL, _DECLINE_OUT, _DLV_OUT, _PAY_OUT, _PAID, _EVENTS)
+def q_request_status(d):
+    """Request statuses after one batch of every transition: staff status
+    posts, quotes, accepts, declines, deliverables and service payments."""
+    return changes.request_status(d.service_requests, status_events(d)).select("id", "status", "updated_at")
+
+
+def status_events(d):
+    from mercato.operators.orders import apply_payments
+
+    so = changes.set_status(d.status_posts, d.service_requests, d.users)
+    qo = changes.submit_quotes(d.quote_posts, d.service_requests, d.users)
+    acc = accepted_quotes(d)
+    declines = d.quote_answers.where(F.col("action") == "decline").select("seq", "quote_id", "caller_id", "ts")
+    _, dco = changes.decline_quotes(declines, d.quotes, d.service_requests)
+    _, dvo = changes.post_deliverables(d.deliverable_posts, d.service_requests, d.users)
+    _, paid = apply_payments(guards.payable_orders(d.payments, d.orders, d.users), d.orders)
+    ev = lambda df, rid, status, ts, seq: df.select(
+        F.col(rid).alias("request_id"), (F.col(status) if status in df.columns else F.lit(status)).alias("status"),
+        F.col(ts).alias("ts"), F.col(seq).cast("long").alias("seq"))
+    return (ev(so.where(F.col("outcome") == "updated"), "request_id", "status", "ts", "seq")
+            .unionByName(ev(qo.where(F.col("outcome") == "accepted"), "request_id", "quoted", "ts", "seq"))
+            .unionByName(ev(acc.where(F.col("outcome") == "accept"), "service_request_id", "in_progress", "ts", "seq"))
+            .unionByName(ev(dco.where(F.col("outcome") == "declined"), "service_request_id", "declined", "ts", "seq"))
+            .unionByName(ev(dvo.where(F.col("outcome") == "created"), "request_id", "delivered", "ts", "seq"))
+            .unionByName(ev(paid.where((F.col("order_type") == "service") & F.col("service_request_id").isNotNull()),
+                            "service_request_id", "paid", "paid_at", "order_id")))
+
+
+@register("audit_events", """
+SELECT sha256(concat_ws('~', 'audit', action, CAST(src AS VARCHAR))) AS id, actor_user_id, action, 'user' AS entity,
+       actor_user_id AS entity_id, meta, created_at
+FROM (SELECT a.seq AS src, CAST(u.id AS VARCHAR) AS actor_user_id, 'user.login' AS action,
+             CAST(json_object('email', lower(a.email)) AS VARCHAR) AS meta, a.ts AS created_at
+      FROM d_login_attempts a JOIN d_users u ON u.email = lower(a.email)
+      UNION ALL
+      SELECT seq, user_id, 'user.register', CAST(json_object('email', email) AS VARCHAR), TIMESTAMP '2024-02-01 00:00:00'
+      FROM reg WHERE outcome = 'created')
+""", _REG)
+def q_audit_events(d):
+    """Audit rows of successful logins and registrations."""
+    from mercato.operators.audit import audit_events
+    from mercato.operators.keys import account_by_email
+
+    logins = account_by_email(d.login_attempts, d.users).where(F.col("outcome") == "ok").select(
+        "seq", "user_id", F.col("normalized_email").alias("email"), "ts")
+    _, reg = changes.register_users(d.registrations, d.users, NOW)
+    regs = reg.where(F.col("outcome") == "created").select("seq", "user_id", "email", F.lit(NOW).alias("ts"))
+    return audit_events(logins, regs)

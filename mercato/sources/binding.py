@@ -244,6 +244,57 @@ FROM events WHERE event_id % 5 = 0
 """,
     "d_logins": """
 SELECT event_id AS id, user_id, ts FROM events WHERE event_type IN ('signup', 'click')
+""",
+    "d_request_rows": """
+SELECT e.event_id AS seq, e.user_id + 1 AS user_id, e.event_id % (k.n + 5) AS service_id,
+       CASE WHEN e.event_id % 9 = 0 THEN 'not json' ELSE concat('{"note":"n', CAST(e.event_id % 7 AS STRING), '"}') END AS brief,
+       e.ts AS ts
+FROM events e CROSS JOIN (SELECT count(*) AS n FROM supplier) k WHERE e.event_type = 'error'
+""",
+    "d_message_posts": """
+SELECT c.conv_id * 100 + c.turn AS seq,
+       CASE WHEN c.turn % 7 = 6 THEN c.conv_id + 1000 ELSE c.conv_id END AS request_id,
+       CASE c.role WHEN 'user' THEN c.conv_id + 2 WHEN 'assistant' THEN 50 * (c.turn % 3 + 1) ELSE c.conv_id + 3 END AS sender_id,
+       CASE WHEN c.turn % 11 = 10 THEN '' ELSE c.text END AS body,
+       CASE WHEN c.turn % 5 = 4 THEN split('not-a-url', ',')
+            WHEN c.turn % 5 = 3 THEN split(concat('https://files.example.com/a/', CAST(c.conv_id AS STRING)), ',') END AS attachments,
+       e.ts AS ts
+FROM conversations c JOIN events e ON e.event_id = c.conv_id * 8 + c.turn
+""",
+    "d_deliverable_posts": """
+SELECT p.page_id AS seq, p.page_id % (k.n + 3) AS request_id,
+       CASE WHEN p.page_id % 4 = 0 THEN p.page_id % 1500 + 2 ELSE 50 * (p.page_id % 3 + 1) END AS actor_id,
+       CASE WHEN p.page_id % 11 = 0 THEN 'x' ELSE concat('Deliverable ', CAST(p.page_id AS STRING)) END AS title,
+       CASE WHEN p.page_id % 2 = 0 THEN 'Final files' END AS description,
+       CASE WHEN p.page_id % 13 = 0 THEN 'ftp:/bad' ELSE p.url END AS file_url,
+       e.ts AS ts
+FROM pages p CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k JOIN events e ON e.event_id = p.page_id
+""",
+    "d_quote_posts": """
+SELECT e.event_id AS seq, e.event_id % (k.n + 3) AS request_id,
+       CASE WHEN e.event_id % 6 = 0 THEN e.user_id + 2 ELSE 50 * (e.event_id % 3 + 1) END AS actor_id,
+       CASE WHEN e.event_id % 13 = 0 THEN -5 ELSE CAST(round(e.value * 100) AS INT) END AS amount_cents,
+       CASE WHEN e.event_id % 2 = 0 THEN e.props END AS notes, e.ts AS ts
+FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k WHERE e.event_type = 'purchase'
+""",
+    "d_status_posts": """
+SELECT e.event_id AS seq, e.event_id % (k.n + 3) AS request_id,
+       CASE WHEN e.event_id % 5 = 0 THEN e.user_id + 2 ELSE 100 END AS actor_id,
+       CASE e.event_id % 9 WHEN 0 THEN 'open' WHEN 1 THEN 'needs_info' WHEN 2 THEN 'quoted' WHEN 3 THEN 'paid'
+            WHEN 4 THEN 'in_progress' WHEN 5 THEN 'delivered' WHEN 6 THEN 'completed' WHEN 7 THEN 'declined'
+            ELSE 'bogus' END AS status,
+       e.ts AS ts
+FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k WHERE e.event_type = 'error'
+""",
+    "d_user_patches": """
+SELECT c_custkey + CASE WHEN c_custkey % 40 = 0 THEN 1000000 ELSE 0 END AS id,
+       CASE WHEN c_custkey % 10 = 0 THEN 'Taken@Example.com'
+            WHEN c_custkey % 10 = 1 THEN concat('user', CAST(c_custkey + 1 AS STRING), '@example.com')
+            WHEN c_custkey % 10 = 2 THEN 'bad-email' END AS email,
+       CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, ' Jr') END AS name,
+       CASE WHEN c_custkey % 7 = 0 THEN 'editor' WHEN c_custkey % 7 = 1 THEN 'owner' END AS role,
+       CAST(NULL AS STRING) AS password
+FROM customer
 """,
 }
 

@@ -61,13 +61,13 @@ def _recipients(users: DataFrame, k: int) -> Column:
     """Uncorrelated scalar subquery: the array of the k staff to notify
     (k rows at most, a proven bound; no join with the event rows)."""
     s = staff_sample(users, k)
-    return s.agg(F.array_sort(F.collect_list(F.struct(F.col("created_at").alias("c"), F.col("id").alias("i"))))
-                 .alias("r")).scalar()
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("created_at").alias("c"), F.col("id").alias("i"))))
+    return s.agg(F.transform(ordered, lambda x: x["i"]).alias("r")).scalar()
 
 
 def quote_accepted(accepts: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
     """accepts(seq, caller_name, service_title, service_request_id, order_id, ts) -> k staff each."""
-    e = accepts.withColumn("_staff", F.explode(F.transform(_recipients(users, k), lambda x: x["i"])))
+    e = accepts.withColumn("_staff", F.explode(_recipients(users, k)))
     body = F.concat(F.col("caller_name"), F.lit(" accepted a quote for "), F.col("service_title"), F.lit("."))
     return _rows(e, "quote_accepted", F.col("seq"), F.col("_staff"), *QUOTE_ACCEPTED, body,
                  F.struct(F.col("service_request_id").alias("requestId"), F.col("order_id").alias("orderId")),
@@ -76,7 +76,7 @@ def quote_accepted(accepts: DataFrame, users: DataFrame, k: int = 10) -> DataFra
 
 def quote_declined(declines: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
     """declines(seq, caller_name, service_request_id, quote_id, ts) -> k staff each."""
-    e = declines.withColumn("_staff", F.explode(F.transform(_recipients(users, k), lambda x: x["i"])))
+    e = declines.withColumn("_staff", F.explode(_recipients(users, k)))
     body = F.concat(F.col("caller_name"), F.lit(" declined the quote."))
     return _rows(e, "quote_declined", F.col("seq"), F.col("_staff"), *QUOTE_DECLINED, body,
                  F.struct(F.col("service_request_id").alias("requestId"), F.col("quote_id").alias("quoteId")),

@@ -1 +1,280 @@
-"""Registered queries."""
+"""Registered notification branches, the feed, deletes, export, integrity."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from mercato.operators import changes, guards, integrity, notify, requests
+from mercato.operators.orders import apply_payments
+from mercato.plans.q_changes import (_ACCEPT_FINAL, _ACCEPT_OUT, _DECLINE_OUT, _DLV_OUT, _MSG_OUT, _PAID, _PAY_OUT,
+                                     _QUOTE_OUT, accepted_quotes)
+from mercato.plans.registry import register
+from mercato.sources.domain import load_tables_from_binding
+
+NOW = dt.datetime(2024, 2, 1, 0, 0, 0)
+
+
+def _nid(branch: str, src: str, to: str) -> str:
+    return f"sha256(concat_ws('~', 'notification', '{branch}', CAST({src} AS VARCHAR), CAST({to} AS VARCHAR)))"
+
+
+_STAFF10 = "(SELECT id FROM d_users WHERE role IN ('admin', 'editor') ORDER BY created_at ASC NULLS LAST, id ASC LIMIT 10)"
+_STAFF1 = "(SELECT id FROM d_users WHERE role IN ('admin', 'editor') ORDER BY created_at ASC NULLS LAST, id ASC LIMIT 1)"
+
+_FIRST_SUB = ("fsub", """
+SELECT request_id, arg_min(seq, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || lpad(CAST(seq AS VARCHAR), 20, '0')) AS first_seq
+FROM qo WHERE outcome = 'accepted' GROUP BY request_id
+""")
+
+BRANCH_SQL = {
+    "order_ready": (f"""
+SELECT {_nid('order_ready', 'order_id', 'owner_id')} AS id, owner_id AS user_id, 'order' AS type,
+       'Digital order ready' AS title, 'Your digital purchase is ready to download.' AS body,
+       CAST(json_object('orderId', order_id) AS VARCHAR) AS meta, CAST(NULL AS TIMESTAMP) AS read_at,
+       paid_at AS created_at, 'order_ready' AS branch
+FROM paid WHERE order_type = 'digital'
+""", [_PAY_OUT, _PAID]),
+    "quote_ready": (f"""
+SELECT {_nid('quote_ready', 'a.seq', 'a.owner_id')} AS id, a.owner_id AS user_id, 'quote' AS type,
+       'Quote ready' AS title, 'A new quote is ready for your review.' AS body,
+       CAST(json_object('requestId', a.request_id, 'quoteId', coalesce(q.id, f.first_seq)) AS VARCHAR) AS meta,
+       CAST(NULL AS TIMESTAMP) AS read_at, a.ts AS created_at, 'quote_ready' AS branch
+FROM qo a LEFT JOIN d_quotes q ON q.service_request_id = a.request_id
+LEFT JOIN fsub f ON f.request_id = a.request_id
+WHERE a.outcome = 'accepted'
+""", [_QUOTE_OUT, _FIRST_SUB]),
+    "quote_accepted": (f"""
+SELECT {_nid('quote_accepted', 'a.seq', 'st.id')} AS id, st.id AS user_id, 'quote' AS type, 'Quote accepted' AS title,
+       u.name || ' accepted a quote for ' || a.service_title || '.' AS body,
+       CAST(json_object('requestId', a.service_request_id,
+                        'orderId', sha256(concat_ws('~', 'quote-order', CAST(a.seq AS VARCHAR)))) AS VARCHAR) AS meta,
+       CAST(NULL AS TIMESTAMP) AS read_at, a.ts AS created_at, 'quote_accepted' AS branch
+FROM acf a JOIN d_users u ON u.id = a.caller_id CROSS JOIN {_STAFF10} st
+WHERE a.outcome = 'accept'
+""", [_ACCEPT_OUT, _ACCEPT_FINAL]),
+    "quote_declined": (f"""
+SELECT {_nid('quote_declined', 'a.seq', 'st.id')} AS id, st.id AS user_id, 'quote' AS type, 'Quote declined' AS title,
+       u.name || ' declined the quote.' AS body,
+       CAST(json_object('requestId', a.service_request_id, 'quoteId', a.quote_id) AS VARCHAR) AS meta,
+       CAST(NULL AS TIMESTAMP) AS read_at, a.ts AS created_at, 'quote_declined' AS branch
+FROM dco a JOIN d_users u ON u.id = a.caller_id CROSS JOIN {_STAFF10} st
+WHERE a.outcome = 'declined'
+""", [_DECLINE_OUT]),
+    "message_posted": (f"""
+SELECT {_nid('message_posted', 'seq', 'rcpt')} AS id, rcpt AS user_id, 'message' AS type,
+       'New message on request' AS title, 'There is a new message on your service request thread.' AS body,
+       CAST(json_object('requestId', request_id) AS VARCHAR) AS meta, CAST(NULL AS TIMESTAMP) AS read_at,
+       ts AS created_at, 'message_posted' AS branch
+FROM (SELECT m.*, CASE WHEN m.sender_id = m.owner_id THEN {_STAFF1} ELSE m.owner_id END AS rcpt
+      FROM mo m WHERE m.outcome = 'created')
+WHERE rcpt IS NOT NULL
+""", [_MSG_OUT]),
+    "deliverable_posted": (f"""
+SELECT {_nid('deliverable_posted', 'seq', 'owner_id')} AS id, owner_id AS user_id, 'deliverable' AS type,
+       'New deliverable' AS title, 'A new deliverable has been posted to your request.' AS body,
+       CAST(json_object('requestId', request_id,
+                        'deliverableId', sha256(concat_ws('~', 'deliverable', CAST(seq AS VARCHAR)))) AS VARCHAR) AS meta,
+       CAST(NULL AS TIMESTAMP) AS read_at, ts AS created_at, 'deliverable_posted' AS branch
+FROM dvo WHERE outcome = 'created'
+""", [_DLV_OUT]),
+    "broadcast": (f"""
+SELECT {_nid('broadcast', 'b.seq', 'u.id')} AS id, u.id AS user_id, 'broadcast' AS type, b.title, b.body,
+       CAST(json_object('role', coalesce(b.role, 'all')) AS VARCHAR) AS meta, CAST(NULL AS TIMESTAMP) AS read_at,
+       TIMESTAMP '2024-02-01 00:00:00' AS created_at, 'broadcast' AS branch
+FROM d_broadcasts b JOIN d_users u ON b.role IS NULL OR u.role = b.role
+""", []),
+}
+
+
+def branch_frames(d) -> dict:
+    """The seven branch frames over the fixture change tables."""
+    users = d.users
+    checked = guards.payable_orders(d.payments, d.orders, d.users)
+    _, paid = apply_payments(checked, d.orders)
+    qo = changes.submit_quotes(d.quote_posts, d.service_requests, users)
+    acc_q = qo.where(F.col("outcome") == "accepted")
+    new_quotes = requests.upsert_quotes(d.quotes, acc_q.select(
+        F.col("seq").alias("id"), F.col("request_id").alias("service_request_id"), "amount_cents", "notes",
+        F.col("ts").alias("submitted_at")))
+    acc = accepted_quotes(d).where(F.col("outcome") == "accept")
+    names = users.select(F.col("id").alias("_u"), F.col("name").alias("caller_name"))
+    acc = acc.join(names, acc["caller_id"] == names["_u"], "inner").select(
+        "seq", "caller_name", "service_title", "service_request_id",
+        changes.new_id("quote-order", "seq").alias("order_id"), "ts")
+    declines = d.quote_answers.where(F.col("action") == "decline").select("seq", "quote_id", "caller_id", "ts")
+    _, dco = changes.decline_quotes(declines, d.quotes, d.service_requests)
+    dco = dco.where(F.col("outcome") == "declined").join(names, F.col("caller_id") == names["_u"], "inner")
+    _, mo = changes.post_messages(d.message_posts, d.service_requests, users)
+    _, dvo = changes.post_deliverables(d.deliverable_posts, d.service_requests, users)
+    bc, _ = notify.broadcast(d.broadcasts, users, NOW)
+    return {
+        "order_ready": notify.order_ready(paid),
+        "quote_ready": notify.quote_ready(acc_q, new_quotes),
+        "quote_accepted": notify.quote_accepted(acc, users),
+        "quote_declined": notify.quote_declined(dco, users),
+        "message_posted": notify.message_posted(mo.where(F.col("outcome") == "created"), users),
+        "deliverable_posted": notify.deliverable_posted(dvo.where(F.col("outcome") == "created")),
+        "broadcast": bc,
+    }
+
+
+def _register_branch(name: str):
+    sql, ctes = BRANCH_SQL[name]
+
+    @register(f"notify_{name}", sql, *ctes)
+    def q(d):
+        return branch_frames(d)[name].select(*notify.NOTIFY_COLS)
+
+    q.__doc__ = f"Notifications of the {name} branch."
+    return q
+
+
+for _name in BRANCH_SQL:
+    _register_branch(_name)
+
+_ALL_CTES = []
+for _sql, _ctes in BRANCH_SQL.values():
+    for _c in _ctes:
+        if _c not in _ALL_CTES:
+            _ALL_CTES.append(_c)
+
+
+@register("notification_feed", "\nUNION ALL\n".join(f"({sql.strip()})" for sql, _ in BRANCH_SQL.values()),
+          *_ALL_CTES)
+def q_notification_feed(d):
+    """UNION ALL of the seven notification branches."""
+    return notify.notification_feed(*branch_frames(d).values())
+
+
+@register("broadcast_counts", """
+SELECT b.seq, count(u.id) AS inserted
+FROM d_broadcasts b LEFT JOIN d_users u ON b.role IS NULL OR u.role = b.role GROUP BY b.seq
+""")
+def q_broadcast_counts(d):
+    """Inserted notifications per broadcast message (0 for an empty audience)."""
+    _, counts = notify.broadcast(d.broadcasts, d.users, NOW)
+    return counts
+
+
+_DEL = [("du", "SELECT id FROM d_users WHERE id % 97 = 0"),
+        ("ds", "SELECT id FROM d_services WHERE id % 97 = 0"),
+        ("dp", "SELECT id FROM d_products WHERE id % 97 = 0"),
+        ("dr", "SELECT id FROM d_service_requests WHERE user_id IN (SELECT id FROM du) OR service_id IN (SELECT id FROM ds)"),
+        ("dord", "SELECT id FROM d_orders WHERE user_id IN (SELECT id FROM du)")]
+
+
+@register("delete_cascade", """
+SELECT 'users' AS table_name, count(*) AS n FROM d_users WHERE id NOT IN (SELECT id FROM du)
+UNION ALL SELECT 'products', count(*) FROM d_products WHERE id NOT IN (SELECT id FROM dp)
+UNION ALL SELECT 'services', count(*) FROM d_services WHERE id NOT IN (SELECT id FROM ds)
+UNION ALL SELECT 'service_requests', count(*) FROM d_service_requests WHERE id NOT IN (SELECT id FROM dr)
+UNION ALL SELECT 'orders', count(*) FROM d_orders WHERE id NOT IN (SELECT id FROM dord)
+UNION ALL SELECT 'orders.service_request_id null', count(*) FROM d_orders
+  WHERE id NOT IN (SELECT id FROM dord) AND (service_request_id IS NULL OR service_request_id IN (SELECT id FROM dr))
+UNION ALL SELECT 'order_items', count(*) FROM d_order_items WHERE order_id NOT IN (SELECT id FROM dord)
+UNION ALL SELECT 'order_items.product_id null', count(*) FROM d_order_items
+  WHERE order_id NOT IN (SELECT id FROM dord) AND (product_id IS NULL OR product_id IN (SELECT id FROM dp))
+UNION ALL SELECT 'order_items.service_id null', count(*) FROM d_order_items
+  WHERE order_id NOT IN (SELECT id FROM dord) AND (service_id IS NULL OR service_id IN (SELECT id FROM ds))
+UNION ALL SELECT 'messages', count(*) FROM d_messages
+  WHERE sender_user_id NOT IN (SELECT id FROM du) AND service_request_id NOT IN (SELECT id FROM dr)
+UNION ALL SELECT 'quotes', count(*) FROM d_quotes WHERE service_request_id NOT IN (SELECT id FROM dr)
+UNION ALL SELECT 'notifications', count(*) FROM d_notifications WHERE user_id NOT IN (SELECT id FROM du)
+UNION ALL SELECT 'deliverables', count(*) FROM d_deliverables WHERE service_request_id NOT IN (SELECT id FROM dr)
+UNION ALL SELECT 'audit_log', count(*) FROM d_audit_log
+UNION ALL SELECT 'audit_log.actor_user_id null', count(*) FROM d_audit_log
+  WHERE actor_user_id IS NULL OR actor_user_id IN (SELECT id FROM du)
+""", *_DEL)
+def q_delete_cascade(d):
+    """Row counts after deleting users, then services, then products with id % 97 = 0."""
+    t = load_tables_from_binding(d)
+    for kind, table in (("users", "users"), ("services", "services"), ("products", "products")):
+        ids = t[table].where(F.col("id") % 97 == 0).select("id")
+        t = changes.delete_cascade(t, kind, ids)
+    counts = None
+
+    def add(name, df):
+        nonlocal counts
+        part = df.select().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        counts = part if counts is None else counts.unionByName(part)
+
+    for name in ("users", "products", "services", "service_requests", "orders"):
+        add(name, t[name])
+    add("orders.service_request_id null", t["orders"].where(F.col("service_request_id").isNull()))
+    add("order_items", t["order_items"])
+    add("order_items.product_id null", t["order_items"].where(F.col("product_id").isNull()))
+    add("order_items.service_id null", t["order_items"].where(F.col("service_id").isNull()))
+    for name in ("messages", "quotes", "notifications", "deliverables", "audit_log"):
+        add(name, t[name])
+    add("audit_log.actor_user_id null", t["audit_log"].where(F.col("actor_user_id").isNull()))
+    return counts
+
+
+@register("export_user", """
+SELECT u.id AS user_id, u.email,
+       (SELECT count(*) FROM d_orders o WHERE o.user_id = u.id) AS n_orders,
+       (SELECT count(*) FROM d_order_items i JOIN d_orders o ON o.id = i.order_id WHERE o.user_id = u.id) AS n_items,
+       (SELECT CAST(coalesce(sum(o.total_cents), 0) AS BIGINT) FROM d_orders o WHERE o.user_id = u.id) AS total_cents,
+       (SELECT count(*) FROM d_service_requests r WHERE r.user_id = u.id) AS n_requests,
+       (SELECT count(*) FROM d_messages m WHERE m.sender_user_id = u.id) AS n_messages,
+       (SELECT count(*) FROM d_notifications n WHERE n.user_id = u.id) AS n_notifications,
+       (SELECT count(*) FROM d_audit_log a WHERE a.actor_user_id = u.id) AS n_audit
+FROM d_users u
+""")
+def q_export_user(d):
+    """Data export of every user, summarised for comparison."""
+    doc = integrity.export_user(load_tables_from_binding(d), d.users.select("id"))
+    return doc.select(
+        "user_id", F.col("profile.email").alias("email"),
+        F.size("orders").cast("bigint").alias("n_orders"),
+        F.aggregate("orders", F.lit(0).cast("bigint"), lambda acc, o: acc + F.size(o["items"])).alias("n_items"),
+        F.aggregate("orders", F.lit(0).cast("bigint"), lambda acc, o: acc + o["total_cents"]).alias("total_cents"),
+        F.size("requests").cast("bigint").alias("n_requests"),
+        F.size("messages").cast("bigint").alias("n_messages"),
+        F.size("notifications").cast("bigint").alias("n_notifications"),
+        F.size("audit").cast("bigint").alias("n_audit"))
+
+
+@register("integrity_report", """
+SELECT 'users.email not null' AS rule, count(*) FILTER (WHERE email IS NULL) AS violations FROM d_users
+UNION ALL SELECT 'users.name not null', count(*) FILTER (WHERE name IS NULL) FROM d_users
+UNION ALL SELECT 'users.role enum', count(*) FILTER (WHERE NOT coalesce(role IN ('customer', 'editor', 'admin'), false)) FROM d_users
+UNION ALL SELECT 'users.email unique', count(email) - count(DISTINCT email) FROM d_users
+UNION ALL SELECT 'products.slug not null', count(*) FILTER (WHERE slug IS NULL) FROM d_products
+UNION ALL SELECT 'products.title not null', count(*) FILTER (WHERE title IS NULL) FROM d_products
+UNION ALL SELECT 'products.price_cents >= 0', count(*) FILTER (WHERE NOT coalesce(price_cents >= 0, false)) FROM d_products
+UNION ALL SELECT 'products.slug unique', count(slug) - count(DISTINCT slug) FROM d_products
+UNION ALL SELECT 'services.slug not null', count(*) FILTER (WHERE slug IS NULL) FROM d_services
+UNION ALL SELECT 'services.base_price_cents >= 0', count(*) FILTER (WHERE NOT coalesce(base_price_cents >= 0, false)) FROM d_services
+UNION ALL SELECT 'services.slug unique', count(slug) - count(DISTINCT slug) FROM d_services
+UNION ALL SELECT 'service_requests.status enum', count(*) FILTER (WHERE NOT coalesce(status IN ('open', 'needs_info', 'quoted', 'paid', 'in_progress', 'delivered', 'completed', 'declined'), false)) FROM d_service_requests
+UNION ALL SELECT 'service_requests.brief not null', count(*) FILTER (WHERE brief IS NULL) FROM d_service_requests
+UNION ALL SELECT 'service_requests.user_id -> users', count(*) FROM d_service_requests x WHERE x.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.user_id)
+UNION ALL SELECT 'service_requests.service_id -> services', count(*) FROM d_service_requests x WHERE x.service_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_services p WHERE p.id = x.service_id)
+UNION ALL SELECT 'orders.total_cents >= 0', count(*) FILTER (WHERE NOT coalesce(total_cents >= 0, false)) FROM d_orders
+UNION ALL SELECT 'orders.status enum', count(*) FILTER (WHERE NOT coalesce(status IN ('pending', 'paid', 'canceled', 'refunded'), false)) FROM d_orders
+UNION ALL SELECT 'orders.type enum', count(*) FILTER (WHERE NOT coalesce(type IN ('digital', 'service', 'coaching'), false)) FROM d_orders
+UNION ALL SELECT 'orders.user_id -> users', count(*) FROM d_orders x WHERE x.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.user_id)
+UNION ALL SELECT 'orders.service_request_id -> service_requests', count(*) FROM d_orders x WHERE x.service_request_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_service_requests p WHERE p.id = x.service_request_id)
+UNION ALL SELECT 'order_items.quantity > 0', count(*) FILTER (WHERE NOT coalesce(quantity > 0, false)) FROM d_order_items
+UNION ALL SELECT 'order_items.unit_price_cents >= 0', count(*) FILTER (WHERE NOT coalesce(unit_price_cents >= 0, false)) FROM d_order_items
+UNION ALL SELECT 'order_items.subtotal_cents >= 0', count(*) FILTER (WHERE NOT coalesce(subtotal_cents >= 0, false)) FROM d_order_items
+UNION ALL SELECT 'order_items.title not null', count(*) FILTER (WHERE title IS NULL) FROM d_order_items
+UNION ALL SELECT 'order_items.order_id -> orders', count(*) FROM d_order_items x WHERE x.order_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_orders p WHERE p.id = x.order_id)
+UNION ALL SELECT 'order_items.product_id -> products', count(*) FROM d_order_items x WHERE x.product_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_products p WHERE p.id = x.product_id)
+UNION ALL SELECT 'order_items.service_id -> services', count(*) FROM d_order_items x WHERE x.service_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_services p WHERE p.id = x.service_id)
+UNION ALL SELECT 'messages.service_request_id -> service_requests', count(*) FROM d_messages x WHERE x.service_request_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_service_requests p WHERE p.id = x.service_request_id)
+UNION ALL SELECT 'messages.sender_user_id -> users', count(*) FROM d_messages x WHERE x.sender_user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.sender_user_id)
+UNION ALL SELECT 'quotes.amount_cents >= 0', count(*) FILTER (WHERE NOT coalesce(amount_cents >= 0, false)) FROM d_quotes
+UNION ALL SELECT 'quotes.status enum', count(*) FILTER (WHERE NOT coalesce(status IN ('draft', 'sent', 'accepted', 'paid', 'declined'), false)) FROM d_quotes
+UNION ALL SELECT 'quotes.service_request_id unique', count(service_request_id) - count(DISTINCT service_request_id) FROM d_quotes
+UNION ALL SELECT 'quotes.service_request_id -> service_requests', count(*) FROM d_quotes x WHERE x.service_request_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_service_requests p WHERE p.id = x.service_request_id)
+UNION ALL SELECT 'notifications.user_id -> users', count(*) FROM d_notifications x WHERE x.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.user_id)
+UNION ALL SELECT 'deliverables.service_request_id -> service_requests', count(*) FROM d_deliverables x WHERE x.service_request_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_service_requests p WHERE p.id = x.service_request_id)
+UNION ALL SELECT 'coaching_slots.capacity > 0', 0
+UNION ALL SELECT 'audit_log.actor_user_id -> users', count(*) FROM d_audit_log x WHERE x.actor_user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.actor_user_id)
+""")
+def q_integrity_report(d):
+    return integrity.integrity_report(load_tables_from_binding(d))

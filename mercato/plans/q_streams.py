@@ -1 +1,33 @@
-"""Registered queries."""
+"""Registered time-dependent queries: the batch attempt limiter,
+plus rows-only entries for the Structured Streaming jobs (each runs the
+stream over files derived from the source tables with availableNow)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mercato.operators.limiter import attempt_limiter
+from mercato.plans.registry import register
+
+LIMIT, REFILL = 3, "2 days"
+
+
+@register("attempt_limiter", """
+WITH RECURSIVE a AS (
+  SELECT user_id AS k, event_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+r AS (
+  SELECT k, rn, id, ts, ts AS anchor, 3 - 1 AS tokens, true AS allowed FROM a WHERE rn = 1
+  UNION ALL
+  SELECT a.k, a.rn, a.id, a.ts,
+         CASE WHEN a.ts > r.anchor + INTERVAL 2 DAY THEN a.ts ELSE r.anchor END,
+         CASE WHEN a.ts > r.anchor + INTERVAL 2 DAY THEN 3 - 1 WHEN r.tokens > 0 THEN r.tokens - 1 ELSE 0 END,
+         CASE WHEN a.ts > r.anchor + INTERVAL 2 DAY THEN true ELSE r.tokens > 0 END
+  FROM r JOIN a ON a.k = r.k AND a.rn = r.rn + 1)
+SELECT k AS user_id, id AS event_id, ts, allowed FROM r
+""")
+def q_attempt_limiter(d):
+    """Every event as an attempt keyed by user: limit 3, refill 2 days."""
+    ev = d.raw["events"].select("user_id", "event_id", "ts")
+    out = attempt_limiter(ev, "user_id", LIMIT, REFILL, ts="ts", id_col="event_id")
+    return out.select("user_id", "event_id", "ts", "allowed")

@@ -31,3 +31,149 @@ def q_attempt_limiter(d):
     ev = d.raw["events"].select("user_id", "event_id", "ts")
     out = attempt_limiter(ev, "user_id", LIMIT, REFILL, ts="ts", id_col="event_id")
     return out.select("user_id", "event_id", "ts", "allowed")
+
+
+# ------------------------------------------------------------ streaming jobs
+# Each entry writes stream input derived from the source tables under the
+# shared checkpoint folder, runs the stream with availableNow, and returns
+# its output table. Where the stream must equal a batch op on the same rows,
+# the batch op's oracle text is reused.
+
+def _events_input(d, name):
+    from mercato.session import scratch_path
+    from mercato.streaming.jobs import write_stream_input
+
+    path = scratch_path(d.spark, name)
+    ev = d.raw["events"].select("event_id", "user_id", "ts", "event_type")
+    return write_stream_input(ev, path, "ts", slices=4), ev.schema
+
+
+def _ntz(df, *cols):
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _oracle_of(name):
+    from mercato.plans.registry import ORACLE
+
+    return ORACLE.get(name)
+
+
+@register("attempt_limiter_stream")
+def q_attempt_limiter_stream(d):
+    """The limiter as a stateful stream (state = tokens and anchor per user)."""
+    from mercato.streaming.jobs import attempt_limiter_stream, read_stream, run_available_now
+
+    path, schema = _events_input(d, "limiter-in")
+    out = run_available_now(attempt_limiter_stream(read_stream(d.spark, path, schema), "user_id", LIMIT, REFILL,
+                                                   ts="ts", id_col="event_id"), name="limiter")
+    res = d.spark.read.parquet(out)
+    return _ntz(res.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "ts", "allowed"), "ts")
+
+
+@register("session_stream")
+def q_session_stream(d):
+    """Session attribution as a stream (state = latest login per user)."""
+    from mercato.streaming.jobs import read_stream, run_available_now, session_stream
+
+    path, schema = _events_input(d, "sessions-in")
+    ev = read_stream(d.spark, path, schema)
+    logins = ev.where(F.col("event_type").isin("signup", "click")).select(F.col("event_id").alias("id"), "user_id", "ts")
+    out = run_available_now(session_stream(logins, ev.select("event_id", "user_id", "ts")), name="sessions")
+    return _ntz(d.spark.read.parquet(out).select("user_id", "event_id", "ts", "login_id", "login_ts"),
+                "ts", "login_ts")
+
+
+@register("unread_stream", """
+SELECT user_id, count(*) FILTER (WHERE NOT is_read) AS unread, count(*) AS n_latest FROM (
+  SELECT n.user_id, n.read_at IS NOT NULL OR r.id IS NOT NULL AS is_read FROM d_notifications n
+  LEFT JOIN (SELECT DISTINCT id, user_id FROM d_reads) r ON r.id = n.id AND r.user_id = n.user_id
+  QUALIFY row_number() OVER (PARTITION BY n.user_id ORDER BY n.created_at DESC NULLS FIRST, n.id DESC) <= 30
+) GROUP BY user_id
+""")
+def q_unread_stream(d):
+    """Unread counts kept by a stream of notifications then reads; the last
+    emitted row per user equals the batch count after mark_read."""
+    from mercato.session import scratch_path
+    from mercato.streaming.jobs import read_stream, run_available_now, unread_stream, write_stream_input
+
+    npath = write_stream_input(d.notifications, scratch_path(d.spark, "unread-n"), "created_at", slices=4)
+    rpath = scratch_path(d.spark, "unread-r")
+    d.reads.write.parquet(rpath)
+    n = read_stream(d.spark, npath, d.notifications.schema)
+    r = read_stream(d.spark, rpath, d.reads.schema)
+    out = run_available_now(unread_stream(n, r, 30), mode="update", name="unread")
+    res = d.spark.read.parquet(out)
+    last = res.groupBy("user_id").agg(F.max_by(F.struct("unread", "n_latest"), F.col("batch")).alias("_l"))
+    return last.select("user_id", F.col("_l.unread").alias("unread"), F.col("_l.n_latest").alias("n_latest"))
+
+
+@register("request_status_stream")
+def q_request_status_stream(d):
+    """Request statuses from a stream of transition events with sequential
+    guards, seeded by one init row per request."""
+    from mercato.plans.q_changes import status_events
+    from mercato.session import scratch_path
+    from mercato.streaming.jobs import read_stream, request_status_stream, run_available_now, write_stream_input
+
+    kinds = {"quoted": "quote", "in_progress": "accept", "declined": "decline", "delivered": "deliver", "paid": "pay"}
+    ev = status_events(d)
+    kind = F.lit("set")
+    for st, k in kinds.items():
+        kind = F.when(F.col("status") == st, F.lit(k)).otherwise(kind)
+    q = d.quotes.select(F.col("service_request_id").alias("_r"), F.col("status").alias("_qs"))
+    init = (d.service_requests.join(q, F.col("id") == F.col("_r"), "left")
+            .select(F.col("id").alias("request_id"), F.lit("init").alias("kind"), "status",
+                    F.col("_qs").alias("order_id"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+                    F.lit(0).cast("long").alias("seq")))
+    rows = init.unionByName(ev.select("request_id", kind.alias("kind"), "status",
+                                      F.col("seq").cast("string").alias("order_id"), "ts", "seq"))
+    path = write_stream_input(rows, scratch_path(d.spark, "status-in"), "ts", slices=2)
+    out = run_available_now(request_status_stream(read_stream(d.spark, path, rows.schema)), mode="update",
+                            name="status")
+    res = d.spark.read.parquet(out)
+    last = res.groupBy("request_id").agg(F.max_by(F.struct("status", "updated_at", "quote_status"), F.col("batch")).alias("_l"))
+    return _ntz(last.select(F.col("request_id").alias("id"), F.col("_l.status").alias("status"),
+                            F.col("_l.updated_at").alias("updated_at"), F.col("_l.quote_status").alias("quote_status")),
+                "updated_at")
+
+
+@register("notification_stream")
+def q_notification_stream(d):
+    """order_ready and deliverable_posted notifications produced by a stream
+    (replayed input deduplicated within the watermark)."""
+    from mercato.operators import changes as ch, guards
+    from mercato.operators.orders import apply_payments
+    from mercato.session import scratch_path
+    from mercato.streaming.jobs import notification_stream, read_stream, run_available_now, write_stream_input
+
+    _, paid = apply_payments(guards.payable_orders(d.payments, d.orders, d.users), d.orders)
+    _, dvo = ch.post_deliverables(d.deliverable_posts, d.service_requests, d.users)
+    dv = dvo.where(F.col("outcome") == "created").select("seq", "request_id", "deliverable_id", "ts")
+    ppath = write_stream_input(paid, scratch_path(d.spark, "paid-in"), "paid_at", slices=2)
+    dpath = write_stream_input(dv, scratch_path(d.spark, "dlv-in"), "ts", slices=2)
+    s = notification_stream(read_stream(d.spark, ppath, paid.schema), read_stream(d.spark, dpath, dv.schema),
+                            d.service_requests, lateness="36500 days")
+    out = run_available_now(s, name="notify")
+    from mercato.operators.notify import NOTIFY_COLS
+
+    return _ntz(d.spark.read.parquet(out).select(*NOTIFY_COLS), "created_at", "read_at")
+
+
+def _reuse_oracles():
+    """A stream that must equal its batch op is checked with the batch oracle."""
+    from mercato.plans import q_joins, q_notify  # noqa: F401  (registers the batch texts first)
+    from mercato.plans.registry import ORACLE
+    from mercato.sources.binding import with_binding
+
+    ORACLE["attempt_limiter_stream"] = ORACLE["attempt_limiter"]
+    ORACLE["session_stream"] = ORACLE["active_sessions"]
+    ctes = []
+    for name in ("order_ready", "deliverable_posted"):
+        for c in q_notify.BRANCH_SQL[name][1]:
+            if c not in ctes:
+                ctes.append(c)
+    body = "\nUNION ALL\n".join(f"({q_notify.BRANCH_SQL[n][0].strip()})" for n in ("order_ready", "deliverable_posted"))
+    ORACLE["notification_stream"] = with_binding(body, *ctes)
+
+
+_reuse_oracles()

@@ -424,3 +424,41 @@ def q_audit_events(d):
     _, reg = changes.register_users(d.registrations, d.users, NOW)
     regs = reg.where(F.col("outcome") == "created").select("seq", "user_id", "email", F.lit(NOW).alias("ts"))
     return audit_events(logins, regs)
+
+
+@register("read_changes", """
+SELECT CASE WHEN seq % 19 = 0 THEN NULL ELSE seq END AS seq,
+       CASE WHEN seq % 19 = 0 THEN NULL ELSE lower(email) END AS email,
+       seq % 19 = 0 AS is_corrupt
+FROM d_registrations
+""")
+def q_read_changes(d):
+    """Registrations round-tripped through JSON-lines change files, every
+    19th line damaged: good rows parse, damaged ones are kept aside."""
+    from mercato.session import scratch_path
+    from mercato.sources.changes import CORRUPT, read_changes, write_changes
+
+    path = write_changes(d.registrations, scratch_path(d.spark, "changes"), F.col("seq") % 19 == 0)
+    good, bad = read_changes(d.spark, path, d.registrations.schema)
+    return (good.select("seq", F.lower("email").alias("email"), F.lit(False).alias("is_corrupt"))
+            .unionByName(bad.select("seq", F.lower("email").alias("email"),
+                                    F.col(CORRUPT).isNotNull().alias("is_corrupt"))))
+
+
+@register("write_snapshot", f"""
+SELECT t.id, coalesce(u.slug, t.slug) AS slug, coalesce(u.title, t.title) AS title,
+       coalesce(u.price_cents, t.price_cents) AS price_cents, t.is_active,
+       CASE WHEN u.id IS NOT NULL THEN {NOW_SQL} ELSE t.updated_at END AS updated_at
+FROM d_products t LEFT JOIN (SELECT * FROM po WHERE outcome = 'updated') u ON u.id = t.id
+""", _PATCH_P, _PATCH_O)
+def q_write_snapshot(d):
+    """The patched products table written as a new snapshot and read back
+    through the snapshot pointer."""
+    from mercato.session import scratch_path
+    from mercato.sources.sinks import read_snapshot, write_snapshot
+
+    root = scratch_path(d.spark, "products")
+    write_snapshot(d.products, root)
+    table, _ = _product_patch(d)
+    write_snapshot(table, root)
+    return read_snapshot(d.spark, root).select("id", "slug", "title", "price_cents", "is_active", "updated_at")

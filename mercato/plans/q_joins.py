@@ -171,7 +171,7 @@ SELECT user_id, event_id, ts, login_id, login_ts FROM (
 ) WHERE rn = 1
 """)
 def q_active_sessions(d):
-    return keys.active_sessions(d.logins, d.raw["events"])
+    return keys.active_sessions(d.logins, d.source("events"))
 
 
 @register("first_staff", """

@@ -28,7 +28,7 @@ SELECT k AS user_id, id AS event_id, ts, allowed FROM r
 """)
 def q_attempt_limiter(d):
     """Every event as an attempt keyed by user: limit 3, refill 2 days."""
-    ev = d.raw["events"].select("user_id", "event_id", "ts")
+    ev = d.source("events").select("user_id", "event_id", "ts")
     out = attempt_limiter(ev, "user_id", LIMIT, REFILL, ts="ts", id_col="event_id")
     return out.select("user_id", "event_id", "ts", "allowed")
 
@@ -44,7 +44,7 @@ def _events_input(d, name):
     from mercato.streaming.jobs import write_stream_input
 
     path = scratch_path(d.spark, name)
-    ev = d.raw["events"].select("event_id", "user_id", "ts", "event_type")
+    ev = d.source("events").select("event_id", "user_id", "ts", "event_type")
     return write_stream_input(ev, path, "ts", slices=4), ev.schema
 
 

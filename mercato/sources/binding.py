@@ -13,7 +13,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.sources.raw import register_raw
 
 DOMAIN_VIEWS: dict[str, str] = {
     "d_users": """
@@ -303,35 +302,74 @@ ALL_VIEWS: dict[str, str] = {**DOMAIN_VIEWS, **CHANGE_VIEWS}
 _NAME = re.compile(r"\bd_[a-z_]+\b")
 
 
+_RAW_REF = re.compile(r"\b(customer|part|supplier|orders|lineitem|events|conversations|nation|pages)\b")
+
+
 class Domain:
-    """Attribute access to the bound domain frames of one source folder."""
+    """Attribute access to the bound domain frames of one source folder.
+
+    Views are bound lazily: touching ``d.orders`` registers only the source
+    tables its text reads and analyses only that view, so a query pays for
+    the views it uses. Frames are analysed plans, so re-registering a temp
+    view later (another folder) does not change them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.raw = register_raw(spark, sf_dir)
+        self._raw: dict[str, DataFrame] = {}
         self._frames: dict[str, DataFrame] = {}
-        for name, sql in ALL_VIEWS.items():
-            df = spark.sql(sql)
-            df.createOrReplaceTempView(name)
-            self._frames[name] = df
+
+    @property
+    def raw(self) -> dict[str, DataFrame]:
+        from mercato.sources.raw import RAW_SCHEMAS
+
+        for name in RAW_SCHEMAS:
+            self._source(name)
+        return self._raw
+
+    def source(self, name: str) -> DataFrame:
+        """The typed scan of one source table."""
+        return self._source(name)
+
+    def _source(self, name: str) -> DataFrame:
+        from mercato.sources.raw import read_raw
+
+        if name not in self._raw:
+            self._raw[name] = read_raw(self.spark, self.sf_dir, name)
+        # (Re-)register: another Domain may have pointed the name elsewhere.
+        self._raw[name].createOrReplaceTempView(name)
+        return self._raw[name]
+
+    def frame(self, key: str) -> DataFrame:
+        if key not in self._frames:
+            sql = ALL_VIEWS[key]
+            for t in sorted(set(_RAW_REF.findall(sql))):
+                self._source(t)
+            self._frames[key] = self.spark.sql(sql)
+        return self._frames[key]
 
     def __getattr__(self, item: str) -> DataFrame:
-        frames = self.__dict__.get("_frames", {})
         key = item if item.startswith("d_") else f"d_{item}"
-        if key in frames:
-            return frames[key]
+        if key in ALL_VIEWS:
+            return self.frame(key)
         raise AttributeError(item)
 
     def tables(self) -> dict[str, DataFrame]:
         """The domain tables keyed by their reference names."""
         names = ["users", "products", "services", "service_requests", "orders", "order_items",
                  "messages", "quotes", "notifications", "deliverables", "audit_log"]
-        return {n: self._frames[f"d_{n}"] for n in names}
+        return {n: self.frame(f"d_{n}") for n in names}
+
+
+_DOMAINS: dict[tuple[int, str], Domain] = {}
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Domain:
-    return Domain(spark, sf_dir)
+    """The (cached) binding of ``sf_dir`` for this session."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _DOMAINS:
+        _DOMAINS[key] = Domain(spark, sf_dir)
+    return _DOMAINS[key]
 
 
 def with_binding(body: str, *extra_ctes: tuple[str, str]) -> str:

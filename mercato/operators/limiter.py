@@ -20,8 +20,9 @@ without sorting any key in one task:
    refill, not by the number of attempts).
 3. The chain from each key's first attempt is found by pointer doubling:
    round k adds the nodes 2^k..2^(k+1)-1 steps away and squares the jump
-   table. Joins are on the attempt id (no hot key), rounds = log2(chain
-   length); each round is checkpointed to the shared checkpoint folder.
+   table. Joins are on the attempt id (no hot key); rounds = log2 of the
+   longest chain, bounded up front by the slabs a key spans; each round is
+   one job whose table is written to the shared checkpoint folder.
 4. Every attempt joins its slab's (or the previous slab's) anchor (one row
    per key and slab), and the first ``limit`` attempts per anchor are kept
    with a row_number filter, which Spark trims map-side before the shuffle.
@@ -32,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.session import checkpoint_dir
+from mercato.session import scratch_path
 
 
 def _seconds(spec) -> int:
@@ -44,9 +45,14 @@ def _seconds(spec) -> int:
 
 
 def _stable(df: DataFrame) -> DataFrame:
-    """Cut lineage between rounds (reliable checkpoint, shared folder)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage between rounds: write a table in the shared checkpoint
+    folder and read it back (one computation, unlike an eager reliable
+    checkpoint, which computes its input twice). Survives executor loss:
+    the files live in the shared folder, not on the executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "limiter")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def next_attempts(a: DataFrame, r_us: int) -> DataFrame:
@@ -74,20 +80,22 @@ def next_attempts(a: DataFrame, r_us: int) -> DataFrame:
     return base.select("_id", F.coalesce(F.col("_hit_id"), later).alias("_nxt"))
 
 
-def chain_anchors(heads: DataFrame, jumps: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Nodes reachable from ``heads`` (ids) along ``jumps`` (_id -> _nxt)."""
-    reached = _stable(heads.select("_id").distinct())
-    j = _stable(jumps.select("_id", "_nxt"))
-    for _ in range(max_rounds):
-        new = (reached.join(j, "_id").select(F.col("_nxt").alias("_id")).where(F.col("_id").isNotNull())
-               .join(reached, "_id", "left_anti").distinct())
-        new = _stable(new)
-        if new.isEmpty():
-            return reached
-        reached = _stable(reached.unionByName(new))
-        j2 = j.select(F.col("_id").alias("_mid"), F.col("_nxt").alias("_nxt2"))
-        j = _stable(j.join(j2, j["_nxt"] == j2["_mid"], "left").select("_id", F.col("_nxt2").alias("_nxt")))
-    raise RuntimeError("anchor chain did not converge")
+def chain_anchors(heads: DataFrame, jumps: DataFrame, rounds: int) -> DataFrame:
+    """Nodes reachable from ``heads`` (ids) along ``jumps`` (_id -> _nxt)
+    within ``2**rounds`` steps. One table per round holds both the jump
+    (squared each round) and the reached flag, so a round is one job."""
+    h = heads.select("_id", F.lit(True).alias("_h"))
+    t = _stable(jumps.select("_id", "_nxt").join(h, "_id", "left")
+                .select("_id", "_nxt", F.coalesce("_h", F.lit(False)).alias("_r")))
+    for _ in range(rounds):
+        # Targets of reached nodes are distinct (chains never share a node at
+        # two distances), so the join below cannot duplicate rows.
+        targets = t.where("_r").select(F.col("_nxt").alias("_tid")).where(F.col("_tid").isNotNull())
+        jj = t.select(F.col("_id").alias("_mid"), F.col("_nxt").alias("_nxt2"))
+        t = _stable(t.join(jj, t["_nxt"] == jj["_mid"], "left")
+                    .join(targets, t["_id"] == targets["_tid"], "left")
+                    .select("_id", F.col("_nxt2").alias("_nxt"), (F.col("_r") | F.col("_tid").isNotNull()).alias("_r")))
+    return t.where("_r").select("_id")
 
 
 def attempt_limiter(attempts: DataFrame, key: str, limit: int, refill, ts: str = "ts", id_col: str = "id") -> DataFrame:
@@ -97,9 +105,13 @@ def attempt_limiter(attempts: DataFrame, key: str, limit: int, refill, ts: str =
     r_us = _seconds(refill) * 1_000_000
     a = attempts.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"),
                         F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    a = _stable(a.withColumn("_s", F.floor(F.col("_us") / F.lit(r_us)).cast("long")))
+    a = a.withColumn("_s", F.floor(F.col("_us") / F.lit(r_us)).cast("long"))
     heads = a.groupBy("_k").agg(F.min(F.struct("_us", "_id")).alias("_h")).select(F.col("_h._id").alias("_id"))
-    anchors = chain_anchors(heads, next_attempts(a, r_us))
+    # At most one anchor per slab, so a chain is no longer than the number of
+    # slabs its key spans: that bounds the doubling rounds (one small job).
+    span = a.groupBy("_k").agg((F.max("_s") - F.min("_s") + 1).alias("_n")).agg(F.max("_n")).first()[0] or 1
+    rounds = max(0, (int(span) - 1).bit_length())
+    anchors = chain_anchors(heads, next_attempts(a, r_us), rounds)
     anch = a.join(anchors, "_id", "left_semi").select(
         "_k", "_s", F.struct(F.col("_us").alias("u"), F.col("_id").alias("i")).alias("_a"))
     cur = anch.withColumnRenamed("_a", "_cur")

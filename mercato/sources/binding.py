@@ -313,11 +313,13 @@ class Domain:
     the views it uses. Frames are analysed plans, so re-registering a temp
     view later (another folder) does not change them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.materialize = materialize
         self._raw: dict[str, DataFrame] = {}
         self._frames: dict[str, DataFrame] = {}
+        self._store: str | None = None
 
     @property
     def raw(self) -> dict[str, DataFrame]:
@@ -340,12 +342,29 @@ class Domain:
         self._raw[name].createOrReplaceTempView(name)
         return self._raw[name]
 
+    def view(self, key: str) -> DataFrame:
+        """The binding query itself (recomputed from the sources when run)."""
+        sql = ALL_VIEWS[key]
+        for t in sorted(set(_RAW_REF.findall(sql))):
+            self._source(t)
+        return self.spark.sql(sql)
+
     def frame(self, key: str) -> DataFrame:
+        """The bound table. By default each view is written once per session
+        to the shared checkpoint folder and read back (typed parquet scan with
+        pushdown and pruning), as stored domain tables would be; otherwise a
+        view referenced several times in one plan is recomputed each time."""
         if key not in self._frames:
-            sql = ALL_VIEWS[key]
-            for t in sorted(set(_RAW_REF.findall(sql))):
-                self._source(t)
-            self._frames[key] = self.spark.sql(sql)
+            df = self.view(key)
+            if self.materialize:
+                if self._store is None:
+                    from mercato.session import scratch_path
+
+                    self._store = scratch_path(self.spark, "domain")
+                path = f"{self._store}/{key}"
+                df.write.parquet(path)
+                df = self.spark.read.schema(df.schema).parquet(path)
+            self._frames[key] = df
         return self._frames[key]
 
     def __getattr__(self, item: str) -> DataFrame:
@@ -364,11 +383,11 @@ class Domain:
 _DOMAINS: dict[tuple[int, str], Domain] = {}
 
 
-def bind(spark: SparkSession, sf_dir: str) -> Domain:
+def bind(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Domain:
     """The (cached) binding of ``sf_dir`` for this session."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (id(spark), sf_dir.rstrip("/"), materialize)
     if key not in _DOMAINS:
-        _DOMAINS[key] = Domain(spark, sf_dir)
+        _DOMAINS[key] = Domain(spark, sf_dir, materialize)
     return _DOMAINS[key]
 
 

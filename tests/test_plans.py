@@ -31,7 +31,9 @@ def test_scan_reads_only_needed_columns(spark):
     d = bind(spark, SF_SMALL)
     df = d.orders.where("status = 'paid'").select("id", "total_cents")
     text = df._jdf.queryExecution().executedPlan().toString()
-    assert "o_orderpriority" not in text.split("ReadSchema")[-1]
+    read = text.split("ReadSchema")[-1]
+    assert "total_cents" in read and "created_at" not in read and "service_request_id" not in read
+    assert "PushedFilters" in text and "status" in text.split("PushedFilters")[-1]
 
 
 def test_limiter_has_no_per_key_collect(spark):

@@ -59,3 +59,21 @@ def lookup_products(slugs: DataFrame, products: DataFrame) -> DataFrame:
 
 def lookup_services(slugs: DataFrame, services: DataFrame) -> DataFrame:
     return _lookup(slugs, services, PUBLIC_SERVICE_COLS)
+
+
+# Fixed value: the cover shown when a product has none.
+DEFAULT_COVER = "https://images.unsplash.com/photo-1454165205744-3b78555e5572"
+
+
+def product_cards(products: DataFrame) -> DataFrame:
+    """Catalogue cards as the shop page renders them: price text ``$d.dd``,
+    detail link with the slug URI-encoded, tag markup, default cover."""
+    from mercato.functions.columns import format_price, render_tags, uri_component
+
+    return active_products(products).select(
+        "id", "slug", "title",
+        format_price("price_cents").alias("price_text"),
+        F.concat(F.lit("/product.html?slug="), uri_component("slug")).alias("href"),
+        uri_component("title").alias("title_encoded"),
+        render_tags("tags").alias("tags_html"),
+        F.coalesce("cover_image_url", F.lit(DEFAULT_COVER)).alias("cover"))

@@ -159,3 +159,34 @@ WHERE a.action = 'accept'
 def q_acceptable_quotes(d):
     return guards.acceptable_quotes(d.quote_answers.where(F.col("action") == "accept"), d.quotes,
                                     d.service_requests, d.services)
+
+
+_ENC = "replace(replace(replace(replace(replace(url_encode({c}), '%21', '!'), '%2A', '*'), '%28', '('), '%29', ')'), '%27', '''')"
+
+
+@register("product_cards", f"""
+SELECT id, slug, title,
+       '$' || CAST(price_cents // 100 AS VARCHAR) || '.' || lpad(CAST(price_cents % 100 AS VARCHAR), 2, '0') AS price_text,
+       '/product.html?slug=' || {_ENC.format(c='slug')} AS href,
+       {_ENC.format(c='title')} AS title_encoded,
+       CASE WHEN tags IS NULL OR len(tags) = 0 THEN ''
+            ELSE '<span class="tag">' || array_to_string(tags, '</span><span class="tag">') || '</span>' END AS tags_html,
+       coalesce(cover_image_url, 'https://images.unsplash.com/photo-1454165205744-3b78555e5572') AS cover
+FROM d_products WHERE is_active
+""")
+def q_product_cards(d):
+    """Scalar functions of the catalogue page: price text, URI encoding, tag markup."""
+    return catalog.product_cards(d.products)
+
+
+@register("visible_request_detail", """
+SELECT v.id AS viewer_id, 'own' AS scope, r.id AS row_id
+FROM d_viewers v JOIN d_service_requests r ON r.user_id = v.id
+WHERE NOT coalesce(v.role IN ('admin', 'editor'), false)
+UNION ALL
+SELECT CAST(NULL AS BIGINT), 'all', r.id FROM d_service_requests r
+WHERE EXISTS (SELECT 1 FROM d_viewers v WHERE v.role IN ('admin', 'editor'))
+""")
+def q_visible_request_detail(d):
+    """Single-request rule: the owner, or any staff member."""
+    return visibility.visible_rows(d.viewers, d.service_requests, "request")

@@ -19,37 +19,44 @@ def _allowed(df):
     return [r.allowed for r in df.orderBy("id").collect()]
 
 
-def test_limiter_refill_exactly_at_limit_is_not_a_reset(spark):
+FOLD = pytest.mark.parametrize("fold_limit", [10_000, 0], ids=["fold", "doubling"])
+
+
+@FOLD
+def test_limiter_refill_exactly_at_limit_is_not_a_reset(spark, fold_limit):
     # limit 2 / 60 s: attempts at 0, 1, 60 (exactly refill: no reset), 61 (reset)
-    out = limiter.attempt_limiter(_attempts(spark, [0, 1, 60, 61]), "key", 2, 60)
+    out = limiter.attempt_limiter(_attempts(spark, [0, 1, 60, 61]), "key", 2, 60, fold_limit=fold_limit)
     assert _allowed(out) == [True, True, False, True]
 
 
-def test_limiter_login_config(spark):
+@FOLD
+def test_limiter_login_config(spark, fold_limit):
     secs = list(range(12)) + [70, 71]
-    out = limiter.attempt_limiter(_attempts(spark, secs), "key", 10, "60 seconds")
+    out = limiter.attempt_limiter(_attempts(spark, secs), "key", 10, "60 seconds", fold_limit=fold_limit)
     assert _allowed(out) == [True] * 10 + [False, False] + [True, True]
 
 
-def test_limiter_denied_attempts_do_not_move_the_anchor(spark):
+@FOLD
+def test_limiter_denied_attempts_do_not_move_the_anchor(spark, fold_limit):
     # limit 1 / 10 s: 0 allowed, 5 denied, 9 denied, 11 resets (anchor still 0)
-    out = limiter.attempt_limiter(_attempts(spark, [0, 5, 9, 11, 20, 22]), "key", 1, 10)
+    out = limiter.attempt_limiter(_attempts(spark, [0, 5, 9, 11, 20, 22]), "key", 1, 10, fold_limit=fold_limit)
     assert _allowed(out) == [True, False, False, True, False, True]
 
 
-def test_limiter_matches_brute_force_on_random_data(spark):
+@pytest.mark.parametrize("fold_limit", [10_000, 0, 250], ids=["fold", "doubling", "mixed"])
+def test_limiter_matches_brute_force_on_random_data(spark, fold_limit):
     import random
 
     rnd = random.Random(7)
     rows, i = [], 0
-    for key in ("a", "b", "c"):
+    for key, n in (("a", 300), ("b", 200), ("c", 300)):
         t = 0
-        for _ in range(300):
+        for _ in range(n):
             t += rnd.choice([0, 1, 2, 5, 30, 61, 200])
             rows.append((key, i, T + dt.timedelta(seconds=t)))
             i += 1
     df = spark.createDataFrame(rows, "key string, id long, ts timestamp_ntz")
-    got = {r.id: r.allowed for r in limiter.attempt_limiter(df, "key", 3, 60).collect()}
+    got = {r.id: r.allowed for r in limiter.attempt_limiter(df, "key", 3, 60, fold_limit=fold_limit).collect()}
     want = {}
     for key in ("a", "b", "c"):
         tokens = anchor = None

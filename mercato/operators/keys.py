@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions.columns import is_staff
+from mercato.functions.columns import wall_micros
 
 
 def existing_keys(rows: DataFrame, table: DataFrame, on: tuple[str, str]) -> DataFrame:
@@ -73,7 +73,7 @@ def active_sessions(logins: DataFrame, events: DataFrame, lifetime: str = "7 day
     bsec = _seconds(bucket)
 
     def b(ts):
-        return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(bsec)).cast("long")
+        return F.floor(wall_micros(ts) / F.lit(bsec * 1_000_000)).cast("long")
 
     login_t = "struct<login_ts:timestamp_ntz,login_id:bigint>"
     lg = logins.select("user_id", F.col("ts").alias("login_ts"), F.col("id").alias("login_id"))

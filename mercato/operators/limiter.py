@@ -37,6 +37,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.functions.columns import wall_micros
 from mercato.session import scratch_path
 
 
@@ -160,7 +161,7 @@ def attempt_limiter(attempts: DataFrame, key: str, limit: int, refill, ts: str =
     the same slab-join assignment and map-side top-k."""
     r_us = _seconds(refill) * 1_000_000
     a = attempts.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"),
-                        F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+                        wall_micros(ts).alias("_us"))
     a = a.withColumn("_s", F.floor(F.col("_us") / F.lit(r_us)).cast("long"))
     sizes = a.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     biggest = sizes.agg(F.max("_n")).first()[0] or 0

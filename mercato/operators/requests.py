@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.columns import REQUEST_STATUSES, newest_first, oldest_first
+from mercato.functions.columns import REQUEST_STATUSES, newest_first, oldest_first, wall_micros
 
 
 def _services(services: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def request_detail(requests, services, users, messages, quotes, deliverables) ->
                       F.struct("id", "amount_cents", "notes", "status", "created_at").alias("quote"))
     dl = (deliverables.groupBy(F.col("service_request_id").alias("_d"))
           .agg(F.array_sort(F.collect_list(F.struct(
-              (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("_order"), (-F.col("id")).alias("_oid"),
+              (-wall_micros("created_at")).alias("_order"), (-F.col("id")).alias("_oid"),
               "id", "title", "description",
               "file_url", "created_at"))).alias("_dl")))
     out = (header.join(msgs, header["id"] == msgs["_m"], "left")

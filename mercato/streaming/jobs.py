@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from mercato.functions.columns import wall_micros
 from mercato.operators import notify
 from mercato.operators.limiter import _seconds
 from mercato.session import scratch_path
@@ -119,7 +120,7 @@ def write_stream_input(df: DataFrame, path: str, order_col: str, slices: int = 4
     written one after another, so the file source reads them in time order.
     ``files_per_slice`` pins the file count (tests pair it with
     ``maxFilesPerTrigger`` to get one micro-batch per slice)."""
-    key = F.unix_micros(F.col(order_col).cast("timestamp")).cast("double")
+    key = wall_micros(order_col).cast("double")
     keyed = df.withColumn("_o", key)
     probs = [i / slices for i in range(1, slices)]
     cuts = keyed.approxQuantile("_o", probs, 0.0001) if probs else []

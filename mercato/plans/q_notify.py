@@ -88,36 +88,65 @@ FROM d_broadcasts b JOIN d_users u ON b.role IS NULL OR u.role = b.role
 }
 
 
-def branch_frames(d) -> dict:
-    """The seven branch frames over the fixture change tables."""
-    users = d.users
+def _paid(d):
     checked = guards.payable_orders(d.payments, d.orders, d.users)
-    _, paid = apply_payments(checked, d.orders)
-    qo = changes.submit_quotes(d.quote_posts, d.service_requests, users)
+    return apply_payments(checked, d.orders)[1]
+
+
+def _quote_ready(d):
+    qo = changes.submit_quotes(d.quote_posts, d.service_requests, d.users)
     acc_q = qo.where(F.col("outcome") == "accepted")
     new_quotes = requests.upsert_quotes(d.quotes, acc_q.select(
         F.col("seq").alias("id"), F.col("request_id").alias("service_request_id"), "amount_cents", "notes",
         F.col("ts").alias("submitted_at")))
+    return notify.quote_ready(acc_q, new_quotes)
+
+
+def _names(d):
+    return d.users.select(F.col("id").alias("_u"), F.col("name").alias("caller_name"))
+
+
+def _quote_accepted(d):
     acc = accepted_quotes(d).where(F.col("outcome") == "accept")
-    names = users.select(F.col("id").alias("_u"), F.col("name").alias("caller_name"))
+    names = _names(d)
     acc = acc.join(names, acc["caller_id"] == names["_u"], "inner").select(
         "seq", "caller_name", "service_title", "service_request_id",
         changes.new_id("quote-order", "seq").alias("order_id"), "ts")
+    return notify.quote_accepted(acc, d.users)
+
+
+def _quote_declined(d):
     declines = d.quote_answers.where(F.col("action") == "decline").select("seq", "quote_id", "caller_id", "ts")
     _, dco = changes.decline_quotes(declines, d.quotes, d.service_requests)
+    names = _names(d)
     dco = dco.where(F.col("outcome") == "declined").join(names, F.col("caller_id") == names["_u"], "inner")
-    _, mo = changes.post_messages(d.message_posts, d.service_requests, users)
-    _, dvo = changes.post_deliverables(d.deliverable_posts, d.service_requests, users)
-    bc, _ = notify.broadcast(d.broadcasts, users, NOW)
-    return {
-        "order_ready": notify.order_ready(paid),
-        "quote_ready": notify.quote_ready(acc_q, new_quotes),
-        "quote_accepted": notify.quote_accepted(acc, users),
-        "quote_declined": notify.quote_declined(dco, users),
-        "message_posted": notify.message_posted(mo.where(F.col("outcome") == "created"), users),
-        "deliverable_posted": notify.deliverable_posted(dvo.where(F.col("outcome") == "created")),
-        "broadcast": bc,
-    }
+    return notify.quote_declined(dco, d.users)
+
+
+def _message_posted(d):
+    _, mo = changes.post_messages(d.message_posts, d.service_requests, d.users)
+    return notify.message_posted(mo.where(F.col("outcome") == "created"), d.users)
+
+
+def _deliverable_posted(d):
+    _, dvo = changes.post_deliverables(d.deliverable_posts, d.service_requests, d.users)
+    return notify.deliverable_posted(dvo.where(F.col("outcome") == "created"))
+
+
+BRANCHES = {
+    "order_ready": lambda d: notify.order_ready(_paid(d)),
+    "quote_ready": _quote_ready,
+    "quote_accepted": _quote_accepted,
+    "quote_declined": _quote_declined,
+    "message_posted": _message_posted,
+    "deliverable_posted": _deliverable_posted,
+    "broadcast": lambda d: notify.broadcast(d.broadcasts, d.users, NOW)[0],
+}
+
+
+def branch_frames(d) -> dict:
+    """The seven branch frames over the fixture change tables."""
+    return {name: build(d) for name, build in BRANCHES.items()}
 
 
 def _register_branch(name: str):
@@ -125,7 +154,7 @@ def _register_branch(name: str):
 
     @register(f"notify_{name}", sql, *ctes)
     def q(d):
-        return branch_frames(d)[name].select(*notify.NOTIFY_COLS)
+        return BRANCHES[name](d).select(*notify.NOTIFY_COLS)
 
     q.__doc__ = f"Notifications of the {name} branch."
     return q

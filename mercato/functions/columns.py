@@ -92,11 +92,9 @@ def oldest_first(created: str = "created_at", key: str = "id") -> list[Column]:
 
 
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def wall_micros(ts: Column | str) -> Column:
     """Microseconds since the epoch of a wall-clock timestamp, independent of
     the session time zone (``unix_micros`` of a cast would shift across DST)."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", _EPOCH, c.cast("timestamp_ntz"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, c.cast("timestamp_ntz"))

@@ -36,9 +36,18 @@ def test_scan_reads_only_needed_columns(spark):
     assert "PushedFilters" in text and "status" in text.split("PushedFilters")[-1]
 
 
-def test_limiter_has_no_per_key_collect(spark):
+def test_limiter_large_keys_have_no_per_key_collect(spark):
+    """Keys above the checked bound never meet a per-key collect."""
     d = bind(spark, SF_SMALL)
-    ev = d.source("events")
-    a = ev.select("user_id", "event_id", "ts")
-    out = limiter.attempt_limiter(a, "user_id", 3, "2 days", id_col="event_id")
+    a = d.source("events").select("user_id", "event_id", "ts")
+    out = limiter.attempt_limiter(a, "user_id", 3, "2 days", id_col="event_id", fold_limit=0)
     assert "collect_list" not in plan(out)
+
+
+def test_limiter_fold_only_under_the_bound(spark):
+    d = bind(spark, SF_SMALL)
+    a = d.source("events").select("user_id", "event_id", "ts")
+    biggest = a.groupBy("user_id").count().agg({"count": "max"}).first()[0]
+    out = limiter.attempt_limiter(a, "user_id", 3, "2 days", id_col="event_id", fold_limit=biggest - 1)
+    text = plan(out)
+    assert "collect_list" in text and "left_semi" in text.lower() or "LeftSemi" in text

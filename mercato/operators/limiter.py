@@ -164,9 +164,13 @@ def attempt_limiter(attempts: DataFrame, key: str, limit: int, refill, ts: str =
                         wall_micros(ts).alias("_us"))
     a = a.withColumn("_s", F.floor(F.col("_us") / F.lit(r_us)).cast("long"))
     sizes = a.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    biggest = sizes.agg(F.max("_n")).first()[0] or 0
-    if biggest <= fold_limit:
+    smallest, biggest = sizes.agg(F.min("_n"), F.max("_n")).first()
+    if biggest is None:
+        anchors = a.select("_id").limit(0)
+    elif biggest <= fold_limit:
         anchors = _fold_anchors(a, r_us)
+    elif smallest > fold_limit:
+        anchors = _doubling_anchors(a, r_us)
     else:
         small = sizes.where(F.col("_n") <= fold_limit).select("_k")
         large = sizes.where(F.col("_n") > fold_limit).select("_k")

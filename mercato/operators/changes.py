@@ -303,6 +303,16 @@ def request_status(requests: DataFrame, events: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- deletes
 
+def _keys(df: DataFrame) -> DataFrame:
+    """Write a deleted-key set once to the shared checkpoint folder, so every
+    table of the cascade reads it instead of re-deriving it."""
+    from mercato.session import scratch_path
+
+    path = scratch_path(df.sparkSession, "deleted-keys")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete_cascade(tables: dict[str, DataFrame], kind: str, ids: DataFrame, actor_id=None) -> dict[str, DataFrame]:
     """Delete users / products / services by id and apply the foreign-key
     actions in order (no cycles, depth 3: users -> requests -> messages):
@@ -319,6 +329,7 @@ def delete_cascade(tables: dict[str, DataFrame], kind: str, ids: DataFrame, acto
     ids = ids.select(F.col("id").alias("_del")).distinct()
     if kind == "users" and actor_id is not None:
         ids = ids.where(F.col("_del") != F.lit(actor_id))
+    ids = _keys(ids)
 
     def anti(df, col, keys):
         return df.join(keys, df[col] == keys["_del"], "left_anti")
@@ -349,6 +360,8 @@ def delete_cascade(tables: dict[str, DataFrame], kind: str, ids: DataFrame, acto
         t["order_items"] = null_out(t["order_items"], "product_id", ids)
     else:
         raise ValueError(f"unknown kind {kind!r}")
+    req_del = _keys(req_del) if req_del is not None else None
+    ord_del = _keys(ord_del) if ord_del is not None else None
     if req_del is not None:
         t["service_requests"] = anti(t["service_requests"], "id", req_del)
         t["messages"] = anti(t["messages"], "service_request_id", req_del)

@@ -3,8 +3,8 @@ per-user data export.
 
 ``integrity_report`` gives one row per rule with its violation count:
 column rules are evaluated together in one aggregate pass per table
-(count_if), uniqueness as rows minus distinct keys, foreign keys as left
-anti joins (one shuffle join per FK).
+(count_if), uniqueness as rows minus distinct keys, foreign keys as a left
+join to each parent key set in the same pass (orphans = unmatched rows).
 """
 
 from __future__ import annotations
@@ -16,63 +16,64 @@ from mercato.functions.columns import (ORDER_STATUSES, ORDER_TYPES, QUOTE_STATUS
 from mercato.operators.orders import order_item_array
 
 
-def _col_rules(df: DataFrame, table: str, rules: list[tuple[str, Column]]) -> DataFrame:
-    """Violations of several row-level rules in one pass: one row per rule."""
-    agg = df.agg(*[F.count_if(~F.coalesce(pred, F.lit(False))).alias(f"r{i}") for i, (_, pred) in enumerate(rules)])
-    stack = ", ".join(f"'{table}.{name}', r{i}" for i, (name, _) in enumerate(rules))
-    return agg.selectExpr(f"stack({len(rules)}, {stack}) AS (rule, violations)")
-
-
-def _unique(df: DataFrame, table: str, col: str) -> DataFrame:
-    return df.agg((F.count(F.col(col)) - F.count_distinct(F.col(col))).alias("violations")) \
-        .select(F.lit(f"{table}.{col} unique").alias("rule"), "violations")
-
-
-def _fk(df: DataFrame, table: str, col: str, parent: DataFrame, parent_name: str) -> DataFrame:
-    keys = parent.select(F.col("id").alias("_pk"))
-    orphans = df.where(F.col(col).isNotNull()).join(keys, F.col(col) == keys["_pk"], "left_anti")
-    return orphans.agg(F.count(F.lit(1)).alias("violations")) \
-        .select(F.lit(f"{table}.{col} -> {parent_name}").alias("rule"), "violations")
+def _table_report(df: DataFrame, table: str, rules: list[tuple[str, Column]] = (),
+                  unique: list[str] = (), fks: list[tuple[str, DataFrame, str]] = ()) -> DataFrame:
+    """All checks of one table in one aggregate pass: row rules (count_if),
+    uniqueness (non-null count minus distinct count) and foreign keys (a
+    left join to each parent's key set, orphans counted). One row per rule."""
+    x = df
+    for i, (col, parent, _) in enumerate(fks):
+        keys = parent.select(F.col("id").alias(f"_pk{i}")).distinct()
+        x = x.join(keys, F.col(col) == keys[f"_pk{i}"], "left")
+    aggs, names = [], []
+    for name, pred in rules:
+        aggs.append(F.count_if(~F.coalesce(pred, F.lit(False))))
+        names.append(f"{table}.{name}")
+    for col in unique:
+        aggs.append(F.count(F.col(col)) - F.count_distinct(F.col(col)))
+        names.append(f"{table}.{col} unique")
+    for i, (col, _, parent_name) in enumerate(fks):
+        aggs.append(F.count_if(F.col(col).isNotNull() & F.col(f"_pk{i}").isNull()))
+        names.append(f"{table}.{col} -> {parent_name}")
+    row = x.agg(*[a.cast("bigint").alias(f"r{i}") for i, a in enumerate(aggs)])
+    stack = ", ".join(f"'{n}', r{i}" for i, n in enumerate(names))
+    return row.selectExpr(f"stack({len(names)}, {stack}) AS (rule, violations)")
 
 
 def integrity_report(t: dict[str, DataFrame]) -> DataFrame:
     nn = lambda c: F.col(c).isNotNull()
     parts = [
-        _col_rules(t["users"], "users", [("email not null", nn("email")), ("name not null", nn("name")),
-                                         ("role enum", F.col("role").isin(list(ROLES)))]),
-        _unique(t["users"], "users", "email"),
-        _col_rules(t["products"], "products", [("slug not null", nn("slug")), ("title not null", nn("title")),
-                                               ("price_cents >= 0", F.col("price_cents") >= 0)]),
-        _unique(t["products"], "products", "slug"),
-        _col_rules(t["services"], "services", [("slug not null", nn("slug")),
-                                               ("base_price_cents >= 0", F.col("base_price_cents") >= 0)]),
-        _unique(t["services"], "services", "slug"),
-        _col_rules(t["service_requests"], "service_requests",
-                   [("status enum", F.col("status").isin(list(REQUEST_STATUSES))), ("brief not null", nn("brief"))]),
-        _fk(t["service_requests"], "service_requests", "user_id", t["users"], "users"),
-        _fk(t["service_requests"], "service_requests", "service_id", t["services"], "services"),
-        _col_rules(t["orders"], "orders", [("total_cents >= 0", F.col("total_cents") >= 0),
-                                           ("status enum", F.col("status").isin(list(ORDER_STATUSES))),
-                                           ("type enum", F.col("type").isin(list(ORDER_TYPES)))]),
-        _fk(t["orders"], "orders", "user_id", t["users"], "users"),
-        _fk(t["orders"], "orders", "service_request_id", t["service_requests"], "service_requests"),
-        _col_rules(t["order_items"], "order_items", [("quantity > 0", F.col("quantity") > 0),
-                                                     ("unit_price_cents >= 0", F.col("unit_price_cents") >= 0),
-                                                     ("subtotal_cents >= 0", F.col("subtotal_cents") >= 0),
-                                                     ("title not null", nn("title"))]),
-        _fk(t["order_items"], "order_items", "order_id", t["orders"], "orders"),
-        _fk(t["order_items"], "order_items", "product_id", t["products"], "products"),
-        _fk(t["order_items"], "order_items", "service_id", t["services"], "services"),
-        _fk(t["messages"], "messages", "service_request_id", t["service_requests"], "service_requests"),
-        _fk(t["messages"], "messages", "sender_user_id", t["users"], "users"),
-        _col_rules(t["quotes"], "quotes", [("amount_cents >= 0", F.col("amount_cents") >= 0),
-                                           ("status enum", F.col("status").isin(list(QUOTE_STATUSES)))]),
-        _unique(t["quotes"], "quotes", "service_request_id"),
-        _fk(t["quotes"], "quotes", "service_request_id", t["service_requests"], "service_requests"),
-        _fk(t["notifications"], "notifications", "user_id", t["users"], "users"),
-        _fk(t["deliverables"], "deliverables", "service_request_id", t["service_requests"], "service_requests"),
-        _col_rules(t["coaching_slots"], "coaching_slots", [("capacity > 0", F.col("capacity") > 0)]),
-        _fk(t["audit_log"], "audit_log", "actor_user_id", t["users"], "users"),
+        _table_report(t["users"], "users", [("email not null", nn("email")), ("name not null", nn("name")),
+                                            ("role enum", F.col("role").isin(list(ROLES)))], ["email"]),
+        _table_report(t["products"], "products", [("slug not null", nn("slug")), ("title not null", nn("title")),
+                                                  ("price_cents >= 0", F.col("price_cents") >= 0)], ["slug"]),
+        _table_report(t["services"], "services", [("slug not null", nn("slug")),
+                                                  ("base_price_cents >= 0", F.col("base_price_cents") >= 0)], ["slug"]),
+        _table_report(t["service_requests"], "service_requests",
+                      [("status enum", F.col("status").isin(list(REQUEST_STATUSES))), ("brief not null", nn("brief"))],
+                      fks=[("user_id", t["users"], "users"), ("service_id", t["services"], "services")]),
+        _table_report(t["orders"], "orders", [("total_cents >= 0", F.col("total_cents") >= 0),
+                                              ("status enum", F.col("status").isin(list(ORDER_STATUSES))),
+                                              ("type enum", F.col("type").isin(list(ORDER_TYPES)))],
+                      fks=[("user_id", t["users"], "users"),
+                           ("service_request_id", t["service_requests"], "service_requests")]),
+        _table_report(t["order_items"], "order_items", [("quantity > 0", F.col("quantity") > 0),
+                                                        ("unit_price_cents >= 0", F.col("unit_price_cents") >= 0),
+                                                        ("subtotal_cents >= 0", F.col("subtotal_cents") >= 0),
+                                                        ("title not null", nn("title"))],
+                      fks=[("order_id", t["orders"], "orders"), ("product_id", t["products"], "products"),
+                           ("service_id", t["services"], "services")]),
+        _table_report(t["messages"], "messages",
+                      fks=[("service_request_id", t["service_requests"], "service_requests"),
+                           ("sender_user_id", t["users"], "users")]),
+        _table_report(t["quotes"], "quotes", [("amount_cents >= 0", F.col("amount_cents") >= 0),
+                                              ("status enum", F.col("status").isin(list(QUOTE_STATUSES)))],
+                      ["service_request_id"], [("service_request_id", t["service_requests"], "service_requests")]),
+        _table_report(t["notifications"], "notifications", fks=[("user_id", t["users"], "users")]),
+        _table_report(t["deliverables"], "deliverables",
+                      fks=[("service_request_id", t["service_requests"], "service_requests")]),
+        _table_report(t["coaching_slots"], "coaching_slots", [("capacity > 0", F.col("capacity") > 0)]),
+        _table_report(t["audit_log"], "audit_log", fks=[("actor_user_id", t["users"], "users")]),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -80,16 +81,16 @@ def integrity_report(t: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def export_user(t: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """Everything held on the given users, one nested document each:
-    profile, orders (with items), requests, sent messages, notifications,
-    audit rows. Each child table is aggregated by user *before* the joins,
-    so children never multiply each other."""
-    want = ids.select(F.col("id").alias("user_id")).distinct()
-    users = t["users"].join(want, t["users"]["id"] == want["user_id"], "left_semi")
+def export_user(t: dict[str, DataFrame], ids: DataFrame | None = None) -> DataFrame:
+    """Everything held on the given users (all users when ``ids`` is None),
+    one nested document each: profile, orders (with items), requests, sent
+    messages, notifications, audit rows. Each child table is aggregated by
+    user *before* the joins, so children never multiply each other."""
+    want = None if ids is None else ids.select(F.col("id").alias("user_id")).distinct()
+    users = t["users"] if want is None else t["users"].join(want, t["users"]["id"] == want["user_id"], "left_semi")
 
     def per_user(df: DataFrame, key: str, name: str, cols: list[str]) -> DataFrame:
-        kept = df.join(want, df[key] == want["user_id"], "left_semi")
+        kept = df if want is None else df.join(want, df[key] == want["user_id"], "left_semi")
         return kept.groupBy(F.col(key).alias(f"_{name}")).agg(
             F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
 

@@ -254,7 +254,7 @@ FROM d_users u
 """)
 def q_export_user(d):
     """Data export of every user, summarised for comparison."""
-    doc = integrity.export_user(load_tables_from_binding(d), d.users.select("id"))
+    doc = integrity.export_user(load_tables_from_binding(d))
     return doc.select(
         "user_id", F.col("profile.email").alias("email"),
         F.size("orders").cast("bigint").alias("n_orders"),

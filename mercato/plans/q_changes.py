@@ -462,3 +462,57 @@ def q_write_snapshot(d):
     table, _ = _product_patch(d)
     write_snapshot(table, root)
     return read_snapshot(d.spark, root).select("id", "slug", "title", "price_cents", "is_active", "updated_at")
+
+
+ADMIN_USER_ISSUES = "concat_ws(',', " + ", ".join([
+    bad(f"regexp_matches(email, '{EMAIL_RE}')", "email"), bad("length(password) >= 8", "password"),
+    bad("length(name) >= 2", "name"), bad("role IN ('customer', 'editor', 'admin')", "role")]) + ")"
+
+
+@register("admin_create_users", f"""
+WITH r AS (SELECT seq, lower(email) AS email, role, {ADMIN_USER_ISSUES} AS issues_canon FROM d_admin_users),
+x AS (SELECT r.*, EXISTS (SELECT 1 FROM d_users u WHERE lower(u.email) = r.email) AS taken FROM r),
+w AS (SELECT email, min(seq) AS first_seq FROM x WHERE issues_canon = '' AND NOT taken GROUP BY email)
+SELECT x.seq, x.email, x.role,
+       CASE WHEN x.issues_canon <> '' THEN 'invalid' WHEN x.taken OR x.seq <> w.first_seq THEN 'conflict'
+            ELSE 'created' END AS outcome,
+       x.issues_canon,
+       CASE WHEN x.issues_canon = '' AND NOT x.taken AND x.seq = w.first_seq
+            THEN sha256(concat_ws('~', 'user', x.email)) END AS user_id
+FROM x LEFT JOIN w ON w.email = x.email
+""")
+def q_admin_create_users(d):
+    """Admin user creation: the admin rule set and the chosen role."""
+    inserts, outcomes = changes.register_users(d.admin_users, d.users, NOW, admin=True)
+    roles = d.admin_users.select(F.col("seq").alias("_s"), "role")
+    return (outcomes.join(roles, outcomes["seq"] == roles["_s"], "left")
+            .select("seq", "email", "role", "outcome", canon(), "user_id"))
+
+
+SERVICE_ISSUES = "concat_ws(',', " + ", ".join([
+    bad("length(slug) >= 3", "slug"), bad("length(title) >= 3", "title"),
+    bad("length(description) >= 10", "description"),
+    bad("base_price_cents IS NOT NULL AND base_price_cents >= 0", "price")]) + ")"
+
+
+@register("insert_services", f"""
+WITH x AS (SELECT i.*, {SERVICE_ISSUES} AS issues_canon,
+                  EXISTS (SELECT 1 FROM d_services s WHERE s.slug = i.slug) AS taken FROM d_service_inserts i),
+o AS (SELECT x.*, CASE WHEN x.issues_canon <> '' THEN 'invalid'
+                       WHEN x.taken OR x.seq <> w.first_seq THEN 'conflict' ELSE 'created' END AS outcome
+      FROM x LEFT JOIN (SELECT slug, min(seq) AS first_seq FROM x WHERE issues_canon = '' AND NOT taken GROUP BY slug) w
+        ON w.slug = x.slug)
+SELECT o.seq, o.slug, o.outcome, o.issues_canon,
+       CASE WHEN o.outcome = 'created' THEN sha256(concat_ws('~', 'service', o.slug)) END AS id,
+       CASE WHEN o.outcome = 'created' THEN coalesce(o.is_active, true) END AS is_active,
+       CASE WHEN o.outcome = 'created' THEN coalesce(o.tags, CAST([] AS VARCHAR[])) END AS tags
+FROM o
+""")
+def q_insert_services(d):
+    """Service inserts: slug-unique check and defaults (is_active true, tags [])."""
+    inserts, outcomes = changes.insert_catalog(d.service_inserts, d.services, "service", NOW)
+    ins = inserts.select(F.col("slug").alias("_slug"), "id", "is_active", "tags")
+    return (outcomes.join(ins, outcomes["slug"] == ins["_slug"], "left")
+            .select("seq", "slug", "outcome", canon(), F.when(F.col("outcome") == "created", F.col("id")).alias("id"),
+                    F.when(F.col("outcome") == "created", F.col("is_active")).alias("is_active"),
+                    F.when(F.col("outcome") == "created", F.col("tags")).alias("tags")))

@@ -139,8 +139,8 @@ def q_request_status_stream(d):
 
 @register("notification_stream")
 def q_notification_stream(d):
-    """order_ready and deliverable_posted notifications produced by a stream
-    (replayed input deduplicated within the watermark)."""
+    """order_ready, deliverable_posted and message_posted notifications
+    produced by a stream (replayed input deduplicated within the watermark)."""
     from mercato.operators import changes as ch, guards
     from mercato.operators.orders import apply_payments
     from mercato.session import scratch_path
@@ -149,10 +149,14 @@ def q_notification_stream(d):
     _, paid = apply_payments(guards.payable_orders(d.payments, d.orders, d.users), d.orders)
     _, dvo = ch.post_deliverables(d.deliverable_posts, d.service_requests, d.users)
     dv = dvo.where(F.col("outcome") == "created").select("seq", "request_id", "deliverable_id", "ts")
+    _, mo = ch.post_messages(d.message_posts, d.service_requests, d.users)
+    mv = mo.where(F.col("outcome") == "created").select("seq", "request_id", "sender_id", "ts")
     ppath = write_stream_input(paid, scratch_path(d.spark, "paid-in"), "paid_at", slices=2)
     dpath = write_stream_input(dv, scratch_path(d.spark, "dlv-in"), "ts", slices=2)
+    mpath = write_stream_input(mv, scratch_path(d.spark, "msg-in"), "ts", slices=2)
     s = notification_stream(read_stream(d.spark, ppath, paid.schema), read_stream(d.spark, dpath, dv.schema),
-                            d.service_requests, lateness="36500 days")
+                            d.service_requests, read_stream(d.spark, mpath, mv.schema), d.users,
+                            lateness="36500 days")
     out = run_available_now(s, name="notify")
     from mercato.operators.notify import NOTIFY_COLS
 
@@ -168,11 +172,11 @@ def _reuse_oracles():
     ORACLE["attempt_limiter_stream"] = ORACLE["attempt_limiter"]
     ORACLE["session_stream"] = ORACLE["active_sessions"]
     ctes = []
-    for name in ("order_ready", "deliverable_posted"):
+    for name in ("order_ready", "deliverable_posted", "message_posted"):
         for c in q_notify.BRANCH_SQL[name][1]:
             if c not in ctes:
                 ctes.append(c)
-    body = "\nUNION ALL\n".join(f"({q_notify.BRANCH_SQL[n][0].strip()})" for n in ("order_ready", "deliverable_posted"))
+    body = "\nUNION ALL\n".join(f"({q_notify.BRANCH_SQL[n][0].strip()})" for n in ("order_ready", "deliverable_posted", "message_posted"))
     ORACLE["notification_stream"] = with_binding(body, *ctes)
 
 

@@ -294,6 +294,28 @@ SELECT c_custkey + CASE WHEN c_custkey % 40 = 0 THEN 1000000 ELSE 0 END AS id,
        CASE WHEN c_custkey % 7 = 0 THEN 'editor' WHEN c_custkey % 7 = 1 THEN 'owner' END AS role,
        CAST(NULL AS STRING) AS password
 FROM customer
+""",
+    "d_admin_users": """
+SELECT c_custkey AS seq,
+       CASE WHEN c_custkey % 11 = 0 THEN 'not-an-email'
+            ELSE concat('Staff', CAST((c_custkey * 3) % 500 AS STRING), '@Example.com') END AS email,
+       CASE WHEN c_custkey % 13 = 0 THEN 'short' ELSE 'long-enough-1' END AS password,
+       CASE WHEN c_custkey % 17 = 0 THEN 'x' ELSE c_name END AS name,
+       CASE c_custkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'editor' WHEN 2 THEN 'customer' ELSE 'owner' END AS role
+FROM customer
+""",
+    "d_service_inserts": """
+SELECT s_suppkey AS seq,
+       CASE WHEN s_suppkey % 7 = 0 THEN concat('service-', CAST(s_suppkey AS STRING))
+            WHEN s_suppkey % 7 = 1 THEN 'dup-service'
+            WHEN s_suppkey % 7 = 2 THEN 'sv'
+            ELSE concat('svc-new-', CAST(s_suppkey AS STRING)) END AS slug,
+       concat(s_name, ' plus') AS title,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'short' ELSE concat('Extended offering by ', s_name) END AS description,
+       CASE WHEN s_suppkey % 9 = 0 THEN -100 ELSE CAST(s_nationkey * 1000 AS INT) END AS base_price_cents,
+       CASE WHEN s_suppkey % 3 = 0 THEN false END AS is_active,
+       CASE WHEN s_suppkey % 2 = 0 THEN split(concat('nation-', CAST(s_nationkey AS STRING)), ',') END AS tags
+FROM supplier
 """,
 }
 
@@ -399,4 +421,9 @@ def with_binding(body: str, *extra_ctes: tuple[str, str]) -> str:
     ctes += [f"{n} AS ({sql.strip()})" for n, sql in extra_ctes]
     if not ctes:
         return body.strip()
-    return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+    text = body.strip()
+    head = re.match(r"(?is)^with(\s+recursive)?\s+", text)
+    if head:  # the body has its own WITH: merge both lists into one clause
+        kw = "WITH RECURSIVE " if head.group(1) else "WITH "
+        return kw + ",\n".join(ctes) + ",\n" + text[head.end():]
+    return "WITH " + ",\n".join(ctes) + "\n" + text

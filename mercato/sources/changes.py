@@ -13,10 +13,15 @@ CORRUPT = "_corrupt_record"
 
 
 def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows with the raw line in ``_corrupt_record``)."""
+    """(good rows, bad rows with the raw line in ``_corrupt_record``).
+
+    Lines are read as text and parsed with ``from_json`` (PERMISSIVE, with a
+    corrupt-record column), so the reject path is an ordinary column that
+    any query, counts included, can use. Blank lines are skipped."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    df = lines.select(F.from_json("value", full, opts).alias("_r")).select("_r.*")
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull())
     return good, bad

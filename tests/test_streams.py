@@ -39,3 +39,53 @@ def test_session_stream_equals_batch(spark):
     lg = ev.where(F.col("event_id") % 4 == 0).select(F.col("event_id").alias("id"), "user_id", "ts")
     want = {(r.event_id, r.login_id) for r in active_sessions(lg, ev).collect()}
     assert got == want
+
+
+def test_request_status_stream_applies_sequential_guards(spark):
+    """Accept after a decline is refused; an order pays once; re-quote after
+    accept allows a second accept - checked against a hand fold."""
+    import datetime as dt
+
+    from mercato.streaming.jobs import request_status_stream
+
+    T = dt.datetime(2024, 1, 1)
+    rows = [(1, "init", "open", None, T, 0), (1, "quote", None, None, T + dt.timedelta(hours=1), 1),
+            (1, "decline", None, None, T + dt.timedelta(hours=2), 2),
+            (1, "accept", None, None, T + dt.timedelta(hours=3), 3),          # refused: declined
+            (2, "init", "quoted", "sent", T, 0), (2, "accept", None, None, T + dt.timedelta(hours=1), 1),
+            (2, "pay", None, "o1", T + dt.timedelta(hours=2), 2), (2, "deliver", None, None, T + dt.timedelta(hours=3), 3),
+            (2, "pay", None, "o1", T + dt.timedelta(hours=4), 4),             # paid twice: no-op
+            (3, "init", "quoted", "accepted", T, 0), (3, "quote", None, None, T + dt.timedelta(hours=1), 1),
+            (3, "accept", None, None, T + dt.timedelta(hours=2), 2)]
+    df = spark.createDataFrame(rows, "request_id long, kind string, status string, order_id string, "
+                                     "ts timestamp_ntz, seq long")
+    path = write_stream_input(df, scratch_path(spark, "t-rs"), "ts", slices=2, files_per_slice=1)
+    out = run_available_now(request_status_stream(read_stream(spark, path, df.schema, files_per_trigger=1)),
+                            mode="update", name="t-rs")
+    res = spark.read.parquet(out)
+    last = {r.request_id: r for r in res.groupBy("request_id").agg(
+        F.max_by(F.struct("status", "quote_status"), F.col("batch")).alias("s")).select("request_id", "s.*").collect()}
+    assert (last[1].status, last[1].quote_status) == ("declined", "declined")
+    assert (last[2].status, last[2].quote_status) == ("delivered", "accepted")
+    assert (last[3].status, last[3].quote_status) == ("in_progress", "accepted")
+
+
+def test_unread_stream_keeps_newest_k(spark):
+    import datetime as dt
+
+    from mercato.streaming.jobs import unread_stream
+
+    T = dt.datetime(2024, 1, 1)
+    notes = spark.createDataFrame([(i, 7, T + dt.timedelta(minutes=i), None) for i in range(5)],
+                                  "id long, user_id long, created_at timestamp_ntz, read_at timestamp_ntz")
+    reads = spark.createDataFrame([(4, 7), (0, 7), (3, 8)], "id long, user_id long")
+    npath = write_stream_input(notes, scratch_path(spark, "t-un"), "created_at", slices=2, files_per_slice=1)
+    rpath = scratch_path(spark, "t-ur")
+    reads.write.parquet(rpath)
+    out = run_available_now(unread_stream(read_stream(spark, npath, notes.schema),
+                                          read_stream(spark, rpath, reads.schema), k=3), mode="update", name="t-un")
+    res = spark.read.parquet(out)
+    last = res.groupBy("user_id").agg(F.max_by(F.struct("unread", "n_latest"), F.col("batch")).alias("s")) \
+        .select("user_id", "s.*").collect()
+    # newest 3 of user 7 are ids 4, 3, 2; id 4 read (id 0 is outside the 3); user 8's read touches nothing
+    assert [(r.user_id, r.unread, r.n_latest) for r in last] == [(7, 2, 3)]

@@ -18,8 +18,18 @@ from mercato.operators import notify
 from mercato.operators.feeds import first_staff
 from mercato.operators.limiter import _seconds
 from mercato.session import scratch_path
+from mercato.streaming import processors
 from mercato.streaming.processors import limiter_fold, request_status_fold, session_fold, unread_fold
 
+# Ship the per-key folds by value: executors then need only pandas/numpy,
+# not this package on their Python path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(processors)
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to by-reference
+    pass
+
 DEFAULT_LATENESS = "1 hour"
 
 

@@ -12,6 +12,18 @@ from mercato.plans.registry import register
 LIMIT, REFILL = 3, "2 days"
 
 
+def _events_sql():
+    """The batch status events (q_changes) as one SQL text for the oracle."""
+    from mercato.plans.q_changes import (_ACCEPT_FINAL, _ACCEPT_OUT, _DECLINE_OUT, _DLV_OUT, _EVENTS, _PAID,
+                                         _PAY_OUT, _QUOTE_OUT, _STATUS_OUT)
+
+    parts = [_STATUS_OUT, _QUOTE_OUT, _ACCEPT_OUT, _ACCEPT_FINAL, _DECLINE_OUT, _DLV_OUT, _PAY_OUT, _PAID]
+    return ("WITH " + ",\n".join(f"{n} AS ({q.strip()})" for n, q in parts) + "\n" + _EVENTS[1].strip())
+
+
+_EVENTS_SQL = _events_sql()
+
+
 @register("attempt_limiter", """
 WITH RECURSIVE a AS (
   SELECT user_id AS k, event_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
@@ -107,7 +119,39 @@ def q_unread_stream(d):
     return last.select("user_id", F.col("_l.unread").alias("unread"), F.col("_l.n_latest").alias("n_latest"))
 
 
-@register("request_status_stream")
+@register("request_status_stream", """
+WITH RECURSIVE ev AS (
+  SELECT r.id AS request_id, 'init' AS kind, r.status, q.status AS order_id,
+         TIMESTAMP '1970-01-01 00:00:00' AS ts, CAST(0 AS BIGINT) AS seq, r.updated_at AS init_at
+  FROM d_service_requests r LEFT JOIN d_quotes q ON q.service_request_id = r.id
+  UNION ALL
+  SELECT request_id, CASE status WHEN 'quoted' THEN 'quote' WHEN 'in_progress' THEN 'accept' WHEN 'declined' THEN 'decline'
+                                 WHEN 'delivered' THEN 'deliver' WHEN 'paid' THEN 'pay' ELSE 'set' END,
+         status, CAST(seq AS VARCHAR), ts, seq, CAST(NULL AS TIMESTAMP) AS init_at FROM ev0),
+e AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts, seq) AS rn FROM ev),
+r AS (
+  SELECT request_id, rn, status, init_at AS updated_at, order_id AS quote_status, CAST([] AS VARCHAR[]) AS paid
+  FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.request_id, e.rn,
+         coalesce(x.new_status, r.status),
+         CASE WHEN x.new_status IS NOT NULL THEN e.ts ELSE r.updated_at END,
+         CASE e.kind WHEN 'quote' THEN 'sent'
+                     WHEN 'accept' THEN CASE WHEN r.quote_status IN ('sent', 'draft') THEN 'accepted' ELSE r.quote_status END
+                     WHEN 'decline' THEN 'declined' ELSE r.quote_status END,
+         CASE WHEN e.kind = 'pay' AND NOT list_contains(r.paid, e.order_id) THEN list_append(r.paid, e.order_id)
+              ELSE r.paid END
+  FROM r JOIN e ON e.request_id = r.request_id AND e.rn = r.rn + 1
+  CROSS JOIN LATERAL (SELECT CASE e.kind
+      WHEN 'quote' THEN 'quoted'
+      WHEN 'accept' THEN CASE WHEN r.quote_status IN ('sent', 'draft') THEN 'in_progress' END
+      WHEN 'decline' THEN 'declined'
+      WHEN 'pay' THEN CASE WHEN NOT list_contains(r.paid, e.order_id) THEN 'paid' END
+      WHEN 'deliver' THEN 'delivered'
+      ELSE e.status END AS new_status) x)
+SELECT request_id AS id, status, updated_at, quote_status FROM r
+QUALIFY rn = max(rn) OVER (PARTITION BY request_id)
+""", ("ev_batch", _EVENTS_SQL), ("ev0", "SELECT request_id, status, ts, seq FROM ev_batch"))
 def q_request_status_stream(d):
     """Request statuses from a stream of transition events with sequential
     guards, seeded by one init row per request."""
@@ -124,9 +168,10 @@ def q_request_status_stream(d):
     init = (d.service_requests.join(q, F.col("id") == F.col("_r"), "left")
             .select(F.col("id").alias("request_id"), F.lit("init").alias("kind"), "status",
                     F.col("_qs").alias("order_id"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
-                    F.lit(0).cast("long").alias("seq")))
+                    F.lit(0).cast("long").alias("seq"), F.col("updated_at").alias("init_at")))
     rows = init.unionByName(ev.select("request_id", kind.alias("kind"), "status",
-                                      F.col("seq").cast("string").alias("order_id"), "ts", "seq"))
+                                      F.col("seq").cast("string").alias("order_id"), "ts", "seq",
+                                      F.lit(None).cast("timestamp_ntz").alias("init_at")))
     path = write_stream_input(rows, scratch_path(d.spark, "status-in"), "ts", slices=2)
     out = run_available_now(request_status_stream(read_stream(d.spark, path, rows.schema)), mode="update",
                             name="status")

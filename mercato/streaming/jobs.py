@@ -66,8 +66,10 @@ def request_status_stream(events: DataFrame) -> DataFrame:
     """events (request_id, kind, status, order_id, ts, seq) -> current
     (request_id, status, updated_at, quote_status) per trigger, with the
     sequential guards: accept only from sent/draft, an order pays once."""
+    at = F.col("init_at").cast("timestamp") if "init_at" in events.columns else F.lit(None).cast("timestamp")
     e = events.select("request_id", "kind", "status", F.col("order_id").cast("string").alias("order_id"),
-                      F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
+                      F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"),
+                      at.alias("init_at"))
     return e.groupBy("request_id").applyInPandasWithState(
         request_status_fold(), "request_id long, status string, updated_at timestamp, quote_status string",
         "status string, updated long, quote string, paid string", "update", GroupStateTimeout.NoTimeout)

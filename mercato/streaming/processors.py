@@ -87,8 +87,10 @@ def unread_fold(k: int):
 
 def request_status_fold():
     """state (status, updated_us, quote_status, paid json); rows (request_id,
-    kind, status, order_id, ts, seq) in (ts, seq) order. Guards: accept only
-    from sent/draft; an order pays once; an init row seeds the state."""
+    kind, status, order_id, ts, seq[, init_at]) in (ts, seq) order. Guards: accept
+    only from sent/draft; an order pays once. An init row (sorted first)
+    seeds the state: status, quote status in ``order_id``, and the request's
+    own updated_at in ``init_at``."""
 
     def fn(key, pdfs, state):
         df = _concat(pdfs)
@@ -100,10 +102,11 @@ def request_status_fold():
             paid = set(json.loads(paid))
         else:
             status, updated, quote, paid = None, None, None, set()
-        for kind, st, order, ts, u in zip(df["kind"], df["status"], df["order_id"], df["ts"], _us(df["ts"])):
+        at = _us(df["init_at"].fillna(df["ts"])) if "init_at" in df.columns else _us(df["ts"])
+        for kind, st, order, u, a in zip(df["kind"], df["status"], df["order_id"], _us(df["ts"]), at):
             new = None
             if kind == "init":
-                status, updated, quote = st, int(u), (order if isinstance(order, str) else None)
+                status, updated, quote = st, int(a), (order if isinstance(order, str) else None)
                 continue
             if kind == "quote":
                 quote, new = "sent", "quoted"

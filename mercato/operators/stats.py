@@ -53,13 +53,14 @@ def recent_orders(orders: DataFrame, k: int = 5) -> DataFrame:
 
 def dashboard_stats(users: DataFrame, products: DataFrame, services: DataFrame,
                     requests: DataFrame, orders: DataFrame) -> DataFrame:
-    """The five dashboard numbers in one row (one plan, one-row sides only)."""
-    n = lambda df, alias: df.select().agg(F.count(F.lit(1)).alias(alias))
-    return (n(users, "users")
-            .crossJoin(n(products, "products"))
-            .crossJoin(n(services, "services"))
-            .crossJoin(count_open_requests(requests))
-            .crossJoin(paid_revenue(orders)))
+    """The five dashboard numbers in one row. Each number is an uncorrelated
+    scalar subquery over its table (a global aggregate), so the row needs
+    no join at all."""
+    n = lambda df: df.select().agg(F.count(F.lit(1))).scalar()
+    return users.sparkSession.range(1).select(
+        n(users).alias("users"), n(products).alias("products"), n(services).alias("services"),
+        count_open_requests(requests).scalar().alias("open_requests"),
+        paid_revenue(orders).scalar().alias("mock_revenue_cents"))
 
 
 def admin_dashboard(users, products, services, requests, orders, k: int = 5):

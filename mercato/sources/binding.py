@@ -60,8 +60,8 @@ SELECT o.o_orderkey AS id,
        CAST(round(o.o_totalprice * 100) AS INT) AS total_cents,
        CASE o.o_orderpriority WHEN '1-URGENT' THEN 'service' WHEN '2-HIGH' THEN 'coaching' ELSE 'digital' END AS type,
        o.o_orderdate AS created_at,
-       CASE WHEN o.o_orderpriority = '1-URGENT' AND o.o_orderkey % 5 <> 0 THEN o.o_orderkey % k.n END AS service_request_id
-FROM orders o CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k
+       CASE WHEN o.o_orderpriority = '1-URGENT' AND o.o_orderkey % 5 <> 0 THEN o.o_orderkey % (SELECT count(DISTINCT conv_id) FROM conversations) END AS service_request_id
+FROM orders o
 """,
     "d_order_items": """
 SELECT concat_ws('-', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRING), CAST(l.l_partkey AS STRING),
@@ -81,14 +81,13 @@ FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN supplier s ON s.s_
     "d_service_requests": """
 SELECT c.conv_id AS id,
        c.conv_id + 2 AS user_id,
-       c.conv_id % k.n AS service_id,
+       c.conv_id % (SELECT count(*) FROM supplier) AS service_id,
        CASE c.conv_id % 8 WHEN 0 THEN 'open' WHEN 1 THEN 'needs_info' WHEN 2 THEN 'quoted' WHEN 3 THEN 'paid'
             WHEN 4 THEN 'in_progress' WHEN 5 THEN 'delivered' WHEN 6 THEN 'completed' ELSE 'declined' END AS status,
        concat('{"goal":"g', CAST(c.conv_id % 5 AS STRING), '"}') AS brief,
        e.ts AS created_at,
        e.ts AS updated_at
 FROM (SELECT DISTINCT conv_id FROM conversations) c
-CROSS JOIN (SELECT count(*) AS n FROM supplier) k
 JOIN events e ON e.event_id = c.conv_id
 """,
     "d_messages": """
@@ -101,11 +100,11 @@ SELECT c.conv_id * 100 + c.turn AS id,
 FROM conversations c JOIN events e ON e.event_id = c.conv_id * 8 + c.turn
 """,
     "d_quote_submissions": """
-SELECT e.event_id AS id, e.event_id % k.n AS service_request_id,
+SELECT e.event_id AS id, e.event_id % (SELECT count(DISTINCT conv_id) FROM conversations) AS service_request_id,
        CAST(round(e.value * 100) AS INT) AS amount_cents,
        CASE WHEN e.event_id % 2 = 0 THEN e.props END AS notes,
        e.ts AS submitted_at
-FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k
+FROM events e
 WHERE e.event_type = 'purchase'
 """,
     "d_quotes": """
@@ -123,10 +122,10 @@ SELECT event_id AS id, user_id, event_type AS type, event_type AS title, concat(
 FROM events
 """,
     "d_deliverables": """
-SELECT p.page_id AS id, p.page_id % k.n AS service_request_id,
+SELECT p.page_id AS id, p.page_id % (SELECT count(DISTINCT conv_id) FROM conversations) AS service_request_id,
        concat('File ', CAST(p.page_id AS STRING)) AS title, p.url AS file_url, e.ts AS created_at,
        CASE WHEN p.page_id % 2 = 0 THEN concat('Delivery ', CAST(p.page_id AS STRING)) END AS description
-FROM pages p CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k
+FROM pages p
 JOIN events e ON e.event_id = p.page_id
 """,
     "d_audit_log": """
@@ -149,11 +148,10 @@ FROM customer
 """,
     "d_product_patches": """
 SELECT p_partkey + CASE WHEN p_partkey % 40 = 0 THEN 1000000 ELSE 0 END AS id,
-       CASE WHEN p_partkey % 20 = 0 THEN 'new-slug' WHEN p_partkey % 60 = 10 THEN k.slug_1 END AS slug,
+       CASE WHEN p_partkey % 20 = 0 THEN 'new-slug' WHEN p_partkey % 60 = 10 THEN (SELECT concat(replace(lower(p_name), ' ', '-'), '-1') FROM part WHERE p_partkey = 1) END AS slug,
        CASE WHEN p_partkey % 4 = 0 THEN concat(part.p_name, ' v2') END AS title,
        CASE WHEN p_partkey % 8 = 0 THEN CAST(p_size * 100 AS INT) END AS price_cents
 FROM part
-CROSS JOIN (SELECT concat(replace(lower(p_name), ' ', '-'), '-1') AS slug_1 FROM part WHERE p_partkey = 1) k
 WHERE p_partkey % 2 = 0
 """,
     "d_payments": """
@@ -192,11 +190,11 @@ SELECT p_partkey AS seq,
 FROM part
 """,
     "d_request_events": """
-SELECT e.event_id AS seq, e.event_id % k.n AS request_id,
+SELECT e.event_id AS seq, e.event_id % (SELECT count(DISTINCT conv_id) FROM conversations) AS request_id,
        CASE e.event_type WHEN 'signup' THEN 'quote' WHEN 'view' THEN 'accept' WHEN 'click' THEN 'decline'
             WHEN 'purchase' THEN 'pay' ELSE 'deliver' END AS kind,
        e.user_id AS actor_id, e.ts AS ts
-FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k
+FROM events e
 """,
     "d_slug_lookups": """
 SELECT p_partkey AS seq,
@@ -218,11 +216,11 @@ SELECT c_custkey AS id,
 FROM customer
 """,
     "d_quote_answers": """
-SELECT e.event_id AS seq, e.event_id % k.n AS quote_id,
-       CASE WHEN e.event_id % 3 = 0 THEN e.event_id % k.n + 2 ELSE e.user_id END AS caller_id,
+SELECT e.event_id AS seq, e.event_id % (SELECT count(DISTINCT conv_id) FROM conversations) AS quote_id,
+       CASE WHEN e.event_id % 3 = 0 THEN e.event_id % (SELECT count(DISTINCT conv_id) FROM conversations) + 2 ELSE e.user_id END AS caller_id,
        CASE WHEN e.event_id % 2 = 0 THEN 'accept' ELSE 'decline' END AS action,
        e.ts AS ts
-FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k
+FROM events e
 WHERE e.event_type = 'view'
 """,
     "d_login_attempts": """
@@ -245,10 +243,10 @@ FROM events WHERE event_id % 5 = 0
 SELECT event_id AS id, user_id, ts FROM events WHERE event_type IN ('signup', 'click')
 """,
     "d_request_rows": """
-SELECT e.event_id AS seq, e.user_id + 1 AS user_id, e.event_id % (k.n + 5) AS service_id,
+SELECT e.event_id AS seq, e.user_id + 1 AS user_id, e.event_id % ((SELECT count(*) FROM supplier) + 5) AS service_id,
        CASE WHEN e.event_id % 9 = 0 THEN 'not json' ELSE concat('{"note":"n', CAST(e.event_id % 7 AS STRING), '"}') END AS brief,
        e.ts AS ts
-FROM events e CROSS JOIN (SELECT count(*) AS n FROM supplier) k WHERE e.event_type = 'error'
+FROM events e WHERE e.event_type = 'error'
 """,
     "d_message_posts": """
 SELECT c.conv_id * 100 + c.turn AS seq,
@@ -261,29 +259,29 @@ SELECT c.conv_id * 100 + c.turn AS seq,
 FROM conversations c JOIN events e ON e.event_id = c.conv_id * 8 + c.turn
 """,
     "d_deliverable_posts": """
-SELECT p.page_id AS seq, p.page_id % (k.n + 3) AS request_id,
+SELECT p.page_id AS seq, p.page_id % ((SELECT count(DISTINCT conv_id) FROM conversations) + 3) AS request_id,
        CASE WHEN p.page_id % 4 = 0 THEN p.page_id % 1500 + 2 ELSE 50 * (p.page_id % 3 + 1) END AS actor_id,
        CASE WHEN p.page_id % 11 = 0 THEN 'x' ELSE concat('Deliverable ', CAST(p.page_id AS STRING)) END AS title,
        CASE WHEN p.page_id % 2 = 0 THEN 'Final files' END AS description,
        CASE WHEN p.page_id % 13 = 0 THEN 'ftp:/bad' ELSE p.url END AS file_url,
        e.ts AS ts
-FROM pages p CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k JOIN events e ON e.event_id = p.page_id
+FROM pages p JOIN events e ON e.event_id = p.page_id
 """,
     "d_quote_posts": """
-SELECT e.event_id AS seq, e.event_id % (k.n + 3) AS request_id,
+SELECT e.event_id AS seq, e.event_id % ((SELECT count(DISTINCT conv_id) FROM conversations) + 3) AS request_id,
        CASE WHEN e.event_id % 6 = 0 THEN e.user_id + 2 ELSE 50 * (e.event_id % 3 + 1) END AS actor_id,
        CASE WHEN e.event_id % 13 = 0 THEN -5 ELSE CAST(round(e.value * 100) AS INT) END AS amount_cents,
        CASE WHEN e.event_id % 2 = 0 THEN e.props END AS notes, e.ts AS ts
-FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k WHERE e.event_type = 'purchase'
+FROM events e WHERE e.event_type = 'purchase'
 """,
     "d_status_posts": """
-SELECT e.event_id AS seq, e.event_id % (k.n + 3) AS request_id,
+SELECT e.event_id AS seq, e.event_id % ((SELECT count(DISTINCT conv_id) FROM conversations) + 3) AS request_id,
        CASE WHEN e.event_id % 5 = 0 THEN e.user_id + 2 ELSE 100 END AS actor_id,
        CASE e.event_id % 9 WHEN 0 THEN 'open' WHEN 1 THEN 'needs_info' WHEN 2 THEN 'quoted' WHEN 3 THEN 'paid'
             WHEN 4 THEN 'in_progress' WHEN 5 THEN 'delivered' WHEN 6 THEN 'completed' WHEN 7 THEN 'declined'
             ELSE 'bogus' END AS status,
        e.ts AS ts
-FROM events e CROSS JOIN (SELECT count(DISTINCT conv_id) AS n FROM conversations) k WHERE e.event_type = 'error'
+FROM events e WHERE e.event_type = 'error'
 """,
     "d_user_patches": """
 SELECT c_custkey + CASE WHEN c_custkey % 40 = 0 THEN 1000000 ELSE 0 END AS id,

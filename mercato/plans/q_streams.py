@@ -64,12 +64,6 @@ def _ntz(df, *cols):
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def _oracle_of(name):
-    from mercato.plans.registry import ORACLE
-
-    return ORACLE.get(name)
-
-
 @register("attempt_limiter_stream")
 def q_attempt_limiter_stream(d):
     """The limiter as a stateful stream (state = tokens and anchor per user)."""

@@ -516,3 +516,42 @@ def q_insert_services(d):
             .select("seq", "slug", "outcome", canon(), F.when(F.col("outcome") == "created", F.col("id")).alias("id"),
                     F.when(F.col("outcome") == "created", F.col("is_active")).alias("is_active"),
                     F.when(F.col("outcome") == "created", F.col("tags")).alias("tags")))
+
+
+@register("validate_orders", """
+SELECT r.order_seq,
+       concat_ws(',',
+         CASE WHEN NOT coalesce(r.type IN ('digital', 'service', 'coaching'), false) THEN 'type' END,
+         CASE WHEN NOT coalesce(l.n >= 1, false) THEN 'items' END,
+         CASE WHEN NOT coalesce(l.q_ok, false) THEN 'quantity' END,
+         CASE WHEN NOT coalesce(l.k_ok, false) THEN 'key' END) AS issues_canon
+FROM d_order_requests r
+LEFT JOIN (SELECT order_seq, count(*) AS n, bool_and(coalesce(quantity > 0, false)) AS q_ok,
+                  bool_and((product_id IS NULL OR product_id >= 0) AND (service_id IS NULL OR service_id >= 0)) AS k_ok
+           FROM d_order_lines GROUP BY order_seq) l ON l.order_seq = r.order_seq
+""")
+def q_validate_orders(d):
+    """Order payloads (type + nested items) against the order rule set."""
+    items = d.order_lines.groupBy("order_seq").agg(
+        F.collect_list(F.struct("product_id", "service_id", "quantity")).alias("items"))
+    body = d.order_requests.join(items, "order_seq", "left")
+    return body.select("order_seq", F.array_join(issues("order"), ",").alias("issues_canon"))
+
+
+@register("validate_payments", """
+SELECT order_id, caller_id, CASE WHEN NOT coalesce(order_id >= 0, false) THEN 'key' ELSE '' END AS issues_canon
+FROM d_payments
+""")
+def q_validate_payments(d):
+    return d.payments.select("order_id", "caller_id", F.array_join(issues("payment"), ",").alias("issues_canon"))
+
+
+@register("validate_broadcasts", """
+SELECT seq, concat_ws(',', CASE WHEN NOT coalesce(length(title) >= 3, false) THEN 'title' END,
+                           CASE WHEN NOT coalesce(length(body) >= 3, false) THEN 'body' END,
+                           CASE WHEN role IS NOT NULL AND NOT coalesce(role IN ('customer', 'editor', 'admin'), false)
+                                THEN 'role' END) AS issues_canon
+FROM d_broadcasts
+""")
+def q_validate_broadcasts(d):
+    return d.broadcasts.select("seq", F.array_join(issues("broadcast"), ",").alias("issues_canon"))

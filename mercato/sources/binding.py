@@ -406,9 +406,10 @@ _DOMAINS: dict[tuple[int, str], Domain] = {}
 def bind(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Domain:
     """The (cached) binding of ``sf_dir`` for this session."""
     key = (id(spark), sf_dir.rstrip("/"), materialize)
-    if key not in _DOMAINS:
-        _DOMAINS[key] = Domain(spark, sf_dir, materialize)
-    return _DOMAINS[key]
+    cached = _DOMAINS.get(key)
+    if cached is None or cached.spark is not spark or spark.sparkContext._jsc is None:
+        cached = _DOMAINS[key] = Domain(spark, sf_dir, materialize)
+    return cached
 
 
 def with_binding(body: str, *extra_ctes: tuple[str, str]) -> str:

@@ -55,7 +55,7 @@ def audience_cross(messages: DataFrame, users: DataFrame, broadcast_limit: int =
 
 
 def active_sessions(logins: DataFrame, events: DataFrame, lifetime: str = "7 days",
-                    bucket: str = "7 days") -> DataFrame:
+                    bucket: str = "1 hour") -> DataFrame:
     """Attribute each event to the session covering it: the user's latest
     login with ``login_ts <= ts < login_ts + lifetime`` (a login covers
     itself; ties go to the larger login id). Events with no covering login
@@ -64,11 +64,11 @@ def active_sessions(logins: DataFrame, events: DataFrame, lifetime: str = "7 day
     An as-of join that never pairs a user's logins with its events: logins
     and events form one time-ordered stream and a running
     ``last(login, ignorenulls)`` carries the latest login forward. The
-    window is partitioned by (user, time bucket), so a hot user is split
-    over its buckets. The login carried *into* a bucket is the user's last
-    login of any earlier bucket: a per-(user, bucket) max, carried forward
-    by a window over the user's distinct buckets (a few hundred rows per
-    user even over years)."""
+    window is partitioned by (user, hour), so a hot user is split over its
+    hours; the bucket only partitions the work (the result does not depend
+    on it). The login carried *into* a bucket is the user's last login of
+    any earlier bucket: a per-(user, bucket) max, carried forward by a
+    window over the user's non-empty buckets (one row per active hour)."""
     life = F.expr(f"INTERVAL {lifetime}")
     bsec = _seconds(bucket)
 

@@ -555,3 +555,31 @@ FROM d_broadcasts
 """)
 def q_validate_broadcasts(d):
     return d.broadcasts.select("seq", F.array_join(issues("broadcast"), ",").alias("issues_canon"))
+
+
+_SPATCH = ("sp", """
+SELECT sp.*,
+       concat_ws(',', CASE WHEN slug IS NOT NULL AND NOT coalesce(length(slug) >= 3, false) THEN 'slug' END,
+                      CASE WHEN title IS NOT NULL AND NOT coalesce(length(title) >= 3, false) THEN 'title' END,
+                      CASE WHEN base_price_cents IS NOT NULL AND NOT coalesce(base_price_cents >= 0, false) THEN 'price' END) AS issues_canon,
+       CAST(slug IS NOT NULL AS INT) + CAST(title IS NOT NULL AS INT) + CAST(base_price_cents IS NOT NULL AS INT) AS n_given,
+       EXISTS (SELECT 1 FROM d_services t WHERE t.id = sp.id) AS found,
+       EXISTS (SELECT 1 FROM d_services t WHERE t.slug = sp.slug AND t.id <> sp.id) AS clash
+FROM d_service_patches sp
+""")
+
+
+@register("apply_service_patches", """
+SELECT p.id, CASE WHEN p.issues_canon <> '' THEN 'invalid'
+                  WHEN p.slug IS NOT NULL AND (p.clash OR (w.claim IS NOT NULL AND p.id > w.claim)) THEN 'conflict'
+                  WHEN p.n_given = 0 THEN 'no_updates' WHEN NOT p.found THEN 'not_found' ELSE 'updated' END AS outcome,
+       p.issues_canon
+FROM sp p LEFT JOIN (SELECT slug, min(id) AS claim FROM sp
+                     WHERE issues_canon = '' AND slug IS NOT NULL AND NOT clash AND found GROUP BY slug) w
+  ON w.slug = p.slug
+""", _SPATCH)
+def q_apply_service_patches(d):
+    """Partial service updates (slug unique among services, updated_at bumped)."""
+    _, outcomes = changes.apply_patches(d.services, d.service_patches, ["slug", "title", "base_price_cents"], "slug",
+                                        NOW, rules=changes.patch_rules("service"))
+    return outcomes.select("id", "outcome", canon())

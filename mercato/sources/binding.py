@@ -314,6 +314,13 @@ SELECT s_suppkey AS seq,
        CASE WHEN s_suppkey % 3 = 0 THEN false END AS is_active,
        CASE WHEN s_suppkey % 2 = 0 THEN split(concat('nation-', CAST(s_nationkey AS STRING)), ',') END AS tags
 FROM supplier
+""",
+    "d_service_patches": """
+SELECT s_suppkey + CASE WHEN s_suppkey % 40 = 0 THEN 1000000 ELSE 0 END AS id,
+       CASE WHEN s_suppkey % 20 = 0 THEN 'new-service-slug' WHEN s_suppkey % 30 = 10 THEN 'service-1' END AS slug,
+       CASE WHEN s_suppkey % 4 = 0 THEN concat(s_name, ' v2') END AS title,
+       CASE WHEN s_suppkey % 16 = 0 THEN -1 WHEN s_suppkey % 6 = 0 THEN 5000 END AS base_price_cents
+FROM supplier WHERE s_suppkey % 2 = 0
 """,
 }
 

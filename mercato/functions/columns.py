@@ -98,3 +98,16 @@ def wall_micros(ts: Column | str) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return F.timestamp_diff("MICROSECOND", epoch, c.cast("timestamp_ntz"))
+
+
+def ntz(value) -> Column:
+    """A wall-clock ``timestamp_ntz`` literal from a Python datetime (or a
+    Column cast to it). Building it from text keeps it exact in any session
+    time zone; ``lit(datetime)`` would go through the process's zone."""
+    import datetime as _dt
+
+    if isinstance(value, Column):
+        return value.cast("timestamp_ntz")
+    if isinstance(value, _dt.datetime):
+        return F.lit(value.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value).cast("timestamp_ntz")

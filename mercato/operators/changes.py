@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.columns import STAFF_ROLES, is_staff, new_id
+from mercato.functions.columns import STAFF_ROLES, is_staff, new_id, ntz
 from mercato.functions.rules import issues, optional, _rules
 
 
 def _now(now, df: DataFrame, col: str = "created_at") -> Column:
-    return F.lit(now).cast("timestamp_ntz")
+    return ntz(now)
 
 
 def _callers(users: DataFrame, alias: str = "_caller") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.columns import STAFF_ROLES, newest_first
+from mercato.functions.columns import STAFF_ROLES, newest_first, ntz
 from mercato.operators.topk import top_k_per_key
 
 NOTIFICATION_COLS = ["id", "user_id", "type", "title", "body", "meta", "read_at", "created_at"]
@@ -46,6 +46,6 @@ def mark_read(notifications: DataFrame, reads: DataFrame, now) -> DataFrame:
     reads collapse (distinct before the join keeps the join 1:1)."""
     r = reads.select(F.col("id").alias("_rid"), F.col("user_id").alias("_ruid")).distinct()
     j = notifications.join(r, (notifications["id"] == r["_rid"]) & (notifications["user_id"] == r["_ruid"]), "left")
-    now_col = F.lit(now).cast(notifications.schema["read_at"].dataType)
+    now_col = ntz(now).cast(notifications.schema["read_at"].dataType)
     return (j.withColumn("read_at", F.when(F.col("_rid").isNotNull(), now_col).otherwise(F.col("read_at")))
             .drop("_rid", "_ruid"))

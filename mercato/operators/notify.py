@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.columns import new_id
+from mercato.functions.columns import new_id, ntz
 from mercato.operators.feeds import first_staff, staff_sample
 from mercato.operators.keys import audience_cross
 
@@ -107,7 +107,7 @@ def broadcast(messages: DataFrame, users: DataFrame, now) -> tuple[DataFrame, Da
     fan = audience_cross(messages, users)
     rows = _rows(fan, "broadcast", F.col("seq"), F.col("user_id"), BROADCAST_TYPE, F.col("title"), F.col("body"),
                  F.struct(F.coalesce(F.col("role"), F.lit("all")).alias("role")),
-                 F.lit(now))
+                 ntz(now))
     counts = fan.groupBy(F.col("seq").alias("_s")).agg(F.count(F.lit(1)).alias("inserted"))
     per_msg = (messages.join(counts, messages["seq"] == counts["_s"], "left")
                .select("seq", F.coalesce("inserted", F.lit(0).cast("bigint")).alias("inserted")))

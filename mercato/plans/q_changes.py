@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from mercato.functions.columns import ntz
 from mercato.functions.rules import EMAIL_RE, URL_RE, validate_rows, issues
 from mercato.operators import changes, guards
 from mercato.plans.registry import register
@@ -422,7 +423,7 @@ def q_audit_events(d):
     logins = account_by_email(d.login_attempts, d.users).where(F.col("outcome") == "ok").select(
         "seq", "user_id", F.col("normalized_email").alias("email"), "ts")
     _, reg = changes.register_users(d.registrations, d.users, NOW)
-    regs = reg.where(F.col("outcome") == "created").select("seq", "user_id", "email", F.lit(NOW).alias("ts"))
+    regs = reg.where(F.col("outcome") == "created").select("seq", "user_id", "email", ntz(NOW).alias("ts"))
     return audit_events(logins, regs)
 
 

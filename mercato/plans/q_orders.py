@@ -59,10 +59,10 @@ FROM top t LEFT JOIN d_order_items i ON i.order_id = t.id
 GROUP BY t.user_id, t.id, t.total_cents, t.status, t.type, t.created_at, t.service_request_id, t.rank
 """, ("top", """SELECT user_id, id, total_cents, status, type, created_at, service_request_id,
        row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS FIRST, id DESC) AS rank
-FROM d_orders QUALIFY rank <= 3"""))
+FROM d_orders QUALIFY rank <= 50"""))
 def q_latest_orders_with_items(d):
-    """Every user's newest 3 orders with nested items."""
-    out = orders.latest_orders_with_items(d.orders, d.order_items, 3)
+    """Every user's order list (newest 50) with nested items."""
+    out = orders.latest_orders_with_items(d.orders, d.order_items, 50)
     return out.select("user_id", *orders.ORDER_COLS, "rank", F.size("items").cast("bigint").alias("n_items"),
                       items_canon().alias("items_canon"))
 

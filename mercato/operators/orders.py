@@ -114,12 +114,22 @@ def order_totals(priced: DataFrame, order_key: str = "order_seq", line_key: str
     return agg.withColumn("reason", reason).drop("_badq", "_first")
 
 
-def create_orders(requests: DataFrame, lines: DataFrame, products: DataFrame, services: DataFrame):
+def create_orders(requests: DataFrame, lines: DataFrame, products: DataFrame, services: DataFrame,
+                  materialize: bool = False):
     """requests(order_seq, user_id, type, requested_at) + lines(order_seq,
     line_no, product_id, service_id, quantity) -> (orders, items, outcomes).
 
-    All-or-nothing per order. New ids are sha256 of the natural key."""
+    All-or-nothing per order. New ids are sha256 of the natural key. The
+    three outputs share the priced lines; with ``materialize`` (for callers
+    that write all three) they are written once to the shared checkpoint
+    folder instead of re-running the pricing joins per output."""
     priced = price_lines(lines, products, services)
+    if materialize:
+        from mercato.session import scratch_path
+
+        path = scratch_path(priced.sparkSession, "priced-lines")
+        priced.write.parquet(path)
+        priced = priced.sparkSession.read.schema(priced.schema).parquet(path)
     totals = order_totals(priced)
     r = requests.join(totals, "order_seq", "left")
     reason = (F.when(~F.col("type").isin(list(ORDER_TYPES)) | F.col("type").isNull(), "bad_type")

@@ -44,7 +44,8 @@ def purchase_flow(t: dict[str, DataFrame], order_requests: DataFrame, lines: Dat
     pay them (``payments_by_seq(order_seq, caller_id, paid_at)`` refers to
     the orders by their request seq). Returns (tables, order outcomes,
     notifications)."""
-    new_orders, new_items, outcomes = orders.create_orders(order_requests, lines, t["products"], t["services"])
+    new_orders, new_items, outcomes = orders.create_orders(order_requests, lines, t["products"], t["services"],
+                                                           materialize=True)
     ids = outcomes.where(F.col("outcome") == "created").select("order_seq", "order_id")
     pays = payments_by_seq.join(ids, "order_seq", "inner").select("order_id", "caller_id", "paid_at")
     all_orders = _append(t["orders"], new_orders, "orders")

@@ -89,3 +89,24 @@ def test_unread_stream_keeps_newest_k(spark):
         .select("user_id", "s.*").collect()
     # newest 3 of user 7 are ids 4, 3, 2; id 4 read (id 0 is outside the 3); user 8's read touches nothing
     assert [(r.user_id, r.unread, r.n_latest) for r in last] == [(7, 2, 3)]
+
+
+def test_start_stream_with_processing_time_trigger(spark):
+    import time
+
+    from mercato.streaming.jobs import start_stream
+
+    ev = _events(spark)
+    path = write_stream_input(ev, scratch_path(spark, "t-start"), "ts", slices=1)
+    out = scratch_path(spark, "t-start-out")
+    q = start_stream(attempt_limiter_stream(read_stream(spark, path, ev.schema), "user_id", 3, "2 days",
+                                            id_col="event_id", lateness="365 days"),
+                     out, trigger="1 second", name="t_start")
+    try:
+        deadline = time.time() + 120
+        while time.time() < deadline and q.lastProgress is None:
+            time.sleep(1)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(out).count() == ev.count()

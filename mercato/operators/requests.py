@@ -120,7 +120,8 @@ def request_board(requests: DataFrame, services: DataFrame, users: DataFrame) ->
         F.col("service_title").alias("card_title"), F.col("customer_name").alias("card_subtitle"),
         F.col("created_at").alias("card_meta"))
     counts = cards.groupBy(F.col("_status").alias("_cstatus")).agg(F.count(F.lit(1)).alias("n"))
-    cols = F.broadcast(statuses).join(counts, F.col("status") == F.col("_cstatus"), "left").select(
+    # counts has one row per distinct status value: bounded by the status domain.
+    cols = statuses.join(F.broadcast(counts), F.col("status") == F.col("_cstatus"), "left").select(
         "position", "status", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
     # Each card meets its column through a broadcast of the 8-row frame (no
     # shuffle of the cards); empty columns are added as one card-less row.

@@ -190,3 +190,11 @@ WHERE EXISTS (SELECT 1 FROM d_viewers v WHERE v.role IN ('admin', 'editor'))
 def q_visible_request_detail(d):
     """Single-request rule: the owner, or any staff member."""
     return visibility.visible_rows(d.viewers, d.service_requests, "request")
+
+
+@register("role_in", """
+SELECT id, role, created_at FROM d_users WHERE role IN ('admin', 'editor')
+""")
+def q_role_in(d):
+    """Users whose role is in a given set (here: staff)."""
+    return d.users.where(role_in("role", STAFF_ROLES)).select("id", "role", "created_at")

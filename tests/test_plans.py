@@ -51,3 +51,17 @@ def test_limiter_fold_only_under_the_bound(spark):
     out = limiter.attempt_limiter(a, "user_id", 3, "2 days", id_col="event_id", fold_limit=biggest - 1)
     text = plan(out)
     assert "collect_list" in text and "left_semi" in text.lower() or "LeftSemi" in text
+
+
+def test_no_registered_query_pairs_rows_or_runs_row_python(spark):
+    """Across every registered query: no cartesian product, no nested-loop
+    join, no row-at-a-time Python UDF in the physical plan."""
+    import __spark_entry__ as E
+
+    bad = []
+    for name, q in sorted(E.queries().items()):
+        text = q(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            if op in text:
+                bad.append((name, op))
+    assert bad == []

@@ -35,3 +35,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["users", "products", "services", "open_requests", "mock_revenue_cents"]
     assert df.count() == 1
+
+
+def test_time_zone_does_not_change_results(spark, con):
+    """Durations and 'now' literals are wall-clock: a non-UTC session zone
+    (with DST) gives the same answers."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for name in ("attempt_limiter", "active_sessions", "mark_read", "attempt_limiter_stream"):
+            df = E.queries()[name](spark, SF_SMALL)
+            s_cols, s_rows = df.columns, df.collect()
+            cur = con.execute(E.oracle_sql()[name])
+            o_cols = [c[0] for c in cur.description]
+            assert rows_multiset(s_cols, s_rows) == rows_multiset(o_cols, cur.fetchall()), name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

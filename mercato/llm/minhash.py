@@ -5,8 +5,9 @@ bins borrow by optimal densification (each probes a fixed random sequence of
 bins until one is filled). Bins are banded, documents of a band bucket are
 linked to the bucket's smallest member only (star edges), and every link is
 confirmed on the full shingle sets. A star cannot see links between two other
-members, so buckets that still hold several components afterwards are compared
-again in fixed-size blocks of signatures, never as one group.
+members: two more rounds put stars around other members of the buckets that
+still hold several components, and what remains apart after them is compared in
+fixed-size blocks of signatures, never as one group.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.llm.common import WordHashes, documents, mixed, parts_for, shingle_set, word_list, written
@@ -28,6 +29,8 @@ BANDS = BINS // ROWS
 #: Side of a block of signatures in the second look at mixed buckets.
 BLOCK = 256
 _PROBES = 1024
+#: Star rounds before the blocks.
+ROUNDS = 3
 
 
 def _probe_table() -> np.ndarray:
@@ -106,28 +109,42 @@ def _similar(percent: int):
     return run
 
 
+def _possible(n, m, percent: int):
+    """Whether sets of these sizes, known to differ, can reach the similarity (numpy or Column)."""
+    low, high = (F.least(n, m), F.greatest(n, m)) if isinstance(n, Column) else (np.minimum(n, m), np.maximum(n, m))
+    same = (n == m).cast("int") if isinstance(n, Column) else n == m
+    return 100 * (low - same) >= percent * (high + same)
+
+
+def _floor(percent: int) -> float:
+    """Least agreement of two signatures worth a look: 4.5 deviations below the similarity."""
+    p = percent / 100
+    return p - 4.5 * (p * (1 - p) / BINS) ** 0.5
+
+
 def _blocks(percent: int):
     """Pairs of one block pair that lie in different components and may be similar by size and signature.
 
-    Agreement of 128 bins has a deviation of 0.035 at similarity 0.8; pairs over
-    0.8 - 6 deviations go on to the full sets. Small sets fill few bins, so for
-    them only the sizes decide.
+    A pair is given only in the first band it shares, so no pair comes twice.
+    Small sets fill few bins, which makes their estimate loose: for them the
+    sizes alone decide.
     """
-    floor = percent / 100 - 0.22
+    floor = _floor(percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
-        for _, g in pdf.groupby(["band", "key", "bi", "bj"], sort=False):
-            bi, bj = g["bi"].iat[0], g["bj"].iat[0]
+        for (band, _, bi, bj), g in pdf.groupby(["band", "key", "bi", "bj"], sort=False):
             sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(len(g), BINS)
+            keys = sig.view("<u8")
             rep, n, comp, blk = (g[c].to_numpy() for c in ("rep", "n", "component", "blk"))
             left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
             for i in left:
                 js = right[right > i] if bi == bj else right
-                js = js[comp[js] != comp[i]]
-                js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-                small = np.minimum(n[js], n[i]) < BINS
-                js = js[small | ((sig[js] == sig[i]).mean(axis=1) >= floor)]
+                js = js[(comp[js] != comp[i]) & _possible(n[js], n[i], percent)]
+                if not len(js):
+                    continue
+                js = js[(np.minimum(n[js], n[i]) < BINS // 4) | ((sig[js] == sig[i]).mean(axis=1) >= floor)]
+                js = js[(keys[js] == keys[i]).argmax(axis=1) == band]
                 out_a += [rep[i]] * len(js)
                 out_b += rep[js].tolist()
         return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
@@ -135,49 +152,69 @@ def _blocks(percent: int):
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. Only documents in a pair have their sets made again."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = documents(docs).join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    sets = sets.mapInPandas(_sets(k), "id long, shingles binary")
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough."""
     sides = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     return sides.select("a", "b", "sa", "sb").mapInPandas(_similar(percent), "a long, b long")
 
 
+def _star_pairs(members: DataFrame, percent: int, order) -> DataFrame:
+    """Each member with the center of its bucket, where the two lie in different components: for each member the
+    center it meets in most buckets."""
+    centers = members.groupBy("band", "key").agg(
+        F.min(F.struct(order.alias("o"), "rep", "n", "component")).alias("c")).select(
+        "band", "key", F.col("c.rep").alias("b"), F.col("c.n").alias("bn"), F.col("c.component").alias("bc"))
+    met = members.join(centers, ["band", "key"]).where(F.col("component") != F.col("bc"))
+    met = met.where(_possible(F.col("n"), F.col("bn"), percent)).groupBy("rep", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return met.groupBy("rep").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")).select(
+        F.col("rep").alias("a"), "b")
+
+
+def _with_components(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
+    named = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    several = named.groupBy("band", "key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
+    return named.join(several, ["band", "key"], "left_semi")
+
+
 def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the representatives that have a link to another one."""
-    spark = docs.sparkSession
     bands = reps.select("rep", "n", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig")
     bands = bands.select("rep", "n", "band", F.substring("sig", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("key"))
-    stars = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("center")).where("m > 1")
-    members = written(bands.join(stars, ["band", "key"]), "buckets")
-    sizes = members.select(F.col("rep").alias("center"), F.col("n").alias("cn")).distinct()
-    pairs = members.where("rep <> center").groupBy(F.col("rep").alias("a"), "center").agg(F.first("n").alias("n"))
-    pairs = pairs.join(sizes, "center").where(
-        100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")).select("a", F.col("center").alias("b"))
-    links = written(_confirmed(docs, written(pairs, "pairs"), k, percent), "links")
-    comp = written(components(links), "components")
-
-    # Second look: buckets of three or more that still hold several components.
-    seen = members.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    seen = written(seen, "seen")
-    mixed_buckets = seen.groupBy("band", "key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = seen.join(mixed_buckets, ["band", "key"], "left_semi").join(reps.select("rep", "sig"), "rep")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = rest.withColumn("nb", blocks).withColumn("blk", F.pmod(F.hash("rep"), F.col("nb")))
+    shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"),
+                                              F.max("n").alias("hi")).where("m > 1")
+    # a bucket of two whose sizes cannot reach the similarity needs no look
+    shared = shared.where((F.col("m") > 2) | _possible(F.col("lo"), F.col("hi"), percent)).select("band", "key", "m")
+    members = written(bands.join(shared, ["band", "key"]), "buckets")
+    ids = members.select(F.col("rep").alias("id")).distinct()
+    sets = documents(docs).join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    sets = written(sets.mapInPandas(_sets(k), "id long, shingles binary"), "sets")
+
+    # Stars: the first around each bucket's smallest member, then around others, so that what a center
+    # does not resemble can still meet its like. Each round merges components and so leaves fewer pairs.
+    links, comp = None, None
+    for r in range(ROUNDS):
+        cur = members.withColumn("component", F.col("rep")) if r == 0 else written(_with_components(members, comp), "seen")
+        order = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
+        found = written(_confirmed(sets, written(_star_pairs(cur, percent, order), "pairs"), percent), "links")
+        links = found if links is None else links.union(found)
+        comp = written(components(links), "components")
+
+    # What still shares a bucket across components is compared in blocks of signatures. In a bucket of two
+    # the star has tested the only pair.
+    rest = written(_with_components(members.where("m > 2"), comp), "seen").join(reps.select("rep", "sig"), "rep")
+    rest = rest.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rest = rest.withColumn("blk", F.pmod(F.hash("rep"), F.col("nb")))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rest = written(rest.select("band", "key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"),
                                "blk", "rep", "n", "component", "sig"), "rest")
-    rows = rest.count()
-    if not rows:
-        return comp
-    parts = parts_for(rows, 20_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(rest.count(), 20_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     more = rest.groupBy(F.pmod(F.xxhash64("band", "key", "bi", "bj"), F.lit(parts)).alias("part")).applyInPandas(
-        _blocks(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirmed(docs, written(more, "more-pairs"), k, percent)
+        _blocks(percent), "a long, b long")
+    more = _confirmed(sets, written(more, "more-pairs"), percent)
     return components(links.union(more))
 
 

@@ -7,7 +7,7 @@ linked to the bucket's smallest member only (star edges), and every link is
 confirmed on the full shingle sets. A star cannot see links between two other
 members: two more rounds put stars around other members of the buckets that
 still hold several components, and what remains apart after them is compared in
-fixed-size blocks of signatures, never as one group.
+fixed-size blocks of sketches, never as one group.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ BINS = 128
 #: Rows of 4 bins: a pair at similarity 0.8 misses all 32 bands with probability (1 - 0.8^4)^32, about 5e-8.
 ROWS = 4
 BANDS = BINS // ROWS
-#: Side of a block of signatures in the second look at mixed buckets.
+#: Side of a block of sketches in the second look at mixed buckets.
 BLOCK = 256
 _PROBES = 1024
+#: Bins of the sketch that the blocks compare.
+FINE = 1024
 #: Star rounds before the blocks.
 ROUNDS = 3
 
@@ -67,6 +69,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return values.astype("<u2")
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """1024 bins of 8 bits, empty ones 0 and not filled, then a 32-bit hash of each band: for a closer estimate."""
+    bins = (shingles >> np.uint64(54)).astype(np.intp)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+    fine = np.zeros(FINE, np.uint8)
+    fine[bins[first]] = mixed(shingles[first]) % np.uint64(255) + np.uint64(1)
+    return fine.tobytes() + mixed(signature(shingles).view("<u8")).astype("<u4").tobytes()
+
+
 def _signatures(k: int):
     def run(batches):
         hashes = WordHashes()
@@ -86,8 +97,9 @@ def _sets(k: int):
     def run(batches):
         hashes = WordHashes()
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["doc_id"],
-                                "shingles": [shingle_set(hashes.of(word_list(t)), k).tobytes() for t in pdf["text"]]})
+            sets = [shingle_set(hashes.of(word_list(t)), k) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["doc_id"], "shingles": [s.tobytes() for s in sets],
+                                "sketch": [sketch(s) for s in sets]})
 
     return run
 
@@ -117,34 +129,35 @@ def _possible(n, m, percent: int):
 
 
 def _floor(percent: int) -> float:
-    """Least agreement of two signatures worth a look: 4.5 deviations below the similarity."""
+    """Least agreement of two sketches worth a look: 4.5 deviations of 1024 bins below the similarity."""
     p = percent / 100
-    return p - 4.5 * (p * (1 - p) / BINS) ** 0.5
+    return p - 4.5 * (p * (1 - p) / FINE) ** 0.5
 
 
 def _blocks(percent: int):
-    """Pairs of one block pair that lie in different components and may be similar by size and signature.
+    """Pairs of one block pair that lie in different components and may be similar by size and sketch.
 
-    A pair is given only in the first band it shares, so no pair comes twice.
-    Small sets fill few bins, which makes their estimate loose: for them the
-    sizes alone decide.
+    A pair is given only in the first band it shares, so no pair comes twice. The
+    estimate is equal bins over bins filled on either side; where a set is
+    smaller than the sketch, that is nearly its exact similarity.
     """
     floor = _floor(percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
         for (band, _, bi, bj), g in pdf.groupby(["band", "key", "bi", "bj"], sort=False):
-            sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(len(g), BINS)
-            keys = sig.view("<u8")
+            raw = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
+            fine, keys = raw[:, :FINE], np.ascontiguousarray(raw[:, FINE:]).view("<u4")
             rep, n, comp, blk = (g[c].to_numpy() for c in ("rep", "n", "component", "blk"))
             left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
             for i in left:
                 js = right[right > i] if bi == bj else right
                 js = js[(comp[js] != comp[i]) & _possible(n[js], n[i], percent)]
-                if not len(js):
-                    continue
-                js = js[(np.minimum(n[js], n[i]) < BINS // 4) | ((sig[js] == sig[i]).mean(axis=1) >= floor)]
                 js = js[(keys[js] == keys[i]).argmax(axis=1) == band]
+                if len(js):
+                    both = ((fine[js] == fine[i]) & (fine[i] > 0)).sum(axis=1)
+                    either = ((fine[js] > 0) | (fine[i] > 0)).sum(axis=1)
+                    js = js[both >= floor * either]
                 out_a += [rep[i]] * len(js)
                 out_b += rep[js].tolist()
         return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
@@ -191,7 +204,7 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     members = written(bands.join(shared, ["band", "key"]), "buckets")
     ids = members.select(F.col("rep").alias("id")).distinct()
     sets = documents(docs).join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    sets = written(sets.mapInPandas(_sets(k), "id long, shingles binary"), "sets")
+    sets = written(sets.mapInPandas(_sets(k), "id long, shingles binary, sketch binary"), "sets")
 
     # Stars: the first around each bucket's smallest member, then around others, so that what a center
     # does not resemble can still meet its like. Each round merges components and so leaves fewer pairs.
@@ -203,15 +216,16 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
         links = found if links is None else links.union(found)
         comp = written(components(links), "components")
 
-    # What still shares a bucket across components is compared in blocks of signatures. In a bucket of two
+    # What still shares a bucket across components is compared in blocks of sketches. In a bucket of two
     # the star has tested the only pair.
-    rest = written(_with_components(members.where("m > 2"), comp), "seen").join(reps.select("rep", "sig"), "rep")
+    rest = written(_with_components(members.where("m > 2"), comp), "seen")
     rest = rest.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    rest = rest.withColumn("blk", F.pmod(F.hash("rep"), F.col("nb")))
+    rows = rest.agg(F.sum("nb")).first()[0]
+    rest = rest.join(sets.select(F.col("id").alias("rep"), "sketch"), "rep").withColumn("blk", F.pmod(F.hash("rep"), F.col("nb")))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rest = written(rest.select("band", "key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"),
-                               "blk", "rep", "n", "component", "sig"), "rest")
-    parts = parts_for(rest.count(), 20_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rest = rest.select("band", "key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"),
+                       "blk", "rep", "n", "component", "sketch")
+    parts = parts_for(rows, 20_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     more = rest.groupBy(F.pmod(F.xxhash64("band", "key", "bi", "bj"), F.lit(parts)).alias("part")).applyInPandas(
         _blocks(percent), "a long, b long")
     more = _confirmed(sets, written(more, "more-pairs"), percent)

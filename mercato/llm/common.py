@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from mercato.session import scratch_path
 
@@ -97,3 +101,25 @@ def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     return np.unique(runs_of(hashes, min(k, len(hashes))))
+
+
+def map_texts(docs: DataFrame, make: Callable, added: str) -> DataFrame:
+    """``docs`` without ``text``, with the columns ``added`` (DDL) computed from it.
+
+    ``make()`` is called once in each task and returns a function from a list of
+    texts to a list of columns. The other columns pass through as Arrow, so null
+    and large integers stay as they are.
+    """
+    fields = StructType.fromDDL(added)
+    kept = [f for f in docs.schema if f.name != "text"]
+    names = [f.name for f in kept]
+
+    def run(batches):
+        columns_of = make()
+        for batch in batches:
+            new = columns_of(batch.column("text").to_pylist())
+            arrays = [batch.column(n) for n in names]
+            arrays += [pa.array(c, type=to_arrow_type(f.dataType)) for c, f in zip(new, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names + fields.names)
+
+    return docs.mapInArrow(run, StructType([*kept, *fields]))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import WordHashes, documents, mixed, parts_for, shingle_set, word_list, written
+from mercato.llm.common import WordHashes, documents, map_texts, mixed, parts_for, shingle_set, word_list, written
 from mercato.llm.components import components
 
 BINS = 128
@@ -79,18 +79,18 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def _signatures(k: int):
-    def run(batches):
+    def make():
         hashes = WordHashes()
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                s = shingle_set(hashes.of(word_list(text)), k)
-                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes())
-                           if len(s) else (0, None, None))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [x[0] for x in out], "set_hash": [x[1] for x in out],
-                                "sig": [x[2] for x in out]})
 
-    return run
+        def columns(texts):
+            sets = [shingle_set(hashes.of(word_list(t)), k) for t in texts]
+            return [[len(s) for s in sets],
+                    [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                    [signature(s).tobytes() if len(s) else None for s in sets]]
+
+        return columns
+
+    return make
 
 
 def _sets(k: int):
@@ -251,8 +251,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     similar sets. Rows repeated with one doc_id are documents of their own with
     equal ids, so they share a component. Empty tables give no rows.
     """
-    sigs = written(documents(docs).mapInPandas(
-        _signatures(k), "doc_id long, n long, set_hash binary, sig binary"), "signatures")
+    sigs = written(map_texts(documents(docs), _signatures(k), "n long, set_hash binary, sig binary"), "signatures")
     reps = sigs.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = written(reps, "representatives")

@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import exact_dedup, minhash
+from mercato.llm import exact_dedup, minhash, mixing, pieces, toxicity
 from mercato.llm.common import read, written
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. It learns from the labelled documents among its input."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts stays."""
     return exact_dedup.keep_exact(docs)
@@ -23,7 +28,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.keep_near(docs, k=5, percent=80)
 
 
-STAGES = [("exact_dedup", exact), ("minhash", near)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source takes it."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces, round_trip of every document."""
+    return pieces.encode(docs)
+
+
+STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("minhash", near), ("mixing", mix), ("sentencepiece", encode)]
 #: Models and tokenisers are not expressible in SQL.
 ORACLE_SQL = None
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,18 @@ def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(runs_of(hashes, min(k, len(hashes))))
 
 
+def text_slices(batch: pa.RecordBatch, limit: int = 2_000_000):
+    """Slices of an Arrow batch that hold about ``limit`` bytes of text, or one row: what Python unfolds at a time."""
+    col = batch.column("text")
+    if not (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
+        yield from (batch.slice(i, 500) for i in range(0, batch.num_rows, 500))
+        return
+    part = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // limit
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(i, j - i)
+
+
 def map_texts(docs: DataFrame, make: Callable, added: str) -> DataFrame:
     """``docs`` without ``text``, with the columns ``added`` (DDL) computed from it.
 
@@ -116,7 +129,7 @@ def map_texts(docs: DataFrame, make: Callable, added: str) -> DataFrame:
 
     def run(batches):
         columns_of = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             new = columns_of(batch.column("text").to_pylist())
             arrays = [batch.column(n) for n in names]
             arrays += [pa.array(c, type=to_arrow_type(f.dataType)) for c, f in zip(new, fields, strict=True)]

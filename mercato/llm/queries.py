@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import exact_dedup, minhash, mixing, pieces, toxicity
+from mercato.llm import exact_dedup, minhash, mixing, ngram_lm, pieces, toxicity
 from mercato.llm.common import read
 
 
@@ -30,13 +30,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op4_mixing": op4_mixing,
     "op6_toxicity": op6_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE: dict[str, str] = {
     "op9_exact_dedup": exact_dedup.EXACT_SQL,
+    "op10_lm_scoring": ngram_lm.LM_SQL,
 }

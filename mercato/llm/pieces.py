@@ -61,7 +61,7 @@ class Pieces:
                 at = self.next[at][c]
             self.ends[at] = (sp.get_score(i), i)
         self.unknown = min((sp.get_score(i) for i in normal.values()), default=0.0) - 10
-        self.known = {}
+        self.known, self.lossy = {}, set()
 
     def learn(self, words) -> None:
         """Segments the words that are not known yet, in sorted order: one depth-first walk over their trie."""
@@ -104,28 +104,33 @@ class Pieces:
                 else:
                     out.append(piece)
                 at = start
-            self.known[word] = out[::-1]
+            self.known[word] = out = out[::-1]
+            if self.decode(out, front=False) != word.replace(MARK, " ").replace(_LITERAL, MARK):
+                self.lossy.add(word)
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether they decode to it: each distinct word is decoded once, and a word's byte
+        pieces are whole characters, so words decode independently."""
         cut = [_WORD.findall(self.marked(t)) if t else [] for t in texts]
         self.learn(dict.fromkeys(w for words in cut for w in words))
         known = self.known
-        return [np.array([i for w in words for i in known[w]], np.int32) for words in cut]
+        ids = [np.array([i for w in words for i in known[w]], np.int32) for words in cut]
+        return ids, [self.lossy.isdisjoint(words) for words in cut]
 
     @staticmethod
     def marked(text: str) -> str:
         """Space becomes the mark, with one mark in front; a mark that the text holds itself is kept apart."""
         return MARK + text.replace(MARK, _LITERAL).replace(" ", MARK)
 
-    def decode(self, ids) -> str:
-        """The text of ids: byte pieces join to UTF-8, marks become spaces, the mark in front goes."""
+    def decode(self, ids, front: bool = True) -> str:
+        """The text of ids: byte pieces join to UTF-8, marks become spaces, the mark in front (of a text) goes."""
         out = bytearray()
         for i in ids:
             if i in self.value:
                 out.append(self.value[i])
             elif i not in self.skip:
                 out += self.names[i].replace(MARK, " ").encode()
-        return bytes(out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
+        return bytes(out[1:] if front and out[:1] == b" " else out).decode("utf-8", "surrogatepass")
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -143,8 +148,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         pieces = Pieces(body)
 
         def columns(texts):
-            ids = pieces.encode_batch(texts)
-            return [ids, [len(x) for x in ids], [pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]]
+            ids, exact = pieces.encode_batch(texts)
+            return [ids, [len(x) for x in ids], exact]
 
         return columns
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import exact_dedup, minhash, mixing, ngram_lm, pieces, toxicity
+from mercato.llm import exact_dedup, minhash, mixing, ngram_lm, pieces, topk, toxicity
 from mercato.llm.common import read
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), k=5, modulo=50)
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(read(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -35,6 +39,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_minhash": op2_minhash,
     "op4_mixing": op4_mixing,
     "op6_toxicity": op6_toxicity,
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE: dict[str, str] = {
+    "op1_topk": topk.TOP_K_SQL,
     "op9_exact_dedup": exact_dedup.EXACT_SQL,
     "op10_lm_scoring": ngram_lm.LM_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import exact_dedup, minhash, mixing, ngram_lm, pieces, topk, toxicity
+from mercato.llm import exact_dedup, minhash, mixing, ngram_lm, pieces, span_dedup, topk, toxicity
 from mercato.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(read(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op3_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_minhash": op2_minhash,
+    "op3_span_dedup": op3_span_dedup,
     "op4_mixing": op4_mixing,
     "op6_toxicity": op6_toxicity,
     "op8_sentencepiece": op8_sentencepiece,

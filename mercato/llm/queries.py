@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import exact_dedup, minhash, mixing, ngram_lm, pieces, span_dedup, topk, toxicity
+from mercato.llm import exact_dedup, minhash, mixing, ngram_lm, pieces, pii, quotes, span_dedup, topk, toxicity
 from mercato.llm.common import read
 
 
@@ -26,10 +26,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_threads(read(spark, sf_dir, "conversations"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_span_dedup": op3_span_dedup,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
+    "op7_quotation_linking": op7_quotation_linking,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_scoring": op10_lm_scoring,

@@ -33,7 +33,7 @@ SPAN = 32
 TRAIN_DOCS = 4_000
 #: Words that a dictionary is trained on, at most; candidate dictionary sizes (the calibration picks one).
 TRAIN_WORDS = 20_000
-SIZES = (2048, 4096, 8192)
+SIZES = (4096, 8192, 16384)
 #: Shares of ordinary words that lie under the thresholds.
 QUANTILES = (0.5, 0.9, 0.97, 0.99, 0.997, 0.999, 0.9997, 0.9999)
 

@@ -55,7 +55,7 @@ def non_negative_int(c) -> Column:
 
 def json_object(c) -> Column:
     col = _c(c)
-    return F.try_parse_json(col).isNotNull() & F.ltrim(col).startswith("{")
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(col)).startswith("OBJECT"), F.lit(False))
 
 
 def all_urls(c) -> Column:

@@ -92,10 +92,13 @@ def append_with_defaults(rows: DataFrame, kind: str, now) -> DataFrame:
     ts = _now(now, rows)
     cols = set(rows.columns)
     get = lambda c, t: F.col(c) if c in cols else F.lit(None).cast(t)
+    own = get("id", "string")
+    if kind in ("product", "service") and dict(rows.dtypes).get("id", "string") == "string":
+        own = F.coalesce(own, new_id(kind, "slug"))  # the slug is unique, so it names the row
     empty_tags = F.array().cast("array<string>")
     if kind == "product":
         return rows.select(
-            get("id", "string").alias("id"), "slug", "title", "description", "price_cents",
+            own.alias("id"), "slug", "title", "description", "price_cents",
             F.coalesce(get("is_active", "boolean"), F.lit(True)).alias("is_active"), get("sku", "string").alias("sku"),
             F.coalesce(get("tags", "array<string>"), empty_tags).alias("tags"),
             get("cover_image_url", "string").alias("cover_image_url"),
@@ -103,7 +106,7 @@ def append_with_defaults(rows: DataFrame, kind: str, now) -> DataFrame:
             ts.alias("created_at"), ts.alias("updated_at"))
     if kind == "service":
         return rows.select(
-            get("id", "string").alias("id"), "slug", "title", "description", "base_price_cents",
+            own.alias("id"), "slug", "title", "description", "base_price_cents",
             F.coalesce(get("is_active", "boolean"), F.lit(True)).alias("is_active"),
             F.coalesce(get("tags", "array<string>"), empty_tags).alias("tags"),
             ts.alias("created_at"), ts.alias("updated_at"))
@@ -124,14 +127,17 @@ def append_with_defaults(rows: DataFrame, kind: str, now) -> DataFrame:
 
 def apply_patches(table: DataFrame, patches: DataFrame, fields: list[str], unique_col: str | None, now,
                   rules: list[tuple[str, Column]] | None = None, order_col: str = "id",
-                  touch: str | None = "updated_at", normalize: dict[str, Column] | None = None):
+                  touch: str | None = "updated_at", normalize: dict[str, Column] | None = None, also: tuple[str, ...] = ()):
     """Partial update by id: only given (non-null) fields are set.
 
     Outcomes in the reference's order: invalid > conflict (the unique
     value is held by *another* row, or claimed earlier in the batch) >
     no_updates > not_found > updated. A null means "not given", so a patch
     cannot clear a nullable field but can set ``tags`` to ``[]``. Several
-    patches of one id apply in ``order_col`` order (last given value wins).
+    patches of one id apply in ``order_col`` order (last given value wins);
+    name a column that orders them wherever ids repeat. ``also`` names columns
+    of the patch that count as given though the table does not hold them (a
+    password).
     Returns (new table, outcomes)."""
     p = patches
     for c, expr in (normalize or {}).items():
@@ -139,7 +145,7 @@ def apply_patches(table: DataFrame, patches: DataFrame, fields: list[str], uniqu
     rule_list = [(code, optional(code_col, pred)) for code, code_col, pred in (rules or [])
                  if code_col in p.columns]
     p = p.withColumn("issues", issues(rule_list) if rule_list else F.array().cast("array<string>"))
-    p = p.withColumn("_n_given", sum(F.col(f).isNotNull().cast("int") for f in fields))
+    p = p.withColumn("_n_given", sum(F.col(f).isNotNull().cast("int") for f in [*fields, *also]))
     ids = table.select(F.col("id").alias("_found"))
     p = p.join(ids, p["id"] == ids["_found"], "left")
     valid = F.size("issues") == 0
@@ -211,29 +217,30 @@ def _guarded(rows: DataFrame, users: DataFrame, requests: DataFrame | None, acto
     return r.withColumn("outcome", chain.otherwise("ok")).drop("_caller")
 
 
-def create_requests(rows: DataFrame, users: DataFrame, services: DataFrame):
+def create_requests(rows: DataFrame, users: DataFrame, services: DataFrame, batch: str | None = None):
     """rows(seq, user_id, service_id, brief, ts) -> (new requests, outcomes).
-    Only customers may ask; the service must exist and be active."""
+    Only customers may ask; the service must exist and be active. Ids are made
+    from ``batch`` and seq: give a batch wherever seq starts again."""
     g = _guarded(rows, users, None, "user_id", "request", customers_only=True)
     s = services.where(F.col("is_active")).select(F.col("id").alias("_svc"))
     g = g.join(s, g["service_id"] == s["_svc"], "left")
     outcome = F.when(F.col("outcome") != "ok", F.col("outcome")).when(F.col("_svc").isNull(), "not_found") \
         .otherwise("created")
     g = g.withColumn("outcome", outcome).withColumn(
-        "request_id", F.when(F.col("outcome") == "created", new_id("request", "seq")))
+        "request_id", F.when(F.col("outcome") == "created", new_id("request", *([] if batch is None else [F.lit(batch)]), "seq")))
     created = g.where(F.col("outcome") == "created").select(
         F.col("request_id").alias("id"), "user_id", "service_id", F.lit("open").alias("status"), "brief",
         F.col("ts").alias("created_at"))
     return append_with_defaults(created, "service_request", None), g.select("seq", "outcome", "request_id")
 
 
-def post_messages(rows: DataFrame, requests: DataFrame, users: DataFrame):
+def post_messages(rows: DataFrame, requests: DataFrame, users: DataFrame, batch: str | None = None):
     """rows(seq, request_id, sender_id, body, attachments, ts) -> (messages,
     outcomes with the request owner). Owner or staff may post to an existing
     request; attachments default to []."""
     g = _guarded(rows, users, requests, "sender_id", "message", owner_or_staff=True)
     g = g.withColumn("outcome", F.when(F.col("outcome") == "ok", "created").otherwise(F.col("outcome")))
-    g = g.withColumn("message_id", F.when(F.col("outcome") == "created", new_id("message", "seq")))
+    g = g.withColumn("message_id", F.when(F.col("outcome") == "created", new_id("message", *([] if batch is None else [F.lit(batch)]), "seq")))
     created = g.where(F.col("outcome") == "created").select(
         F.col("message_id").alias("id"), F.col("request_id").alias("service_request_id"),
         F.col("sender_id").alias("sender_user_id"), "body", "attachments", F.col("ts").alias("created_at"))
@@ -241,13 +248,13 @@ def post_messages(rows: DataFrame, requests: DataFrame, users: DataFrame):
             g.select("seq", "request_id", "sender_id", "caller_role", "owner_id", "ts", "outcome", "message_id"))
 
 
-def post_deliverables(rows: DataFrame, requests: DataFrame, users: DataFrame):
+def post_deliverables(rows: DataFrame, requests: DataFrame, users: DataFrame, batch: str | None = None):
     """rows(seq, request_id, actor_id, title, description, file_url, ts) ->
     (deliverables, outcomes). Staff only; request must exist; each created
     deliverable also moves its request to ``delivered``."""
     g = _guarded(rows, users, requests, "actor_id", "deliverable", staff_only=True)
     g = g.withColumn("outcome", F.when(F.col("outcome") == "ok", "created").otherwise(F.col("outcome")))
-    g = g.withColumn("deliverable_id", F.when(F.col("outcome") == "created", new_id("deliverable", "seq")))
+    g = g.withColumn("deliverable_id", F.when(F.col("outcome") == "created", new_id("deliverable", *([] if batch is None else [F.lit(batch)]), "seq")))
     created = g.where(F.col("outcome") == "created").select(
         F.col("deliverable_id").alias("id"), F.col("request_id").alias("service_request_id"), "title",
         "description", "file_url", F.col("ts").alias("created_at"))

@@ -30,28 +30,22 @@ def account_by_email(attempts: DataFrame, users: DataFrame) -> DataFrame:
     return j.withColumn("outcome", F.when(F.col("user_id").isNull(), "invalid").otherwise("ok"))
 
 
-def audience_cross(messages: DataFrame, users: DataFrame, broadcast_limit: int = 10_000,
-                   salts: int = 64) -> DataFrame:
+def audience_cross(messages: DataFrame, users: DataFrame, salts: int = 16) -> DataFrame:
     """One row per (message, recipient): role given -> users of that role,
     no role -> every user. The fan-out *is* the output (one notification per
     recipient).
 
     Expressed as an equi join on an audience key: each user is listed under
-    its role and under ``all``. When the message side is under
-    ``broadcast_limit`` rows (counted first, so the bound is proven) it is
-    broadcast and users are never shuffled. Otherwise both sides are salted
-    so the ``all`` key, which matches every user, is spread over ``salts``
-    tasks instead of one."""
+    its role and under ``all``. Both sides are salted by the user, so the
+    ``all`` key, which matches every user, is spread over ``salts`` tasks; a
+    message is repeated once for each salt. Whether a side is small enough in
+    bytes to broadcast is left to the planner's size check."""
     m = messages.withColumn("_aud", F.coalesce(F.col("role"), F.lit("all")))
     u = users.select(F.col("id").alias("user_id"), F.col("role").alias("user_role"))
     u = u.withColumn("_aud", F.explode(F.array(F.col("user_role"), F.lit("all"))))
-    if m.count() <= broadcast_limit:
-        j = u.join(F.broadcast(m), "_aud", "inner")
-    else:
-        u = u.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(salts)))
-        m = m.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        j = u.join(m, ["_aud", "_salt"], "inner").drop("_salt")
-    return j.drop("_aud")
+    u = u.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(salts)))
+    m = m.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return u.join(m, ["_aud", "_salt"], "inner").drop("_salt", "_aud")
 
 
 def active_sessions(logins: DataFrame, events: DataFrame, lifetime: str = "7 days",

@@ -27,9 +27,8 @@ without sorting any key in one task:
    per key and slab), and the first ``limit`` attempts per anchor are kept
    with a row_number filter, which Spark trims map-side before the shuffle.
 
-Keys whose attempt count is under a checked bound skip steps 2-3: their
-anchors come from an ``aggregate`` fold over the key's sorted attempt list
-(see ``attempt_limiter``).
+All keys take this one path, whatever their size; its work is linear in the
+attempts times the rounds.
 """
 
 from __future__ import annotations
@@ -103,24 +102,6 @@ def chain_anchors(heads: DataFrame, jumps: DataFrame, rounds: int) -> DataFrame:
     return t.where("_r").select("_id")
 
 
-def _fold_anchors(a: DataFrame, r_us: int) -> DataFrame:
-    """Anchors of keys with a proven small number of attempts: one sorted
-    list per key folded by ``aggregate`` (built-ins, no Python). Anchors
-    depend only on timestamps (denied attempts change nothing), so the fold
-    keeps just the open anchor and the list of anchors."""
-    att = F.struct(F.col("_us").alias("u"), F.col("_id").alias("i"))
-    init = F.struct(F.lit(None).cast("bigint").alias("open"),
-                    F.array().cast("array<struct<u:bigint,i:bigint>>").alias("anchors"))
-
-    def step(acc, x):
-        reset = acc["open"].isNull() | (x["u"] - acc["open"] > F.lit(r_us))
-        return F.when(reset, F.struct(x["u"].alias("open"), F.array_append(acc["anchors"], x).alias("anchors"))) \
-            .otherwise(acc)
-
-    folded = a.groupBy("_k").agg(F.aggregate(F.array_sort(F.collect_list(att)), init, step).alias("_f"))
-    return folded.select(F.explode(F.col("_f.anchors")).alias("_a")).select(F.col("_a.i").alias("_id"))
-
-
 def _doubling_anchors(a: DataFrame, r_us: int) -> DataFrame:
     heads = a.groupBy("_k").agg(F.min(F.struct("_us", "_id")).alias("_h")).select(F.col("_h._id").alias("_id"))
     # At most one anchor per slab, so a chain is no longer than the number of
@@ -148,34 +129,17 @@ def _flags(a: DataFrame, anchors: DataFrame, limit: int) -> DataFrame:
         .select("_id", F.col("_ok").isNotNull().alias("allowed"), "_anchor")
 
 
-def attempt_limiter(attempts: DataFrame, key: str, limit: int, refill, ts: str = "ts", id_col: str = "id",
-                    fold_limit: int = 10_000) -> DataFrame:
+def attempt_limiter(attempts: DataFrame, key: str, limit: int, refill, ts: str = "ts", id_col: str = "id") -> DataFrame:
     """attempts -> attempts + (allowed boolean, anchor_id). ``refill`` in
     seconds or as text ("60 seconds", "2 days"). 10 / 60 s for logins and
     5 / 60 s for registrations in the reference.
 
-    Keys are first counted (one aggregate). Anchors of a key with at most
-    ``fold_limit`` attempts, a proven bound, come from folding its sorted
-    attempt list; larger keys take the pointer-doubling path, which never
-    holds a key in one task (skipped when there is no such key). Both feed
-    the same slab-join assignment and map-side top-k."""
+    A missing key counts as the text ``unknown``, so attempts without one
+    share a bucket that refills like any other."""
     r_us = _seconds(refill) * 1_000_000
-    a = attempts.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"),
+    a = attempts.select(F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias("_k"), F.col(id_col).alias("_id"),
                         wall_micros(ts).alias("_us"))
     a = a.withColumn("_s", F.floor(F.col("_us") / F.lit(r_us)).cast("long"))
-    sizes = a.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    smallest, biggest = sizes.agg(F.min("_n"), F.max("_n")).first()
-    if biggest is None:
-        anchors = a.select("_id").limit(0)
-    elif biggest <= fold_limit:
-        anchors = _fold_anchors(a, r_us)
-    elif smallest > fold_limit:
-        anchors = _doubling_anchors(a, r_us)
-    else:
-        small = sizes.where(F.col("_n") <= fold_limit).select("_k")
-        large = sizes.where(F.col("_n") > fold_limit).select("_k")
-        anchors = (_fold_anchors(a.join(small, "_k", "left_semi"), r_us)
-                   .unionByName(_doubling_anchors(a.join(large, "_k", "left_semi"), r_us)))
-    flags = _flags(a, anchors, limit)
+    flags = _flags(a, _doubling_anchors(a, r_us), limit)
     return (attempts.join(flags, attempts[id_col] == flags["_id"], "left")
             .drop("_id").withColumnRenamed("_anchor", "anchor_id"))

@@ -3,7 +3,7 @@ payments, orders from accepted quotes)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.columns import INT_MAX, ORDER_TYPES, new_id, newest_first
@@ -114,12 +114,18 @@ def order_totals(priced: DataFrame, order_key: str = "order_seq", line_key: str
     return agg.withColumn("reason", reason).drop("_badq", "_first")
 
 
+def _batch(batch: str | None) -> list:
+    return [] if batch is None else [F.lit(batch)]
+
+
 def create_orders(requests: DataFrame, lines: DataFrame, products: DataFrame, services: DataFrame,
-                  materialize: bool = False):
+                  materialize: bool = False, batch: str | None = None):
     """requests(order_seq, user_id, type, requested_at) + lines(order_seq,
     line_no, product_id, service_id, quantity) -> (orders, items, outcomes).
 
-    All-or-nothing per order. New ids are sha256 of the natural key. The
+    All-or-nothing per order. New ids are sha256 of the natural key: ``batch``
+    (give one wherever order_seq starts again) and order_seq; for items also
+    the line number and, as line numbers may repeat, a running number. The
     three outputs share the priced lines; with ``materialize`` (for callers
     that write all three) they are written once to the shared checkpoint
     folder instead of re-running the pricing joins per output."""
@@ -137,7 +143,7 @@ def create_orders(requests: DataFrame, lines: DataFrame, products: DataFrame, se
               .otherwise(F.col("reason")))
     outcomes = (r.withColumn("reason", reason)
                 .withColumn("outcome", F.when(F.col("reason").isNull(), "created").otherwise("rejected"))
-                .withColumn("order_id", F.when(F.col("reason").isNull(), new_id("order", "order_seq")))
+                .withColumn("order_id", F.when(F.col("reason").isNull(), new_id("order", *_batch(batch), "order_seq")))
                 .select("order_seq", "user_id", "type", "requested_at", "outcome", "reason", "order_id",
                         F.when(F.col("reason").isNull(), F.col("total_cents").cast("int")).alias("total_cents"),
                         "n_lines"))
@@ -145,8 +151,10 @@ def create_orders(requests: DataFrame, lines: DataFrame, products: DataFrame, se
     orders = created.select(F.col("order_id").alias("id"), "user_id", F.lit("pending").alias("status"),
                             "total_cents", "type", F.col("requested_at").alias("created_at"),
                             F.lit(None).cast("long").alias("service_request_id"))
-    items = (priced.join(created.select("order_seq", "order_id"), "order_seq", "inner")
-             .select(new_id("item", "order_seq", "line_no").alias("id"), "order_id", "product_id", "service_id",
+    same = Window.partitionBy("order_seq", "line_no").orderBy(
+        *[F.col(c).asc_nulls_first() for c in ("product_id", "service_id", "quantity", "title", "unit_price_cents")])
+    items = (priced.withColumn("_copy", F.row_number().over(same)).join(created.select("order_seq", "order_id"), "order_seq", "inner")
+             .select(new_id("item", *_batch(batch), "order_seq", "line_no", "_copy").alias("id"), "order_id", "product_id", "service_id",
                      "title", "unit_price_cents", "quantity", F.col("subtotal_cents").cast("int").alias("subtotal_cents")))
     return orders, items, outcomes
 

@@ -128,7 +128,10 @@ def q_create_orders(d):
 
 
 @register("create_order_items", """
-SELECT sha256(concat_ws('~', 'item', CAST(p.order_seq AS VARCHAR), CAST(p.line_no AS VARCHAR))) AS id,
+SELECT sha256(concat_ws('~', 'item', CAST(p.order_seq AS VARCHAR), CAST(p.line_no AS VARCHAR),
+              CAST(row_number() OVER (PARTITION BY p.order_seq, p.line_no ORDER BY p.product_id NULLS FIRST,
+                   p.service_id NULLS FIRST, p.quantity NULLS FIRST, p.title NULLS FIRST,
+                   p.unit_price_cents NULLS FIRST) AS VARCHAR))) AS id,
        sha256(concat_ws('~', 'order', CAST(p.order_seq AS VARCHAR))) AS order_id,
        p.product_id, p.service_id, p.title, p.unit_price_cents, p.quantity, CAST(p.subtotal_cents AS INT) AS subtotal_cents
 FROM priced_out p JOIN totals t ON t.order_seq = p.order_seq

@@ -340,13 +340,11 @@ class Domain:
     the views it uses. Frames are analysed plans, so re-registering a temp
     view later (another folder) does not change them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.materialize = materialize
         self._raw: dict[str, DataFrame] = {}
         self._frames: dict[str, DataFrame] = {}
-        self._store: str | None = None
 
     @property
     def raw(self) -> dict[str, DataFrame]:
@@ -377,23 +375,24 @@ class Domain:
         return self.spark.sql(sql)
 
     def frame(self, key: str) -> DataFrame:
-        """The bound table. By default each view is written once per session
-        to the shared checkpoint folder and read back (typed parquet scan with
-        pushdown and pruning), as stored domain tables would be; otherwise a
-        view referenced several times in one plan is recomputed each time."""
+        """The bound table: a lazy view over the source scans, so column
+        pruning and filters reach them and building a query runs no job."""
         if key not in self._frames:
-            df = self.view(key)
-            if self.materialize:
-                if self._store is None:
-                    from mercato.session import scratch_path
-
-                    self._store = scratch_path(self.spark, "domain")
-                path = f"{self._store}/{key}"
-                df.write.parquet(path)
-                df = self.spark.read.schema(df.schema).parquet(path)
-            self._frames[key] = df
+            self._frames[key] = self.view(key)
         return self._frames[key]
 
+    def store(self) -> str:
+        """Write every bound table once (a job of its own, never part of a
+        query) and read from there. Returns the folder."""
+        from mercato.session import scratch_path
+
+        folder = scratch_path(self.spark, "domain")
+        for key in ALL_VIEWS:
+            self.view(key).write.parquet(f"{folder}/{key}")
+        for key in ALL_VIEWS:
+            self._frames[key] = self.spark.read.parquet(f"{folder}/{key}")
+        return folder
+
     def __getattr__(self, item: str) -> DataFrame:
         key = item if item.startswith("d_") else f"d_{item}"
         if key in ALL_VIEWS:
@@ -407,16 +406,25 @@ class Domain:
         return {n: self.frame(f"d_{n}") for n in names}
 
 
-_DOMAINS: dict[tuple[int, str], Domain] = {}
+_STORED: dict[str, Domain] = {}
+
+
+def bind(spark: SparkSession, sf_dir: str) -> Domain:
+    """The binding of ``sf_dir``: the tables that ``store_domain`` wrote in
+    this session, else lazy views over the files as they are now."""
+    stored = _STORED.get(sf_dir.rstrip("/"))
+    if stored is not None and stored.spark is spark and spark.sparkContext._jsc is not None:
+        return stored
+    return Domain(spark, sf_dir)
 
 
-def bind(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Domain:
-    """The (cached) binding of ``sf_dir`` for this session."""
-    key = (id(spark), sf_dir.rstrip("/"), materialize)
-    cached = _DOMAINS.get(key)
-    if cached is None or cached.spark is not spark or spark.sparkContext._jsc is None:
-        cached = _DOMAINS[key] = Domain(spark, sf_dir, materialize)
-    return cached
+def store_domain(spark: SparkSession, sf_dir: str) -> str:
+    """Write the bound tables of ``sf_dir`` and let later queries of this
+    session read them, as a deployment reads its stored domain tables."""
+    domain = Domain(spark, sf_dir)
+    folder = domain.store()
+    _STORED[sf_dir.rstrip("/")] = domain
+    return folder
 
 
 def with_binding(body: str, *extra_ctes: tuple[str, str]) -> str:

@@ -17,11 +17,12 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> tuple[
 
     Lines are read as text and parsed with ``from_json`` (PERMISSIVE, with a
     corrupt-record column), so the reject path is an ordinary column that
-    any query, counts included, can use. Blank lines are skipped."""
+    any query, counts included, can use. A blank line is an empty body, so a
+    row of nulls like ``{}``."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    df = lines.select(F.from_json("value", full, opts).alias("_r")).select("_r.*")
+    line = F.when(F.col("value").rlike(r"^\s*$"), F.lit("{}")).otherwise(F.col("value"))
+    df = spark.read.text(path).select(F.from_json(line, full, opts).alias("_r")).select("_r.*")
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull())
     return good, bad

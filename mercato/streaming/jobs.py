@@ -118,11 +118,13 @@ def notification_stream(paid: DataFrame, deliverables: DataFrame, requests: Data
 
 
 def start_stream(stream: DataFrame, out_path: str, mode: str = "append", trigger: str = "60 seconds",
-                 name: str = "stream"):
+                 name: str = "stream", checkpoint: str | None = None):
     """Start ``stream`` for production: a processing-time trigger (the
-    notification poll is 60 s), checkpoint under the shared folder, one
-    overwrite-per-batch folder so replays do not duplicate."""
-    ckpt = scratch_path(stream.sparkSession, f"{name}-ckpt")
+    notification poll is 60 s), one overwrite-per-batch folder so replays do
+    not duplicate. The checkpoint belongs to the output: by default it is
+    ``<out_path>/_checkpoint``, so a restart goes on where the last run ended,
+    with its state, and batch numbers never start again over old output."""
+    ckpt = checkpoint or f"{out_path.rstrip('/')}/_checkpoint"
 
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
@@ -170,6 +172,8 @@ def write_stream_input(df: DataFrame, path: str, order_col: str, slices: int = 4
             part = part.where(F.col("_o") > lo)
         if hi is not None:
             part = part.where(F.col("_o") <= hi)
+        if lo is not None and hi is None:  # rows without a time come last
+            part = part.unionByName(keyed.where(F.col("_o").isNull()))
         part = part.drop("_o")
         if files_per_slice:
             part = part.repartition(files_per_slice)

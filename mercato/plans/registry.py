@@ -15,6 +15,7 @@ from mercato.sources.binding import Domain, bind, with_binding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+_BODY: dict[str, tuple] = {}
 
 
 def register(name: str, oracle: str | None = None, *extra_ctes: tuple[str, str]):
@@ -29,11 +30,17 @@ def register(name: str, oracle: str | None = None, *extra_ctes: tuple[str, str])
         QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = with_binding(oracle, *extra_ctes)
+            _BODY[name] = (oracle, *extra_ctes)
         return fn
 
     return deco
 
 
+def stored_oracle(name: str) -> str:
+    """The oracle text over stored domain tables (``d_*`` exist as tables or views)."""
+    return with_binding(*_BODY[name], bound=False)
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
     from mercato.plans import (  # noqa: F401

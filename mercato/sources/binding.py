@@ -427,11 +427,11 @@ def store_domain(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-def with_binding(body: str, *extra_ctes: tuple[str, str]) -> str:
-    """Prefix ``body`` with the binding CTEs it (and its extra CTEs) reference."""
+def with_binding(body: str, *extra_ctes: tuple[str, str], bound: bool = True) -> str:
+    """Prefix ``body`` with its extra CTEs and, with ``bound``, the binding CTEs they reference."""
     text = body + " ".join(sql for _, sql in extra_ctes)
     needed = [n for n in ALL_VIEWS if n in set(_NAME.findall(text))]
-    ctes = [f"{n} AS ({ALL_VIEWS[n].strip()})" for n in needed]
+    ctes = [f"{n} AS ({ALL_VIEWS[n].strip()})" for n in needed if bound]
     ctes += [f"{n} AS ({sql.strip()})" for n, sql in extra_ctes]
     if not ctes:
         return body.strip()

@@ -2,9 +2,8 @@
 per-user data export.
 
 ``integrity_report`` gives one row per rule with its violation count:
-column rules are evaluated together in one aggregate pass per table
-(count_if), uniqueness as rows minus distinct keys, foreign keys as a left
-join to each parent key set in the same pass (orphans = unmatched rows).
+primary keys, NOT NULL columns, CHECKs, enums, unique columns and references
+of all 12 tables.
 """
 
 from __future__ import annotations
@@ -16,68 +15,77 @@ from mercato.functions.columns import (ORDER_STATUSES, ORDER_TYPES, QUOTE_STATUS
 from mercato.operators.orders import order_item_array
 
 
-def _table_report(df: DataFrame, table: str, rules: list[tuple[str, Column]] = (),
-                  unique: list[str] = (), fks: list[tuple[str, DataFrame, str]] = ()) -> DataFrame:
-    """All checks of one table in one aggregate pass: row rules (count_if),
-    uniqueness (non-null count minus distinct count) and foreign keys (a
-    left join to each parent's key set, orphans counted). One row per rule."""
-    x = df
-    for i, (col, parent, _) in enumerate(fks):
-        keys = parent.select(F.col("id").alias(f"_pk{i}")).distinct()
-        x = x.join(keys, F.col(col) == keys[f"_pk{i}"], "left")
-    aggs, names = [], []
-    for name, pred in rules:
-        aggs.append(F.count_if(~F.coalesce(pred, F.lit(False))))
-        names.append(f"{table}.{name}")
-    for col in unique:
-        aggs.append(F.count(F.col(col)) - F.count_distinct(F.col(col)))
-        names.append(f"{table}.{col} unique")
-    for i, (col, _, parent_name) in enumerate(fks):
-        aggs.append(F.count_if(F.col(col).isNotNull() & F.col(f"_pk{i}").isNull()))
-        names.append(f"{table}.{col} -> {parent_name}")
-    row = x.agg(*[a.cast("bigint").alias(f"r{i}") for i, a in enumerate(aggs)])
-    stack = ", ".join(f"'{n}', r{i}" for i, n in enumerate(names))
-    return row.selectExpr(f"stack({len(names)}, {stack}) AS (rule, violations)")
+#: The declared constraints. Columns, enum values and bounds are the data model's.
+NOT_NULL: dict[str, list[str]] = {
+    "users": ["email", "password_hash", "name", "role", "created_at"],
+    "products": ["slug", "title", "description", "price_cents", "is_active", "tags", "created_at", "updated_at"],
+    "services": ["slug", "title", "description", "base_price_cents", "is_active", "tags", "created_at", "updated_at"],
+    "service_requests": ["user_id", "service_id", "status", "brief", "created_at", "updated_at"],
+    "orders": ["user_id", "status", "total_cents", "type", "created_at"],
+    "order_items": ["order_id", "title", "unit_price_cents", "quantity", "subtotal_cents"],
+    "messages": ["service_request_id", "sender_user_id", "body", "attachments", "created_at"],
+    "quotes": ["service_request_id", "amount_cents", "status", "created_at"],
+    "notifications": ["user_id", "type", "title", "body", "meta", "created_at"],
+    "deliverables": ["service_request_id", "title", "file_url", "created_at"],
+    "coaching_slots": ["starts_at", "ends_at", "capacity", "is_active"],
+    "audit_log": ["action", "entity", "meta", "created_at"],
+}
+ENUMS = {("users", "role"): ROLES, ("service_requests", "status"): REQUEST_STATUSES, ("orders", "status"): ORDER_STATUSES,
+         ("orders", "type"): ORDER_TYPES, ("quotes", "status"): QUOTE_STATUSES}
+AT_LEAST = {("products", "price_cents"): 0, ("services", "base_price_cents"): 0, ("orders", "total_cents"): 0,
+            ("order_items", "unit_price_cents"): 0, ("order_items", "quantity"): 1, ("order_items", "subtotal_cents"): 0,
+            ("quotes", "amount_cents"): 0, ("coaching_slots", "capacity"): 1}
+UNIQUE = [("users", "email"), ("products", "slug"), ("services", "slug"), ("quotes", "service_request_id"),
+          *((t, "id") for t in NOT_NULL)]
+REFERENCES = {("service_requests", "user_id"): "users", ("service_requests", "service_id"): "services",
+              ("orders", "user_id"): "users", ("orders", "service_request_id"): "service_requests",
+              ("order_items", "order_id"): "orders", ("order_items", "product_id"): "products",
+              ("order_items", "service_id"): "services", ("messages", "service_request_id"): "service_requests",
+              ("messages", "sender_user_id"): "users", ("quotes", "service_request_id"): "service_requests",
+              ("notifications", "user_id"): "users", ("deliverables", "service_request_id"): "service_requests",
+              ("audit_log", "actor_user_id"): "users"}
+
+
+def _row_rules(table: str) -> list[tuple[str, Column]]:
+    """(rule, whether a row breaks it); like the declared checks, a null breaks only the not-null rule."""
+    rules = [(f"{table}.{c} not null", F.col(c).isNull()) for c in ["id", *NOT_NULL[table]]]
+    rules += [(f"{t}.{c} enum", ~F.col(c).isin(list(v))) for (t, c), v in ENUMS.items() if t == table]
+    return rules + [(f"{t}.{c} >= {n}", F.col(c) < n) for (t, c), n in AT_LEAST.items() if t == table]
 
 
 def integrity_report(t: dict[str, DataFrame]) -> DataFrame:
-    nn = lambda c: F.col(c).isNotNull()
-    parts = [
-        _table_report(t["users"], "users", [("email not null", nn("email")), ("name not null", nn("name")),
-                                            ("role enum", F.col("role").isin(list(ROLES)))], ["email"]),
-        _table_report(t["products"], "products", [("slug not null", nn("slug")), ("title not null", nn("title")),
-                                                  ("price_cents >= 0", F.col("price_cents") >= 0)], ["slug"]),
-        _table_report(t["services"], "services", [("slug not null", nn("slug")),
-                                                  ("base_price_cents >= 0", F.col("base_price_cents") >= 0)], ["slug"]),
-        _table_report(t["service_requests"], "service_requests",
-                      [("status enum", F.col("status").isin(list(REQUEST_STATUSES))), ("brief not null", nn("brief"))],
-                      fks=[("user_id", t["users"], "users"), ("service_id", t["services"], "services")]),
-        _table_report(t["orders"], "orders", [("total_cents >= 0", F.col("total_cents") >= 0),
-                                              ("status enum", F.col("status").isin(list(ORDER_STATUSES))),
-                                              ("type enum", F.col("type").isin(list(ORDER_TYPES)))],
-                      fks=[("user_id", t["users"], "users"),
-                           ("service_request_id", t["service_requests"], "service_requests")]),
-        _table_report(t["order_items"], "order_items", [("quantity > 0", F.col("quantity") > 0),
-                                                        ("unit_price_cents >= 0", F.col("unit_price_cents") >= 0),
-                                                        ("subtotal_cents >= 0", F.col("subtotal_cents") >= 0),
-                                                        ("title not null", nn("title"))],
-                      fks=[("order_id", t["orders"], "orders"), ("product_id", t["products"], "products"),
-                           ("service_id", t["services"], "services")]),
-        _table_report(t["messages"], "messages",
-                      fks=[("service_request_id", t["service_requests"], "service_requests"),
-                           ("sender_user_id", t["users"], "users")]),
-        _table_report(t["quotes"], "quotes", [("amount_cents >= 0", F.col("amount_cents") >= 0),
-                                              ("status enum", F.col("status").isin(list(QUOTE_STATUSES)))],
-                      ["service_request_id"], [("service_request_id", t["service_requests"], "service_requests")]),
-        _table_report(t["notifications"], "notifications", fks=[("user_id", t["users"], "users")]),
-        _table_report(t["deliverables"], "deliverables",
-                      fks=[("service_request_id", t["service_requests"], "service_requests")]),
-        _table_report(t["coaching_slots"], "coaching_slots", [("capacity > 0", F.col("capacity") > 0)]),
-        _table_report(t["audit_log"], "audit_log", fks=[("actor_user_id", t["users"], "users")]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """One row per declared rule with its number of violations.
+
+    Row rules of a table are one aggregate pass. For unique columns and
+    references one more pass over each table gives its keys, nulls left out;
+    they are counted by (rule, key), map-side first, so no key gathers its rows,
+    and only these counts meet the parents' keys."""
+    parts, keys = [], []
+    for table, df in t.items():
+        rules = _row_rules(table)
+        row = df.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(f"r{i}") for i, (_, bad) in enumerate(rules)])
+        stack = ", ".join(f"'{name}', r{i}" for i, (name, _) in enumerate(rules))
+        parts.append(row.selectExpr(f"stack({len(rules)}, {stack}) AS (rule, violations)"))
+        held = [(f"{x}.{c} unique", "", c) for x, c in UNIQUE if x == table]
+        held += [(f"{x}.{c} -> {p}", p, c) for (x, c), p in REFERENCES.items() if x == table]
+        pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(p).alias("parent"), F.col(c).cast("string").alias("key"))
+                          for rule, p, c in held])
+        keys.append(df.select(F.explode(pairs).alias("x")).select("x.*").where("key is not null"))
+    counted = _union(keys).groupBy("rule", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
+    parents = _union([t[p].select(F.lit(p).alias("parent"), F.col("id").cast("string").alias("key"))
+                      for p in dict.fromkeys(REFERENCES.values())])
+    surplus = counted.where("parent = ''").select("rule", (F.col("n") - 1).alias("violations"))
+    lost = counted.where("parent <> ''").join(parents, ["parent", "key"], "left_anti").select("rule", F.col("n").alias("violations"))
+    names = F.array(*[F.lit(f"{x}.{c} unique") for x, c in UNIQUE], *[F.lit(f"{x}.{c} -> {p}") for (x, c), p in REFERENCES.items()])
+    none = t["users"].sparkSession.range(1).select(F.explode(names).alias("rule"), F.lit(0).cast("bigint").alias("violations"))
+    parts.append(_union([none, surplus, lost]).groupBy("rule").agg(F.sum("violations").alias("violations")))
+    return _union(parts).select("rule", F.col("violations").cast("bigint").alias("violations"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 

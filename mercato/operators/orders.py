@@ -77,8 +77,12 @@ def price_lines(lines: DataFrame, products: DataFrame, services: DataFrame) -> D
         F.col("id").alias("_pid"), F.col("title").alias("_ptitle"), F.col("price_cents").alias("_pprice"))
     s = services.where(F.col("is_active")).select(
         F.col("id").alias("_sid"), F.col("title").alias("_stitle"), F.col("base_price_cents").alias("_sprice"))
-    j = (lines.join(p, lines["product_id"] == p["_pid"], "left")
-         .join(s, lines["service_id"] == s["_sid"], "left"))
+    # Most lines lack one of the two keys: such rows get a spread key that the
+    # second condition lets match nothing, so they do not meet in one task.
+    spread = -1 - F.pmod(F.xxhash64("order_seq", "line_no"), F.lit(1 << 20))
+    key = lambda c: F.coalesce(F.col(c), spread.cast(lines.schema[c].dataType))
+    j = (lines.join(p, (key("product_id") == p["_pid"]) & lines["product_id"].isNotNull(), "left")
+         .join(s, (key("service_id") == s["_sid"]) & F.col("service_id").isNotNull(), "left"))
     has_p, has_s = F.col("product_id").isNotNull(), F.col("service_id").isNotNull()
     unit = F.when(has_p, F.col("_pprice")).otherwise(F.col("_sprice"))
     subtotal = unit.cast("bigint") * F.col("quantity").cast("bigint")

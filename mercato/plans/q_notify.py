@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercato.operators import changes, guards, integrity, notify, requests
 from mercato.operators.orders import apply_payments
 from mercato.plans.q_changes import (_ACCEPT_FINAL, _ACCEPT_OUT, _DECLINE_OUT, _DLV_OUT, _MSG_OUT, _PAID, _PAY_OUT,
                                      _QUOTE_OUT, accepted_quotes)
 from mercato.plans.registry import register
-from mercato.sources.domain import load_tables_from_binding
+from mercato.sources.domain import DOMAIN_SCHEMAS, load_tables_from_binding
 
 NOW = dt.datetime(2024, 2, 1, 0, 0, 0)
 
@@ -266,44 +267,54 @@ def q_export_user(d):
         F.size("audit").cast("bigint").alias("n_audit"))
 
 
-@register("integrity_report", """
-SELECT 'users.email not null' AS rule, count(*) FILTER (WHERE email IS NULL) AS violations FROM d_users
-UNION ALL SELECT 'users.name not null', count(*) FILTER (WHERE name IS NULL) FROM d_users
-UNION ALL SELECT 'users.role enum', count(*) FILTER (WHERE NOT coalesce(role IN ('customer', 'editor', 'admin'), false)) FROM d_users
-UNION ALL SELECT 'users.email unique', count(email) - count(DISTINCT email) FROM d_users
-UNION ALL SELECT 'products.slug not null', count(*) FILTER (WHERE slug IS NULL) FROM d_products
-UNION ALL SELECT 'products.title not null', count(*) FILTER (WHERE title IS NULL) FROM d_products
-UNION ALL SELECT 'products.price_cents >= 0', count(*) FILTER (WHERE NOT coalesce(price_cents >= 0, false)) FROM d_products
-UNION ALL SELECT 'products.slug unique', count(slug) - count(DISTINCT slug) FROM d_products
-UNION ALL SELECT 'services.slug not null', count(*) FILTER (WHERE slug IS NULL) FROM d_services
-UNION ALL SELECT 'services.base_price_cents >= 0', count(*) FILTER (WHERE NOT coalesce(base_price_cents >= 0, false)) FROM d_services
-UNION ALL SELECT 'services.slug unique', count(slug) - count(DISTINCT slug) FROM d_services
-UNION ALL SELECT 'service_requests.status enum', count(*) FILTER (WHERE NOT coalesce(status IN ('open', 'needs_info', 'quoted', 'paid', 'in_progress', 'delivered', 'completed', 'declined'), false)) FROM d_service_requests
-UNION ALL SELECT 'service_requests.brief not null', count(*) FILTER (WHERE brief IS NULL) FROM d_service_requests
-UNION ALL SELECT 'service_requests.user_id -> users', count(*) FROM d_service_requests x WHERE x.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.user_id)
-UNION ALL SELECT 'service_requests.service_id -> services', count(*) FROM d_service_requests x WHERE x.service_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_services p WHERE p.id = x.service_id)
-UNION ALL SELECT 'orders.total_cents >= 0', count(*) FILTER (WHERE NOT coalesce(total_cents >= 0, false)) FROM d_orders
-UNION ALL SELECT 'orders.status enum', count(*) FILTER (WHERE NOT coalesce(status IN ('pending', 'paid', 'canceled', 'refunded'), false)) FROM d_orders
-UNION ALL SELECT 'orders.type enum', count(*) FILTER (WHERE NOT coalesce(type IN ('digital', 'service', 'coaching'), false)) FROM d_orders
-UNION ALL SELECT 'orders.user_id -> users', count(*) FROM d_orders x WHERE x.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.user_id)
-UNION ALL SELECT 'orders.service_request_id -> service_requests', count(*) FROM d_orders x WHERE x.service_request_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_service_requests p WHERE p.id = x.service_request_id)
-UNION ALL SELECT 'order_items.quantity > 0', count(*) FILTER (WHERE NOT coalesce(quantity > 0, false)) FROM d_order_items
-UNION ALL SELECT 'order_items.unit_price_cents >= 0', count(*) FILTER (WHERE NOT coalesce(unit_price_cents >= 0, false)) FROM d_order_items
-UNION ALL SELECT 'order_items.subtotal_cents >= 0', count(*) FILTER (WHERE NOT coalesce(subtotal_cents >= 0, false)) FROM d_order_items
-UNION ALL SELECT 'order_items.title not null', count(*) FILTER (WHERE title IS NULL) FROM d_order_items
-UNION ALL SELECT 'order_items.order_id -> orders', count(*) FROM d_order_items x WHERE x.order_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_orders p WHERE p.id = x.order_id)
-UNION ALL SELECT 'order_items.product_id -> products', count(*) FROM d_order_items x WHERE x.product_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_products p WHERE p.id = x.product_id)
-UNION ALL SELECT 'order_items.service_id -> services', count(*) FROM d_order_items x WHERE x.service_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_services p WHERE p.id = x.service_id)
-UNION ALL SELECT 'messages.service_request_id -> service_requests', count(*) FROM d_messages x WHERE x.service_request_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_service_requests p WHERE p.id = x.service_request_id)
-UNION ALL SELECT 'messages.sender_user_id -> users', count(*) FROM d_messages x WHERE x.sender_user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.sender_user_id)
-UNION ALL SELECT 'quotes.amount_cents >= 0', count(*) FILTER (WHERE NOT coalesce(amount_cents >= 0, false)) FROM d_quotes
-UNION ALL SELECT 'quotes.status enum', count(*) FILTER (WHERE NOT coalesce(status IN ('draft', 'sent', 'accepted', 'paid', 'declined'), false)) FROM d_quotes
-UNION ALL SELECT 'quotes.service_request_id unique', count(service_request_id) - count(DISTINCT service_request_id) FROM d_quotes
-UNION ALL SELECT 'quotes.service_request_id -> service_requests', count(*) FROM d_quotes x WHERE x.service_request_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_service_requests p WHERE p.id = x.service_request_id)
-UNION ALL SELECT 'notifications.user_id -> users', count(*) FROM d_notifications x WHERE x.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.user_id)
-UNION ALL SELECT 'deliverables.service_request_id -> service_requests', count(*) FROM d_deliverables x WHERE x.service_request_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_service_requests p WHERE p.id = x.service_request_id)
-UNION ALL SELECT 'coaching_slots.capacity > 0', 0
-UNION ALL SELECT 'audit_log.actor_user_id -> users', count(*) FROM d_audit_log x WHERE x.actor_user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_users p WHERE p.id = x.actor_user_id)
-""")
+def _planted(table: str) -> list[tuple[list[str], str]]:
+    """(expressions, condition) of the rows of a table and of two kinds of broken rows derived from them: a repeated id
+    with nothing else, and no id with references, numbers and enums out of range."""
+    cols = [f.name for f in DOMAIN_SCHEMAS[table].fields]
+    key = "order_id" if table == "order_items" else "id"
+    broken = []
+    for f in DOMAIN_SCHEMAS[table].fields:
+        at = (table, f.name)
+        broken.append(f"CAST(NULL AS {SQL_TYPES[type(f.dataType)]}) AS id" if f.name == "id" else
+                      f"CAST(-1 AS BIGINT) AS {f.name}" if at in integrity.REFERENCES else
+                      f"CAST(-1 AS INT) AS {f.name}" if at in integrity.AT_LEAST else
+                      f"'broken' AS {f.name}" if at in integrity.ENUMS else f.name)
+    return [(cols, "true"), (["id", *(f"NULL AS {c}" for c in cols if c != "id")], f"{key} % 5 = 0"), (broken, f"{key} % 7 = 0")]
+
+
+SQL_TYPES = {T.LongType: "BIGINT", T.StringType: "VARCHAR(100)"}
+#: No source has slots, so they are made from the services.
+SLOTS = ["id", "created_at AS starts_at", "updated_at AS ends_at", "CAST(5 AS INT) AS capacity", "is_active"]
+
+
+def _integrity_sql() -> str:
+    ctes = [f"b_coaching_slots AS (SELECT {', '.join(SLOTS)} FROM d_services)",
+            "b_users AS (SELECT *, CAST(NULL AS VARCHAR) AS password_hash FROM d_users)"]
+    for t in integrity.NOT_NULL:
+        source = f"b_{t}" if t in ("coaching_slots", "users") else f"d_{t}"
+        ctes.append(f"p_{t} AS (" + " UNION ALL ".join(
+            f"SELECT {', '.join(cols)} FROM {source} WHERE {cond}" for cols, cond in _planted(t)) + ")")
+    rules = [(f"{t}.{c} not null", f"count(*) FILTER (WHERE {c} IS NULL) FROM p_{t}")
+             for t, cs in integrity.NOT_NULL.items() for c in ["id", *cs]]
+    rules += [(f"{t}.{c} enum", f"count(*) FILTER (WHERE {c} NOT IN {tuple(v)}) FROM p_{t}")
+              for (t, c), v in integrity.ENUMS.items()]
+    rules += [(f"{t}.{c} >= {n}", f"count(*) FILTER (WHERE {c} < {n}) FROM p_{t}") for (t, c), n in integrity.AT_LEAST.items()]
+    rules += [(f"{t}.{c} unique", f"count({c}) - count(DISTINCT {c}) FROM p_{t}") for t, c in integrity.UNIQUE]
+    rules += [(f"{t}.{c} -> {p}", f"count(*) FROM p_{t} x WHERE x.{c} IS NOT NULL AND NOT EXISTS "
+                                  f"(SELECT 1 FROM p_{p} y WHERE y.id = x.{c})") for (t, c), p in integrity.REFERENCES.items()]
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(
+        f"SELECT '{name}' AS rule, {rest.replace(' FROM', ' AS violations FROM', 1)}" for name, rest in rules)
+
+
+@register("integrity_report", _integrity_sql())
 def q_integrity_report(d):
-    return integrity.integrity_report(load_tables_from_binding(d))
+    """Every declared rule, over the tables with broken rows planted, so that each rule has violations to count."""
+    t = load_tables_from_binding(d)
+    t["coaching_slots"] = t["services"].selectExpr(*SLOTS)
+    planted = {}
+    for name in integrity.NOT_NULL:
+        for cols, cond in _planted(name):
+            part = t[name].where(cond).selectExpr(*cols)
+            part = part.select(*[F.col(f.name).cast(f.dataType) for f in DOMAIN_SCHEMAS[name].fields])
+            planted[name] = planted[name].unionByName(part) if name in planted else part
+    return integrity.integrity_report(planted)

@@ -52,3 +52,23 @@ def acceptable_quotes(accepts: DataFrame, quotes: DataFrame, requests: DataFrame
                .when(~F.col("quote_status").isin("sent", "draft"), "bad_state")
                .otherwise("accept"))
     return j.withColumn("outcome", outcome).drop("_quote")
+
+
+#: Who may make each admin write. The roles are the access rules'.
+ADMIN_WRITES = {"product": ("admin", "editor"), "service": ("admin", "editor"), "user": ("admin",), "broadcast": ("admin",)}
+
+
+def admin_writes(rows: DataFrame, users: DataFrame, kind: str, caller: str = "caller_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose caller may write, refused rows with an ``outcome``):
+    unauthorized where the caller is missing or unknown, forbidden where the
+    role may not. Put it in front of catalogue inserts, patches, user writes,
+    deletes and broadcasts. Rows without a caller stay out of the join, so
+    they do not meet in one task."""
+    c = _callers(users)
+    known = rows.where(F.col(caller).isNotNull()).join(c, F.col(caller) == c["_caller"], "left")
+    outcome = (F.when(F.col("_caller").isNull(), "unauthorized")
+               .when(~F.coalesce(F.col("caller_role").isin(*ADMIN_WRITES[kind]), F.lit(False)), "forbidden"))
+    known = known.withColumn("outcome", outcome)
+    refused = known.where(F.col("outcome").isNotNull()).select(*rows.columns, "outcome")
+    missing = rows.where(F.col(caller).isNull()).withColumn("outcome", F.lit("unauthorized"))
+    return known.where(F.col("outcome").isNull()).select(*rows.columns), refused.unionByName(missing)

@@ -157,6 +157,22 @@ def q_patched_products(d):
     return table.select("id", "slug", "title", "price_cents", "is_active", "updated_at")
 
 
+#: Callers of the product patches: no one, unknown ones, customers and staff.
+_CALLER = "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN -1 ELSE id % 50 + 1 END"
+
+
+@register("admin_writes", f"""
+SELECT p.id, CASE WHEN u.id IS NULL THEN 'unauthorized' WHEN u.role NOT IN ('admin', 'editor') THEN 'forbidden'
+                  ELSE 'allowed' END AS outcome
+FROM (SELECT id, {_CALLER} AS caller_id FROM d_product_patches) p LEFT JOIN d_users u ON u.id = p.caller_id
+""")
+def q_admin_writes(d):
+    """Every product patch with the decision on its caller."""
+    rows = d.product_patches.selectExpr("id", f"{_CALLER} AS caller_id")
+    allowed, refused = guards.admin_writes(rows, d.users, "product")
+    return allowed.select("id", F.lit("allowed").alias("outcome")).unionByName(refused.select("id", "outcome"))
+
+
 _UPATCH = ("up", f"""
   SELECT up.id, lower(up.email) AS email, up.name, up.role,
          concat_ws(',', CASE WHEN email IS NOT NULL AND NOT coalesce(regexp_matches(lower(email), '{EMAIL_RE}'), false) THEN 'email' END,

@@ -34,7 +34,8 @@ class Pieces:
     score less ten, as unigram models do.
     """
 
-    limit = 200_000
+    #: Words whose pieces are remembered (a cache: some 100 MB; dropping it changes no result).
+    limit = 400_000
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -69,10 +70,11 @@ class Pieces:
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = sorted(words)
-        nxt, ends, unknown = self.next, self.ends, self.unknown
+        nxt, ends, unknown, names = self.next, self.ends, self.unknown, self.names
         # the stack, one entry for each character of the current word:
         best, back = [0.0], [None]  # best score up to here; (start, piece) of the last piece, piece None: bytes
-        open_at = [[]]  # (start, trie node) of pieces that have begun and may go on
+        root = nxt[0]
+        open_at = [[(0, root)]]  # (start, what may follow) of pieces that have begun or may begin here
         last = ""
         for word in new:
             same = 0
@@ -84,13 +86,15 @@ class Pieces:
             for at in range(same, len(word)):
                 c, going = word[at], []
                 top, how = best[at] + unknown, (at, None)
-                for start, node in (*open_at[at], (at, 0)):
-                    node = nxt[node].get(c)
+                for start, after in open_at[at]:
+                    node = after.get(c)
                     if node is not None:
-                        going.append((start, node))
+                        if nxt[node]:
+                            going.append((start, nxt[node]))
                         end = ends[node]
                         if end is not None and best[start] + end[0] >= top:
                             top, how = best[start] + end[0], (start, end[1])
+                going.append((at + 1, root))
                 best.append(top)
                 back.append(how)
                 open_at.append(going)
@@ -105,7 +109,8 @@ class Pieces:
                     out.append(piece)
                 at = start
             self.known[word] = out = out[::-1]
-            if self.decode(out, front=False) != word.replace(MARK, " ").replace(_LITERAL, MARK):
+            if "".join([names[i] for i in out]) != word and (
+                    self.decode(out, front=False) != word.replace(MARK, " ").replace(_LITERAL, MARK)):
                 self.lossy.add(word)
 
     def encode_batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:

@@ -2,9 +2,9 @@
 
 UPDATE / DELETE / MERGE INTO are not available on plain parquet tables, so
 a bulk change produces a new table that is written to a *new* folder and
-then made current by rewriting a one-line pointer; the folder being read is
-never overwritten, so readers of the old snapshot are unaffected and a
-failed job leaves the current snapshot intact.
+current from the moment its ``_SUCCESS`` file exists; the folder being read
+is never overwritten, so readers of the old snapshot are unaffected and a
+failed job leaves the current snapshot as it is.
 """
 
 from __future__ import annotations
@@ -15,24 +15,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-POINTER = "_current"
-
 
 def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as a new snapshot under ``root`` and point ``root`` at it."""
-    spark = df.sparkSession
+    """Write ``df`` as a new snapshot under ``root``. It becomes the current
+    one at the moment its ``_SUCCESS`` file appears, which the writer creates
+    last; nothing old is touched."""
     folder = f"{root.rstrip('/')}/snapshot-{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(folder)
-    ptr = spark.createDataFrame([(folder,)], T.StructType([T.StructField("value", T.StringType())]))
-    ptr.coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/{POINTER}")
     return folder
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str:
-    return spark.read.text(f"{root.rstrip('/')}/{POINTER}").first()["value"]
+    """The newest finished snapshot (names sort by time)."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/snapshot-*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+    names = sorted(f.getPath().getParent().getName() for f in found or [])
+    if not names:
+        raise FileNotFoundError(f"no finished snapshot under {root}")
+    return f"{root.rstrip('/')}/{names[-1]}"
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:

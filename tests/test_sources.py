@@ -31,6 +31,9 @@ def test_snapshot_never_overwrites_what_is_read(spark, seed):
     second = write_snapshot(seed["products"].where("price_cents > 4000"), root)
     assert first != second and current_snapshot(spark, root) == second
     assert before.count() == 6 and read_snapshot(spark, root).count() == 3
+    # a snapshot that never finished is not current
+    seed["products"].write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/snapshot-9-unfinished")
+    assert current_snapshot(spark, root) == second
 
 
 def test_audit_sink_partitioned_by_action(spark):

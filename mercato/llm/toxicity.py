@@ -122,8 +122,8 @@ class Model:
         mean = (hist * np.arange(hist.shape[1])).sum(axis=1) / np.maximum(n, 1)
         return np.column_stack([*top, *hits, mean, np.log1p(n)])
 
-    def fit(self, hist: np.ndarray, toxic: np.ndarray) -> float:
-        """Ridge logistic regression by Newton steps; returns the mean log loss."""
+    def fit(self, hist: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+        """Ridge logistic regression by Newton steps; returns the mean log loss. A document counts ``weight`` times."""
         share = hist[toxic == 0].sum(axis=0).cumsum()
         self.thresholds = tuple(sorted({int(np.searchsorted(share, q * share[-1])) for q in QUANTILES}))
         x = self.features(hist)
@@ -132,10 +132,11 @@ class Model:
         w, ridge = np.zeros(a.shape[1]), np.r_[0, np.full(a.shape[1] - 1, 0.5)] + 1e-6
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            w += np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge), a.T @ (toxic - p) - ridge * w)
+            w += np.linalg.solve((a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge),
+                                 a.T @ (weight * (toxic - p)) - ridge * w)
         self.weights = w
         p = np.clip(self.score(hist), 1e-6, 1 - 1e-6)
-        return float(-np.mean(toxic * np.log(p) + (1 - toxic) * np.log(1 - p)))
+        return float(-np.average(toxic * np.log(p) + (1 - toxic) * np.log(1 - p), weights=weight))
 
     def score(self, hist: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -151,6 +152,13 @@ def _sample(labels: DataFrame, folds: tuple[int, ...]) -> DataFrame:
     return F.broadcast(each[0].union(each[1]))  # at most 2 * TRAIN_DOCS rows of two numbers
 
 
+def _weights(labels: DataFrame) -> dict[tuple[int, int], float]:
+    """For (half, class) how many labels each sampled one stands for: folds 1 and 2 are half 0, folds 3 and 4 half 1."""
+    fold = crc_remainder(F.col("id"))
+    n = labels.where(fold > 0).groupBy((fold > 2).cast("int").alias("half"), "toxic").agg(F.count(F.lit(1)).alias("n"))
+    return {(r["half"], r["toxic"]): max(1.0, r["n"] / TRAIN_DOCS) for r in n.collect()}
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labelled documents whose crc32(doc_id as text) mod 5 is not 0.
 
@@ -158,13 +166,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     and the dictionary size, so that a text is never scored with a dictionary
     made from it. Only word counts of the bounded sample (at most TRAIN_WORDS
     words of either class) and histograms (65 numbers for each of at most
-    2 * TRAIN_DOCS documents) reach the driver. Null labels are no labels; of
-    several labels for one id the highest holds. With one class only, or none,
-    the score is the share of toxic labels.
+    2 * TRAIN_DOCS documents) reach the driver. A sampled document counts as often
+    as there are labels of its class for each one sampled, so the fit and the
+    prior see the classes in their true proportion at any size. Null labels are
+    no labels; of several labels for one id the highest holds. With one class
+    only, or none, the score is the share of toxic labels.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
     docs = documents(docs)
+    weight = _weights(known)
 
     def words(batches):
         for pdf in batches:
@@ -174,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     first = docs.join(_sample(known, (1, 2)), F.col("doc_id") == F.col("id"))
     n = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_ordinary = n.get(1, 0), n.get(0, 0)
-    prior = n_toxic / (n_toxic + n_ordinary) if n else 0.0
+    true_toxic, true_ordinary = n_toxic * weight.get((0, 1), 1.0), n_ordinary * weight.get((0, 0), 1.0)
+    prior = true_toxic / (true_toxic + true_ordinary) if n else 0.0
     if not n_toxic or not n_ordinary:
         return Model(prior)
     counts = first.select("text", "toxic").mapInPandas(words, "toxic int, word binary").groupBy("word").agg(
@@ -201,13 +213,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     y = got["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         return Model(prior)
+    each = np.where(y > 0, weight.get((1, 1), 1.0), weight.get((1, 0), 1.0))
     fits = []
     for i, p in enumerate(pairs):
         model = Model(prior, p)
         # summed in a fixed order, so that reruns agree whatever order the rows came in
         hist = np.stack(got[f"h{i}"].to_numpy()).astype(np.int64)
         order = np.lexsort((*hist.T, y))
-        fits.append((model.fit(hist[order], y[order]), i, model))
+        fits.append((model.fit(hist[order], y[order], each[order]), i, model))
     return min(fits, key=lambda f: f[:2])[2]
 
 
@@ -235,8 +248,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all columns of ``docs``: a pass over the rows, no join."""
+    """The documents that are not predicted toxic, with all columns of ``docs``: a pass over the rows, no join. Where
+    nothing could be fitted, nothing is known of any text, so all documents stay."""
     model = train(docs, labels)
+    if model.weights is None:
+        return docs
 
     def keep(batches):
         distances = Distances(*model.dictionaries)

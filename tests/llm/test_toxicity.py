@@ -60,3 +60,28 @@ def test_edge_cases(planted, spark):
     assert {r.score for r in none} == {0.0}
     assert toxicity.toxicity_scores(docs.limit(0), labels.limit(0)).collect() == []
     assert toxicity.drop_toxic(odd, labels.limit(0)).count() == 5
+
+
+def test_sampled_classes_keep_their_proportion(spark, monkeypatch):
+    """Of the documents with the word 120 are toxic; a sample that cuts only the ordinary class must not raise their score."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    docs, labels, marked = [], [], set()
+    for i in range(3000):
+        toxic = int(i % 25 == 0)
+        words = [rng.choice(vocab) for _ in range(30)]
+        if toxic or rng.random() < 0.06:
+            words[rng.randrange(30)] = "snidlock"
+            marked.add(i)
+        docs.append((i, " ".join(words), "x", None))
+        labels.append((i, 1, toxic))
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for most in (toxicity.TRAIN_DOCS, 200):
+        monkeypatch.setattr(toxicity, "TRAIN_DOCS", most)
+        got = [r for r in toxicity.toxicity_scores(docs, labels).collect() if r.doc_id in marked]
+        assert abs(sum(r.score for r in got) / len(got) - 120 / len(got)) < 0.12  # with classes cut unevenly: over 0.3 off
+
+
+def test_nothing_fitted_drops_nothing(planted):
+    docs, labels = planted
+    assert toxicity.drop_toxic(docs, labels.where("toxic = 1")).count() == docs.count()

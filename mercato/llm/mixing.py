@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.llm.common import written
@@ -26,11 +26,11 @@ KNAPSACK = 65_536
 BUCKETS = 1024
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words ``[^\\x20\\x09-\\x0D]+`` (null text: 0)."""
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, the number of words ``[^\\x20\\x09-\\x0D]+`` (null text: 0) and the columns ``more``."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       words.cast("long").alias("size"))
+                       words.cast("long").alias("size"), *more)
 
 
 def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -133,16 +133,29 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     as its lengths allow.
 
     The fit sees one row for each distinct length of a source, never documents.
-    The documents of a length are ranked by a seeded hash of the id in 1024 hash
-    buckets with running counts, so a length that a third of all rows share is
-    ranked in parts. Equal hashes (rows repeated with one id) are ties that give
-    the same rows whichever is taken. Null or empty texts have size 0 and take
+    The documents of a length are ranked by a seeded hash of the id (of the text
+    where there is no id) in 1024 hash buckets with running counts, so a length
+    that a third of all rows share is ranked in parts. Rows repeated with one id
+    go by a hash of their text; where that is equal too, either may be taken. Null or empty texts have size 0 and take
     nothing; null ids and sources are values like others; a source without words
     has target 0; an empty table gives no rows.
     """
-    rows = sized(docs).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    rows = written(rows.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")), "sizes")
-    per_bucket = rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return _copies(docs, seed).select("doc_id", "size", "source_size", "target",
+                                      (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def _copies(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies and the columns ``more`` of ``docs``, which go
+    along with the rank, so that nothing is joined back on an id that rows share."""
+    def keyed(rows):
+        rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.coalesce("doc_id", "text_hash"), "size"))
+        rows = rows.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+        # a null source is a value like others: with a name for it the window's partitioning serves the join too
+        return rows.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+
+    text_hash = F.xxhash64("text").alias("text_hash")
+    rows = written(keyed(sized(docs, text_hash)), "sizes")
+    per_bucket = rows.groupBy("name", "source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     hist = per_bucket.groupBy("source", "size").agg(F.sum("n").alias("n"))
     per_source = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goals = targets(per_source)
@@ -154,21 +167,16 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     starts = per_bucket.withColumn("start", F.coalesce(F.sum("n").over(lower), F.lit(0)))
     starts = starts.join(fits.withColumnRenamed("source", "fs").withColumnRenamed("size", "fz"),
                          F.col("source").eqNullSafe(F.col("fs")) & (F.col("size") == F.col("fz"))).select(
-        F.col("source").alias("fs"), F.col("size").alias("fz"), F.col("bucket").alias("fb"), "start", "source_size",
-        "target", "whole", "extra")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")))
-    out = ranked.join(starts, F.col("source").eqNullSafe(F.col("fs")) & (F.col("size") == F.col("fz"))
-                      & (F.col("bucket") == F.col("fb")))
-    copies = F.col("whole") + (F.col("start") + F.col("r") <= F.col("extra")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"),
-                      copies.alias("copies"))
+        "name", "size", "bucket", "start", "source_size", "target", "whole", "extra")
+    each = keyed(sized(docs, text_hash, *more)) if more else rows
+    ranked = each.withColumn("r", F.row_number().over(
+        Window.partitionBy("name", "size", "bucket").orderBy("h", "doc_id", "text_hash")))
+    out = ranked.join(starts, ["name", "size", "bucket"])
+    return out.withColumn("copies", F.col("whole") + (F.col("start") + F.col("r") <= F.col("extra")).cast("long"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all columns of ``docs``. Rows repeated with one id
-    are told apart by nothing but their number, so each id's copies are summed and given to one of its rows."""
-    copies = mix(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.sum("copies").cast("int").alias("__copies"))
-    one = docs.dropDuplicates(["doc_id"])
-    return one.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The mix itself: each row as often as it is taken, with all columns of ``docs``, whatever ids rows share or lack."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = _copies(docs, seed, row).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -2,7 +2,7 @@
 
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -84,3 +84,15 @@ def test_mix_edge_cases(spark):
     hot = spark.createDataFrame([(i, "a b", "x", "", 0) for i in range(300)] + [(1000, "c " * 900, "y", "", 0)], schema)
     got = mixing.mix(hot).collect()
     assert sum(r.taken for r in got if r.doc_id < 1000) == 500  # 1500 words by 1 : 2
+
+
+def test_rows_that_share_or_lack_an_id_stay_themselves(spark):
+    schema = "doc_id long, text string, source string, h int"
+    rows = [(None if i % 3 == 0 else i if i % 3 == 1 else 2, f"t{i} " * (1 + i % 4), "ab"[i % 2], i) for i in range(120)]
+    docs = spark.createDataFrame(rows, schema)
+    got = Counter(tuple(r) for r in mixing.mixed(docs).collect())
+    assert set(got) <= set(rows) and max(got.values()) <= 3
+    plan = Counter((r.doc_id, r.size) for r in mixing.mix(docs).collect() for _ in range(r.copies))
+    assert plan == Counter((r[0], 1 + r[3] % 4) for r in got.elements())
+    goal = stepwise({s: sum(1 + r[3] % 4 for r in rows if r[2] == s) for s in "ab"})
+    assert all(abs(sum(1 + r[3] % 4 for r in got.elements() if r[2] == s) - goal[s]) <= 1 for s in "ab")

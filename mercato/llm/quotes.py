@@ -3,8 +3,10 @@
 Lines that begin with > marks are quoted, as deep as they have marks. Quoted
 passages (runs of lines of one depth) and the messages' own passages (their
 whole text, paragraphs and lines) are hashed after normalising; a quoted passage
-is joined to the first message of its conversation that wrote it. A message
-replies to the original of its first outermost quoted passage that has one.
+is joined to the first message of its conversation that wrote it. Of a trimmed
+quote, which no message wrote as a whole, the longest paragraph or line that one
+wrote links. A message replies to the original of its first outermost quoted
+passage that has one.
 Messages without quotes remain, grouped in threads: a thread is a message that
 replies to nothing and all that reply to it directly or not.
 """
@@ -55,10 +57,11 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return clean, [(d, "\n".join(lines)) for d, lines in quoted]
 
 
-def passages(text: str) -> list[bytes]:
-    """Hashes of a message's own text as a whole, by paragraph and by line: what a reply may quote."""
+def passages(text: str) -> dict[bytes, int]:
+    """Hashes of a text as a whole, by paragraph and by line, with their words: what a reply may quote, or what is left
+    of a quoted passage that was trimmed."""
     parts = [text, *re.split(r"\n[ \t\r]*\n", text), *text.split("\n")]
-    return list(dict.fromkeys(h for p in parts if (h := digest(p)) is not None))
+    return {h: len(p.encode("utf-8", "surrogatepass").split()) for p in parts if (h := digest(p)) is not None}
 
 
 def _make():
@@ -66,8 +69,9 @@ def _make():
         rows = []
         for text in texts:
             clean, quoted = parse(text)
-            links = [{"depth": d, "place": i, "h": digest(q)} for i, (d, q) in enumerate(quoted)]
-            rows.append((clean, passages(clean), [x for x in links if x["h"] is not None], len(quoted)))
+            links = [{"depth": d, "place": i, "words": n, "h": h} for i, (d, q) in enumerate(quoted)
+                     for h, n in passages(q).items()]
+            rows.append((clean, list(passages(clean)), links, len(quoted)))
         return list(map(list, zip(*rows, strict=True))) if rows else [[], [], [], []]
 
     return columns
@@ -80,7 +84,8 @@ def reply_threads(conversations: DataFrame) -> DataFrame:
     thread and depth the number of replies from there. A message only answers an
     earlier turn, so ordering a conversation by (thread, turn) puts each message
     behind what it answers. n_quotes counts quoted passages, n_linked those with
-    an original.
+    an original, of the whole or of a paragraph or line of it: the longest counts,
+    then the earliest.
 
     Originals are a minimum for each (conversation, passage), aggregated map-side,
     and links a plain join on that key: a line that a third of all messages hold
@@ -95,7 +100,7 @@ def reply_threads(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                                 F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     parsed = written(map_texts(rows, _make, "clean string, own array<binary>, "
-                                            "links array<struct<depth:int,place:int,h:binary>>, n_quotes long"), "parsed")
+                                            "links array<struct<depth:int,place:int,words:int,h:binary>>, n_quotes long"), "parsed")
     quoted = parsed.where("conv_id is not null and turn is not null").select(
         "conv_id", "turn", F.explode("links").alias("q")).select("conv_id", "turn", "q.*")
     asked = quoted.select("conv_id", "h").distinct()
@@ -104,7 +109,7 @@ def reply_threads(conversations: DataFrame) -> DataFrame:
         "conv_id", "h").agg(F.min("turn").alias("original"))
     linked = quoted.join(first, ["conv_id", "h"]).where("original < turn")
     replies = linked.groupBy("conv_id", "turn").agg(
-        F.min(F.struct("depth", "place", "original")).alias("q"), F.countDistinct("place").alias("n_linked"))
+        F.min(F.struct("depth", "place", -F.col("words"), "original")).alias("q"), F.countDistinct("place").alias("n_linked"))
     parents = written(replies.select("conv_id", "turn", F.col("q.original").alias("reply_to"), "n_linked"), "replies")
     thread = _roots(parents)
     return parsed.join(parents, ["conv_id", "turn"], "left").join(thread, ["conv_id", "turn"], "left").select(

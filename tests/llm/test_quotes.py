@@ -72,3 +72,17 @@ def test_edge_cases(spark):
     assert quotes.reply_threads(frame(spark, [])).collect() == []
     real = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     assert quotes.reply_threads(real).count() == real.count()
+
+
+def test_trimmed_quotes_link_by_their_parts(spark):
+    lines = [f"line {i} of the first message" for i in range(5)]
+    pars = [f"paragraph {i} begins\nand paragraph {i} ends" for i in range(3)]
+    quote = lambda text: "\n".join("> " + x for x in text.split("\n")) + "\nreply"
+    rows = [(1, 0, "u", "\n".join(lines)), (1, 1, "u", "\n\n".join(pars)), (1, 2, "u", "thanks\n" + "a longer line of the third"),
+            (1, 3, "u", quote("\n".join(lines[1:3]))), (1, 4, "u", quote("\n\n".join(pars[:2]))),
+            (1, 5, "u", quote(pars[0] + "\n\n" + pars[2])), (1, 6, "u", quote("thanks\n" + lines[4] + "\nnever written")),
+            (1, 7, "u", quote("never written\nnor this"))]
+    got = {r.turn: r for r in quotes.reply_threads(frame(spark, rows)).collect()}
+    assert [got[t].reply_to for t in range(8)] == [None, None, None, 0, 1, 1, 0, None]
+    assert [got[t].n_linked for t in range(8)] == [0, 0, 0, 1, 1, 1, 1, 0]
+    assert all(got[t].n_quotes == 1 for t in range(3, 8))

@@ -6,8 +6,9 @@ bins until one is filled). Bins are banded, documents of a band bucket are
 linked to the bucket's smallest member only (star edges), and every link is
 confirmed on the full shingle sets. A star cannot see links between two other
 members: two more rounds put stars around other members of the buckets that
-still hold several components, and what remains apart after them is compared in
-fixed-size blocks of sketches, never as one group.
+still hold several components, and what remains apart after them is compared:
+buckets of two directly, larger ones in fixed-size blocks of sketches, never as
+one group.
 """
 
 from __future__ import annotations
@@ -137,7 +138,8 @@ def _floor(percent: int) -> float:
 def _blocks(percent: int):
     """Pairs of one block pair that lie in different components and may be similar by size and sketch.
 
-    A pair is given only in the first band it shares, so no pair comes twice. The
+    A pair is given only in the first band it shares, so no pair comes twice; where
+    that bucket holds just the two, it is compared without a block. The
     estimate is equal bins over bins filled on either side; where a set is
     smaller than the sketch, that is nearly its exact similarity.
     """
@@ -208,17 +210,24 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
 
     # Stars: the first around each bucket's smallest member, then around others, so that what a center
     # does not resemble can still meet its like. Each round merges components and so leaves fewer pairs.
-    links, comp = None, None
+    links, comp, tested = None, None, None
     for r in range(ROUNDS):
         cur = members.withColumn("component", F.col("rep")) if r == 0 else written(_with_components(members, comp), "seen")
         order = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-        found = written(_confirmed(sets, written(_star_pairs(cur, percent, order), "pairs"), percent), "links")
+        pairs = written(_star_pairs(cur, percent, order), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = written(_confirmed(sets, pairs, percent), "links")
         links = found if links is None else links.union(found)
         comp = written(components(links), "components")
 
-    # What still shares a bucket across components is compared in blocks of sketches. In a bucket of two
-    # the star has tested the only pair.
-    rest = written(_with_components(members.where("m > 2"), comp), "seen")
+    # What still shares a bucket across components is compared. A star tests one center for each member, so the
+    # pair of a bucket of two may be new; larger buckets go in blocks of sketches.
+    rest = written(_with_components(members, comp), "seen")
+    twos = rest.where("m = 2").groupBy("band", "key").agg(F.max("rep").alias("a"), F.min("rep").alias("b")).select(
+        "a", "b").distinct()
+    tested = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    twos = written(twos.join(tested, ["a", "b"], "left_anti"), "twos")
+    rest = rest.where("m > 2")
     rest = rest.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
     rows = rest.agg(F.sum("nb")).first()[0]
     rest = rest.join(sets.select(F.col("id").alias("rep"), "sketch"), "rep").withColumn("blk", F.pmod(F.hash("rep"), F.col("nb")))
@@ -228,7 +237,7 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     parts = parts_for(rows, 20_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     more = rest.groupBy(F.pmod(F.xxhash64("band", "key", "bi", "bj"), F.lit(parts)).alias("part")).applyInPandas(
         _blocks(percent), "a long, b long")
-    more = _confirmed(sets, written(more, "more-pairs"), percent)
+    more = _confirmed(sets, written(more.union(twos), "more-pairs"), percent)
     return components(links.union(more))
 
 

@@ -135,3 +135,18 @@ def test_keep_exact(spark):
     assert sorted((r.doc_id or -1, len(r.text or "")) for r in kept.collect()) == [
         (-1, 3), (1, 0), (4, 4), (6, 1), (7, 1), (8, 1), (9, 500_000), (10, 500_001)]
     assert exact_dedup.keep_exact(frame(spark, [])).collect() == []
+
+
+def test_small_families_near_the_similarity(spark):
+    """Pairs that share few bands: their bucket may hold just the two, while both met other centers more often."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(200):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(10):
+            words = list(base)
+            for at in rng.sample(range(120), rng.choice((3, 4))):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    assert near_of(frame(spark, rows), k=2) == brute_components(rows, 2)

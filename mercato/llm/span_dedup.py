@@ -1,7 +1,9 @@
 """Operator 3: substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after ., ! or ? with white space behind, after
-line ends, and every 16 words where a sentence is longer). From every sentence
+line ends, and where a sentence is longer than 16 words, after those of its words
+whose hash is the least among the next three on either side: equal text is cut
+alike wherever it begins). From every sentence
 the shortest run of consecutive sentences with at least two sentences and 20
 words is hashed forwards and backwards, so a repeated passage is covered up to
 both of its ends. Runs are joined over the whole corpus; of each repeated run
@@ -12,6 +14,7 @@ any other occurrence covers is removed.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,10 @@ from pyspark.sql import DataFrame
 
 from mercato.llm.exchange import ask_and_answer, blocked, bucket_edges, planes, steps, unplanes, unsteps
 
-#: Least sentences and least words of a run; longest sentence in words.
+#: Least sentences and least words of a run; longest sentence in words that is not cut.
 RUN_SENTENCES, RUN_WORDS, SENTENCE_WORDS = 2, 20, 16
+#: Words on either side that decide whether a longer sentence is cut after a word.
+NEAR = 3
 _END = re.compile(r"[.!?]+[ \t-\r]+|\n[ \t-\r]*")
 _WORD = re.compile(r"[^ \t-\r]+[ \t-\r]*")
 #: Odd multipliers of two running hashes and their inverses modulo 2^64.
@@ -29,18 +34,28 @@ _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 2**64)) for b in _BASES)
 
 
+def _cuts(words: list[str]) -> np.ndarray:
+    """After which words to cut a long sentence: read from the words around, not from their place in it."""
+    keys = [zlib.crc32(w.encode("utf-8", "surrogatepass").lower().strip()) for w in words]
+    h = np.full(len(words) + 2 * NEAR, 2**32, np.int64)
+    h[NEAR:-NEAR] = keys
+    least = np.lib.stride_tricks.sliding_window_view(h, 2 * NEAR + 1).min(axis=1)
+    return np.flatnonzero(h[NEAR:-NEAR] == least) + 1
+
+
 def sentences(text: str) -> list[str]:
     """Consecutive pieces that make up the whole text."""
     ends = [m.end() for m in _END.finditer(text)]
     out = []
     for i, j in zip([0, *ends], [*ends, len(text)], strict=True):
         piece = text[i:j]
-        if piece.count(" ") + piece.count("\t") >= SENTENCE_WORDS:
+        if len(piece.split()) > SENTENCE_WORDS:
             words = _WORD.findall(piece)
             if len(words) > SENTENCE_WORDS:
                 lead = piece[:len(piece) - sum(map(len, words))]
-                parts = ["".join(words[k:k + SENTENCE_WORDS]) for k in range(0, len(words), SENTENCE_WORDS)]
-                out += [lead + parts[0], *parts[1:]]
+                words[0] = lead + words[0]
+                cuts = [0, *_cuts(words).tolist(), len(words)]
+                out += [p for k, m in zip(cuts, cuts[1:], strict=False) if (p := "".join(words[k:m]))]
                 continue
         if piece:
             out.append(piece)

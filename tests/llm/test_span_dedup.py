@@ -78,3 +78,16 @@ def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "One."), (4, long), (None, copy), (5, copy), (5, copy), (None, copy), (6, "\n" + copy), (7, " . ")]
     assert found(frame(spark, rows)) == brute(rows)
     assert found(frame(spark, [])) == []
+
+
+def test_passages_planted_in_mid_sentence_go(spark):
+    """No sentence ends and every offset: read from the raw text, not from sentences()."""
+    rng = random.Random(11)
+    some = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    passage = some(60)
+    rows = [(i, " ".join(some(40 + i) + passage + some(50))) for i in range(32)]
+    left = [r[3].split() for r in sorted(found(frame(spark, rows)))]
+    assert left[0] == rows[0][1].split()
+    runs = {tuple(passage[k:k + 30]) for k in range(31)}
+    assert not [i for i, w in enumerate(left) if i and any(tuple(w[k:k + 30]) in runs for k in range(len(w)))]
+    assert all(len(w) >= 90 + i for i, w in enumerate(left))

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import exact_dedup, minhash, mixing, ngram_lm, pieces, pii, quotes, span_dedup, topk, toxicity
+from mercato.llm import (
+    exact_dedup,
+    merkle,
+    minhash,
+    mixing,
+    ngram_lm,
+    pieces,
+    pii,
+    quotes,
+    span_dedup,
+    token_counts,
+    topk,
+    toxicity,
+    whitening,
+)
 from mercato.llm.common import read
 
 
@@ -50,6 +64,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.lm_scores(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_minhash": op2_minhash,
@@ -61,9 +87,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_merkle": op11_merkle,
+    "op12_token_counts": op12_token_counts,
+    "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {
     "op1_topk": topk.TOP_K_SQL,
     "op9_exact_dedup": exact_dedup.EXACT_SQL,
     "op10_lm_scoring": ngram_lm.LM_SQL,
+    "op11_merkle": merkle.MERKLE_SQL,
 }

@@ -5,7 +5,8 @@ its sorted distinct keys (64-bit hashes) to the buckets, each a range of the has
 space, as one packed row for each bucket. A bucket merges what all blocks sent
 and answers each in the order it asked, so answers carry no keys. Keys are
 distinct before they are sent, so a key that a third of all rows hold reaches its
-bucket once from each block. Numbers of blocks and buckets grow with the input,
+bucket once from each block. A block may leave out buckets it has no key for; then
+there are never more rows than distinct keys in the blocks. Numbers of blocks and buckets grow with the input,
 which bounds what one task holds. The documents' shuffle is planned twice with
 one plan, so Spark reuses it.
 """

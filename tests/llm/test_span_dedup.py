@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from mercato.llm import exchange, span_dedup
@@ -91,3 +92,33 @@ def test_passages_planted_in_mid_sentence_go(spark):
     runs = {tuple(passage[k:k + 30]) for k in range(31)}
     assert not [i for i, w in enumerate(left) if i and any(tuple(w[k:k + 30]) in runs for k in range(len(w)))]
     assert all(len(w) >= 90 + i for i, w in enumerate(left))
+
+
+def test_packed_rows_are_no_more_than_runs(spark, monkeypatch):
+    """A thousand tiny blocks: a block sends no row to a bucket it has nothing for."""
+    sent = spark.sparkContext.accumulator(0)
+    asked = exchange.ask_and_answer
+
+    def counting(docs, buckets, ask, *rest):
+        def ask_counted(table):
+            out = ask(table)
+            sent.add(len(out[0]))
+            return out
+
+        return asked(docs, buckets, ask_counted, *rest)
+
+    monkeypatch.setattr(span_dedup, "ask_and_answer", counting)
+    monkeypatch.setattr(exchange.blocked, "__defaults__", (200,))
+    rows = [(i, f"Sentence {i} has words. " + "Another one has some more words in it for a run of twenty. " * 2) for i in range(1000)]
+    assert found(frame(spark, rows)) == brute(rows)
+    runs = sum(len(span_dedup.runs(span_dedup.Sentences([t.encode()]))[0]) for _, t in rows)
+    assert 0 < sent.value <= 2 * runs  # each block asks at most twice: once in each plan of the shuffle
+
+
+def test_sentences_over_many_texts_are_those_of_each():
+    texts = ["", " ", "a", "\n\n", "A b. C d!  \nE\n\n f?", " x y", "\n lead. z", "w " * 100, "é ü. " * 5, "...", ". . ."]
+    s = span_dedup.Sentences([t.encode() for t in texts])
+    for d, t in enumerate(texts):
+        own = span_dedup.sentences(t)
+        assert len(own) == s.of_doc[d + 1] - s.of_doc[d] + s.lead[d], t
+        assert s.kept(np.zeros(s.n, bool), d).decode() == t

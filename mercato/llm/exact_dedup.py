@@ -58,23 +58,21 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = content_
 def keep_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, one row per distinct text, with all columns of ``docs``.
 
-    The kept ids are distinct, so neither join nor window has a hot key. Of rows
-    repeated with a kept id the longest stays, then the smallest text. Documents
-    without an id are represented once per text, where no document with an id
-    has that text.
+    A document is an id with its text, so of several texts with one id each stays
+    or goes by its own group; a text that only documents without an id have is
+    represented by one of them. Of rows that agree in the kept id and in the text
+    without white space the longest stays, then the smallest row. The aggregate
+    is partial in each map task, so a hot text sends one row per task.
     """
-    groups = exact_groups(docs)
-    ids = groups.where("kept and keep_id is not null").select(F.col("keep_id").alias("__keep")).distinct()
+    keep = exact_groups(docs).select("keep_id", F.col("text_sha256").alias("__keep")).distinct()
     cols = docs.columns
-    named = docs.join(ids, docs["doc_id"] == F.col("__keep"), "left_semi")
-    rank = F.struct(-F.char_length(F.coalesce("text", F.lit(""))), *[F.col(f"`{c}`").cast("string") for c in cols])
-    named = named.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in cols]), rank).alias("__row"))
-    named = named.select("__row.*")
-    lone = groups.where("keep_id is null").select(F.col("text_sha256").alias("__keep")).distinct()
-    sha = F.sha2(squeezed(F.coalesce("text", F.lit(""))).cast("binary"), 256)
-    bare = docs.where("doc_id is null").withColumn("__sha", sha)
-    bare = bare.join(lone, F.col("__sha") == F.col("__keep"), "left_semi").dropDuplicates(["__sha"]).select(*cols)
-    return named.unionByName(bare)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumn("__sha", F.sha2(squeezed(text).cast("binary"), 256))
+    rows = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__sha") == F.col("__keep")),
+                     "left_semi")
+    rank = F.struct(-F.char_length(text), *[F.col(f"`{c}`").cast("string") for c in cols])
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in cols]), rank).alias("__row")
+    return rows.groupBy(F.col("doc_id").alias("__id"), "__sha").agg(best).select("__row.*")
 
 
 # Deleting white space with six plain replaces would read worse than this in DuckDB; the result is the same.

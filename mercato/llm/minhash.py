@@ -241,6 +241,34 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     return components(links.union(more))
 
 
+def own_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``__own``, one long for each distinct (doc_id, text), and whether that differs from doc_id anywhere.
+
+    It is the doc_id where one text alone has it. Ids that several texts share,
+    and null, get numbers beyond all ids, by their text (96 bits of hash beside
+    the id).
+    """
+    text = F.coalesce("text", F.lit(""))
+    named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(text), "__g": F.hash(text)})
+    each = F.struct("__h", "__g")
+    shared = named.groupBy("__id").agg(F.min(each).alias("lo"), F.max(each).alias("hi")).where(
+        "lo <> hi or __id is null").select(F.col("__id").alias("shared"))
+    shared = written(shared, "shared-ids")
+    if shared.isEmpty():
+        return named.withColumn("__own", F.col("__id")).drop("__id", "__h", "__g"), False
+    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    if high is None or high < 2**62:
+        number = F.lit((high or 0) + 1) + F.monotonically_increasing_id()
+    else:  # no room above
+        number = F.lit(min(low, 0) - 1) - F.monotonically_increasing_id()
+    odd = named.join(shared, F.col("__id").eqNullSafe(F.col("shared")), "left_semi").select("__id", "__h", "__g").distinct()
+    odd = written(odd.withColumn("number", number).toDF("i", "h", "g", "number"), "own-ids")
+    named = named.join(odd, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h")) & (F.col("__g") == F.col("g")),
+                       "left")
+    return named.withColumn("__own", F.coalesce("number", "__id")).drop(
+        "__id", "__h", "__g", "i", "h", "g", "number"), True
+
+
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -254,26 +282,47 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     up to the chance of 5e-8 that a similar pair shares none of 32 bands.
 
     Null or empty text and text without words: an empty set, linked with
-    nothing, component_id is its own id. A null doc_id cannot be named: such a
-    row keeps its set size, its component_id is the smallest id of its class of
-    equal sets (null when there is none) and it never is a representative for
-    similar sets. Rows repeated with one doc_id are documents of their own with
-    equal ids, so they share a component. Empty tables give no rows.
+    nothing, component_id is its own id. Rows that share a doc_id but not the
+    text are documents of their own, each linked by its own text; rows without an
+    id too, and their component_id is the smallest id that they reach (null where
+    none has one). Rows repeated with one doc_id and text share a component.
+    Empty tables give no rows.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, differ = own_ids(docs)
+    if not differ:
+        return _groups(docs, k, percent).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    names = written(docs.select(F.col("__own").alias("own"), F.col("doc_id").alias("named")).distinct(), "names")
+    found = written(_groups(docs.select(F.col("__own").alias("doc_id"), "text"), k, percent), "groups")
+    found = found.join(names, found["doc_id"] == names["own"])
+    least = found.groupBy(F.col("component_id").alias("c")).agg(F.min("named").alias("least"))
+    return found.join(least, F.col("component_id") == F.col("c")).select(
+        F.col("named").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"),
+        F.col("named").eqNullSafe(F.col("least")).alias("kept"))
+
+
+def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, of documents no two of which have one id and different texts."""
     sigs = written(map_texts(documents(docs), _signatures(k), "n long, set_hash binary, sig binary"), "signatures")
-    reps = sigs.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(
+    reps = sigs.where("n > 0").groupBy("set_hash").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = written(reps, "representatives")
     comp = near_links(docs, reps, k, percent)
     classes = reps.select("set_hash", "rep").join(comp, F.col("rep") == F.col("node"), "left").select(
         "set_hash", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left").select(
+    return sigs.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay (one of each group), with all columns of ``docs``; rows without an id stay."""
-    drop = near_groups(docs.where("doc_id is not null"), k, percent).where("not kept").select(
+    """The documents that stay (one of each group), with all columns of ``docs``.
+
+    A document is an id with its text: of several texts with one id each stays
+    or goes by its own group, and documents without an id take part (they stay
+    where no member of their group has one; of those, one text does). Documents
+    without words stay; rows repeated with one id and text share their fate.
+    """
+    own, _ = own_ids(docs)
+    drop = _groups(own.select(F.col("__own").alias("doc_id"), "text"), k, percent).where("doc_id <> component_id").select(
         F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti")
+    return own.join(drop, own["__own"] == F.col("__drop"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

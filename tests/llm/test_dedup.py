@@ -150,3 +150,40 @@ def test_small_families_near_the_similarity(spark):
             rows.append((len(rows), " ".join(words)))
     rng.shuffle(rows)
     assert near_of(frame(spark, rows), k=2) == brute_components(rows, 2)
+
+
+def test_texts_that_share_an_id_or_have_none_are_not_lost(spark):
+    """Each (id, text) is a document of its own, through both dedups."""
+    rng = random.Random(13)
+    text = lambda seed, edits=0: " ".join(
+        f"w{seed}x{i}" if i >= edits else f"e{rng.randrange(10**6)}" for i in range(150))
+    rows = [(3, text(1)), (7, text(1, 3)), (7, text(2)), (9, text(3)), (7, text(4)), (9, text(4, 2)), (None, text(5)),
+            (None, text(5, 2)), (None, text(6)), (None, text(3, 2)), (12, text(6, 3)), (12, text(7)), (7, text(2)), (1, ""), (1, None)]
+    # brute force over distinct (id, text), ids beyond all others for those that share or lack one
+    distinct = list(dict.fromkeys((i, t or "") for i, t in rows))
+    comp = brute_components(list(enumerate(t for _, t in distinct)), 2)
+    least = {}
+    for n, (i, _) in enumerate(distinct):
+        c = comp[n][1]
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    want = sorted(((i, comp[distinct.index((i, t or ""))][0], least[comp[distinct.index((i, t or ""))][1]]) for i, t in rows), key=str)
+    got = minhash.near_groups(frame(spark, rows), k=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+    kept = {(r.doc_id, r.text or "") for r in minhash.keep_near(frame(spark, rows), k=2).collect()}
+    groups = defaultdict(set)
+    for n, d in enumerate(distinct):
+        groups[comp[n][1]].add(d)
+    assert all(len(g & kept) == 1 for g in groups.values()) and kept <= set(distinct)
+
+    kept = [(r.doc_id, r.text or "") for r in exact_dedup.keep_exact(frame(spark, rows)).collect()]
+    assert len(kept) == len({t for _, t in distinct}) and {t for _, t in kept} == {t for _, t in distinct}
+    assert set(kept) <= set(distinct)
+
+
+def test_own_ids_at_the_ends_of_long(spark):
+    for big in (2**63 - 1, -2**63, 5):
+        rows = [(big, "a b c"), (big, "d e f"), (None, "g h"), (None, "g h"), (4, "x")]
+        got = minhash.own_ids(frame(spark, rows))[0].select("doc_id", "text", "__own").collect()
+        assert len({r["__own"] for r in got}) == 4 and {r["__own"] for r in got if r.doc_id == 4} == {4}

@@ -1,5 +1,5 @@
 """Key tests and key-based joins: existence (404/409 checks), login lookup,
-audience fan-out, session attribution."""
+audience fan-out, sessions."""
 
 from __future__ import annotations
 
@@ -48,9 +48,36 @@ def audience_cross(messages: DataFrame, users: DataFrame, salts: int = 16) -> Da
     return u.join(m, ["_aud", "_salt"], "inner").drop("_salt", "_aud")
 
 
-def active_sessions(logins: DataFrame, events: DataFrame, lifetime: str = "7 days",
-                    bucket: str = "1 hour") -> DataFrame:
-    """Attribute each event to the session covering it: the user's latest
+def active_sessions(logins: DataFrame, events: DataFrame, lifetime: str = "7 days", width: str = "1 day") -> DataFrame:
+    """Every (login, event) pair of a user where the login covers the event:
+    ``login_ts <= ts < login_ts + lifetime`` (a login covers itself). Columns
+    user_id, event_id, ts, login_id, login_ts.
+
+    A binned interval join: time is cut into bins of ``width``, a login is
+    listed under each bin it covers (lifetime / width + 1 of them, a fixed
+    number), an event under its own, and the join is an equi join on (user,
+    bin) with the exact test after it. A user with a third of all events is
+    spread over the bins those fall into; AQE splits a bin that is still
+    large. Every pair is found once, in the event's bin. Works on streams
+    too. Rows without a time or a user pair with nothing; the bins only deal
+    out the work (the result does not depend on ``width``)."""
+    life, step = _seconds(lifetime) * 1_000_000, _seconds(width) * 1_000_000
+
+    def at(us):
+        return F.floor(us / F.lit(step)).cast("long")
+
+    lg = logins.select(F.col("user_id").alias("_user"), F.col("id").alias("login_id"), F.col("ts").alias("login_ts"))
+    us = wall_micros("login_ts")
+    lg = lg.withColumn("_login_bin", F.explode(F.sequence(at(us), at(us + F.lit(life - 1)))))
+    ev = events.select("user_id", "event_id", "ts").withColumn("_bin", at(wall_micros("ts")))
+    covered = (F.col("ts") >= F.col("login_ts")) & (F.col("ts") < F.col("login_ts") + F.expr(f"INTERVAL {lifetime}"))
+    pairs = ev.join(lg, (F.col("user_id") == F.col("_user")) & (F.col("_bin") == F.col("_login_bin")) & covered)
+    return pairs.select("user_id", "event_id", "ts", "login_id", "login_ts")
+
+
+def latest_session(logins: DataFrame, events: DataFrame, lifetime: str = "7 days",
+                   bucket: str = "1 hour") -> DataFrame:
+    """Attribute each event to one session covering it: the user's latest
     login with ``login_ts <= ts < login_ts + lifetime`` (a login covers
     itself; ties go to the larger login id). Events with no covering login
     are dropped.

@@ -164,14 +164,24 @@ def q_audience_cross(d):
 
 
 @register("active_sessions", """
+SELECT e.user_id, e.event_id, e.ts, l.id AS login_id, l.ts AS login_ts
+FROM events e JOIN d_logins l ON l.user_id = e.user_id AND l.ts <= e.ts AND e.ts < l.ts + INTERVAL 7 DAY
+""")
+def q_active_sessions(d):
+    """Every login that covers an event of its user."""
+    return keys.active_sessions(d.logins, d.source("events"))
+
+
+@register("latest_session", """
 SELECT user_id, event_id, ts, login_id, login_ts FROM (
   SELECT e.user_id, e.event_id, e.ts, l.id AS login_id, l.ts AS login_ts,
          row_number() OVER (PARTITION BY e.event_id ORDER BY l.ts DESC, l.id DESC) AS rn
   FROM events e JOIN d_logins l ON l.user_id = e.user_id AND l.ts <= e.ts AND e.ts < l.ts + INTERVAL 7 DAY
 ) WHERE rn = 1
 """)
-def q_active_sessions(d):
-    return keys.active_sessions(d.logins, d.source("events"))
+def q_latest_session(d):
+    """Each event with the latest login that covers it."""
+    return keys.latest_session(d.logins, d.source("events"))
 
 
 @register("first_staff", """

@@ -51,13 +51,13 @@ def q_attempt_limiter(d):
 # its output table. Where the stream must equal a batch op on the same rows,
 # the batch op's oracle text is reused.
 
-def _events_input(d, name):
+def _events_input(d, name, **kw):
     from mercato.session import scratch_path
     from mercato.streaming.jobs import write_stream_input
 
     path = scratch_path(d.spark, name)
     ev = d.source("events").select("event_id", "user_id", "ts", "event_type")
-    return write_stream_input(ev, path, "ts", slices=4), ev.schema
+    return write_stream_input(ev, path, "ts", slices=4, **kw), ev.schema
 
 
 def _ntz(df, *cols):
@@ -78,13 +78,26 @@ def q_attempt_limiter_stream(d):
 
 @register("session_stream")
 def q_session_stream(d):
-    """Session attribution as a stream (state = latest login per user)."""
+    """Every login that covers an event, as a stream-stream join over four micro-batches of either stream."""
     from mercato.streaming.jobs import read_stream, run_available_now, session_stream
 
-    path, schema = _events_input(d, "sessions-in")
+    path, schema = _events_input(d, "sessions-in", files_per_slice=1)
+    logins = read_stream(d.spark, path, schema, files_per_trigger=1).where(F.col("event_type").isin("signup", "click"))
+    events = read_stream(d.spark, path, schema, files_per_trigger=1)
+    out = run_available_now(session_stream(logins.select(F.col("event_id").alias("id"), "user_id", "ts"), events), name="sessions")
+    return _ntz(d.spark.read.parquet(out).select("user_id", "event_id", "ts", "login_id", "login_ts"),
+                "ts", "login_ts")
+
+
+@register("latest_session_stream")
+def q_latest_session_stream(d):
+    """Session attribution as a stream (state = latest login per user)."""
+    from mercato.streaming.jobs import latest_session_stream, read_stream, run_available_now
+
+    path, schema = _events_input(d, "latest-in")
     ev = read_stream(d.spark, path, schema)
     logins = ev.where(F.col("event_type").isin("signup", "click")).select(F.col("event_id").alias("id"), "user_id", "ts")
-    out = run_available_now(session_stream(logins, ev.select("event_id", "user_id", "ts")), name="sessions")
+    out = run_available_now(latest_session_stream(logins, ev.select("event_id", "user_id", "ts")), name="latest")
     return _ntz(d.spark.read.parquet(out).select("user_id", "event_id", "ts", "login_id", "login_ts"),
                 "ts", "login_ts")
 
@@ -97,17 +110,18 @@ SELECT user_id, count(*) FILTER (WHERE NOT is_read) AS unread, count(*) AS n_lat
 ) GROUP BY user_id
 """)
 def q_unread_stream(d):
-    """Unread counts kept by a stream of notifications then reads; the last
-    emitted row per user equals the batch count after mark_read."""
+    """Unread counts kept by streams of notifications and reads over four
+    micro-batches, many reads ahead of their notification; the last emitted
+    row per user equals the batch count after mark_read."""
     from mercato.session import scratch_path
     from mercato.streaming.jobs import read_stream, run_available_now, unread_stream, write_stream_input
 
-    npath = write_stream_input(d.notifications, scratch_path(d.spark, "unread-n"), "created_at", slices=4)
+    npath = write_stream_input(d.notifications, scratch_path(d.spark, "unread-n"), "created_at", slices=4, files_per_slice=1)
     rpath = scratch_path(d.spark, "unread-r")
-    d.reads.write.parquet(rpath)
-    n = read_stream(d.spark, npath, d.notifications.schema)
-    r = read_stream(d.spark, rpath, d.reads.schema)
-    out = run_available_now(unread_stream(n, r, 30), mode="update", name="unread")
+    d.reads.repartition(4, "id").write.parquet(rpath)
+    n = read_stream(d.spark, npath, d.notifications.schema, files_per_trigger=1)
+    r = read_stream(d.spark, rpath, d.reads.schema, files_per_trigger=1)
+    out = run_available_now(unread_stream(n, r, 30, early="60 days"), mode="update", name="unread")
     res = d.spark.read.parquet(out)
     last = res.groupBy("user_id").agg(F.max_by(F.struct("unread", "n_latest"), F.col("batch")).alias("_l"))
     return last.select("user_id", F.col("_l.unread").alias("unread"), F.col("_l.n_latest").alias("n_latest"))
@@ -210,6 +224,7 @@ def _reuse_oracles():
 
     ORACLE["attempt_limiter_stream"] = ORACLE["attempt_limiter"]
     ORACLE["session_stream"] = ORACLE["active_sessions"]
+    ORACLE["latest_session_stream"] = ORACLE["latest_session"]
     ctes = []
     for name in ("order_ready", "deliverable_posted", "message_posted"):
         for c in q_notify.BRANCH_SQL[name][1]:

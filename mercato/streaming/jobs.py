@@ -16,10 +16,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from mercato.functions.columns import wall_micros
 from mercato.operators import notify
 from mercato.operators.feeds import first_staff
+from mercato.operators.keys import active_sessions
 from mercato.operators.limiter import _seconds
-from mercato.session import scratch_path
+from mercato.session import BASE_CONF, scratch_path
 from mercato.streaming import processors
-from mercato.streaming.processors import limiter_fold, request_status_fold, session_fold, unread_fold
+from mercato.streaming.processors import UnreadProcessor, limiter_fold, request_status_fold, session_fold
 
 # Ship the per-key folds by value: executors then need only pandas/numpy,
 # not this package on their Python path.
@@ -48,18 +49,31 @@ def attempt_limiter_stream(attempts: DataFrame, key: str, limit: int, refill, ts
         "tokens int, anchor long, anchor_id long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def unread_stream(notifications: DataFrame, reads: DataFrame, k: int = 30) -> DataFrame:
+def _rocksdb(spark: SparkSession) -> None:
+    """``transformWithState`` keeps its state variables in RocksDB only."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(key, None) or ""):
+        spark.conf.set(key, BASE_CONF[key])
+
+
+def unread_stream(notifications: DataFrame, reads: DataFrame, k: int = 30, early: str = "7 days",
+                  lateness: str = "7 days") -> DataFrame:
     """Unread count among each user's newest ``k``, refreshed per trigger
     (the page polls every 60 s: ``trigger(processingTime='60 seconds')``).
-    A read only touches the reader's own notifications (same key)."""
+    A read only touches the reader's own notifications (same key). A read may
+    come before its notification: it is kept for ``early`` (event time, as the
+    watermark of the notifications tells it) and counts when the notification
+    comes, in this batch or batches later. Notifications more than
+    ``lateness`` behind the newest are left out, as by any watermark."""
+    _rocksdb(notifications.sparkSession)
     n = notifications.select("user_id", F.lit("n").alias("kind"), "id",
                              F.col("created_at").cast("timestamp").alias("created_at"),
                              F.col("read_at").isNotNull().alias("is_read"))
     r = reads.select("user_id", F.lit("r").alias("kind"), "id",
                      F.lit(None).cast("timestamp").alias("created_at"), F.lit(True).alias("is_read"))
-    return n.unionByName(r).groupBy("user_id").applyInPandasWithState(
-        unread_fold(k), "user_id long, unread long, n_latest long", "items string", "update",
-        GroupStateTimeout.NoTimeout)
+    rows = n.unionByName(r).where(F.col("id").isNotNull()).withWatermark("created_at", lateness)
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        UnreadProcessor(k, _seconds(early) * 1000), "user_id long, unread long, n_latest long", "update", "EventTime")
 
 
 def request_status_stream(events: DataFrame) -> DataFrame:
@@ -76,7 +90,19 @@ def request_status_stream(events: DataFrame) -> DataFrame:
 
 
 def session_stream(logins: DataFrame, events: DataFrame, lifetime: str = "7 days",
-                   lateness: str = DEFAULT_LATENESS) -> DataFrame:
+                   lateness: str = DEFAULT_LATENESS, width: str = "1 day") -> DataFrame:
+    """Every (login, event) pair of a user where the login covers the event,
+    as a stream-stream interval join: ``active_sessions`` over two streams with
+    a watermark each. The bins deal out a hot user's state too. State is
+    bounded: a login is dropped once the watermark passes its end, an event
+    once no login that could cover it can still come."""
+    lg = logins.select("user_id", "id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
+    ev = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
+    return active_sessions(lg, ev, lifetime, width)
+
+
+def latest_session_stream(logins: DataFrame, events: DataFrame, lifetime: str = "7 days",
+                          lateness: str = DEFAULT_LATENESS) -> DataFrame:
     """Each event with the user's latest login covering it (login_ts <= ts <
     login_ts + lifetime). One merged stream keyed by user; state = latest
     login, so no login x event pairs are formed."""

@@ -1,8 +1,9 @@
 """Per-key stateful folds used by the Structured Streaming jobs.
 
-Each factory returns a function for ``applyInPandasWithState``: it gets one
-key's rows of one micro-batch (as pandas chunks) and its state, folds the
-rows in event order, and yields output rows. State per key is O(1) (or the
+Each factory returns a function for ``applyInPandasWithState`` (and each class
+is a processor for ``transformWithStateInPandas``): it gets one key's rows of
+one micro-batch (as pandas chunks) and its state, folds the rows in event order,
+and yields output rows. State per key is O(1) (or the
 k newest notifications), never the key's history; the rows of one key in
 one micro-batch are bounded by the trigger size (``maxFilesPerTrigger`` /
 ``maxBytesPerTrigger``). Event-time timeouts drop idle keys.
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def _concat(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -58,31 +60,72 @@ def limiter_fold(limit: int, refill_us: int):
     return fn
 
 
-def unread_fold(k: int):
-    """state (items json: [[created_us, id, read], ...] newest k); rows
-    (user_id, kind 'n'|'r', id, created_at, is_read) -> (user_id, unread, n_latest).
-    Within a batch, notifications apply before reads."""
+class UnreadProcessor(StatefulProcessor):
+    """Unread count among a user's newest ``k`` notifications.
 
-    def fn(key, pdfs, state):
-        df = _concat(pdfs)
+    Two state variables per user: ``newest``, the k newest (id, created, read),
+    and ``early``, the reads whose notification has not come yet (id, watermark
+    at its arrival in ms). A timer ``ttl_ms`` of event time later forgets those
+    still there. Rows: (user_id, kind 'n'|'r', id, created_at, is_read); out:
+    (user_id, unread, n_latest). A batch's rows are merged, ranked and marked as
+    whole columns, and each state variable is read and written once, in one piece."""
+
+    def __init__(self, k: int, ttl_ms: int):
+        self.k, self.ttl_ms = k, ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.newest = handle.getListState("newest", "id long, created long, is_read boolean")
+        self.early = handle.getListState("early", "id long, at long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names of the interface
+        df = _concat(rows)
         if df.empty:
             return
-        items = {int(i): [c, bool(r)] for c, i, r in (json.loads(state.get[0]) if state.exists else [])}
+        cols = ["id", "created", "is_read"]
+        held = pd.DataFrame(list(self.newest.get()), columns=cols)
         notes = df[df["kind"] == "n"]
-        for c, i, r in zip(_us(notes["created_at"]), notes["id"].to_numpy(), notes["is_read"].to_numpy()):
-            items[int(i)] = [int(c), bool(r)]
-        newest = sorted(items.items(), key=lambda kv: (kv[1][0], kv[0]), reverse=True)[:k]
-        items = dict(newest)
-        for i in df.loc[df["kind"] == "r", "id"].to_numpy():
-            if int(i) in items:
-                items[int(i)][1] = True
-        if not items:
-            return
-        state.update((json.dumps([[c, i, r] for i, (c, r) in items.items()]),))
-        unread = sum(1 for c, r in items.values() if not r)
-        yield pd.DataFrame({"user_id": [key[0]], "unread": [unread], "n_latest": [len(items)]})
+        created = np.where(notes["created_at"].isna(), np.iinfo("int64").max, _us(notes["created_at"]))  # no time: newest
+        fresh = pd.DataFrame({"id": notes["id"].astype("int64"), "created": created, "is_read": notes["is_read"].astype(bool)})
+        seen = pd.concat([held, fresh]).astype({"id": "int64", "created": "int64", "is_read": bool})
+        now = seen.groupby("id", as_index=False).agg({"created": "last", "is_read": "max"})
+        now = now.sort_values(["created", "id"], ascending=False).head(self.k)
+        reads = df.loc[df["kind"] == "r", "id"].astype("int64").drop_duplicates()
+        now["is_read"] |= now["id"].isin(reads)
+
+        early = pd.DataFrame(list(self.early.get()) if len(fresh) else [], columns=["id", "at"])
+        now["is_read"] |= now["id"].isin(early["id"])
+        left = early[~early["id"].isin(fresh["id"])]  # its notification is here: no longer early
+        ahead = reads[~reads.isin(seen["id"])]
+        at = max(0, timerValues.getCurrentWatermarkInMs())
+        new = [(int(i), at) for i in ahead]
+        if len(left) < len(early):
+            kept = [(int(i), int(t)) for i, t in left.itertuples(index=False)] + new
+            if kept:
+                self.early.put(kept)
+            else:
+                self.early.clear()
+        elif new:
+            self.early.appendList(new)
+        if new:
+            self.handle.registerTimer(at + self.ttl_ms)
+        if len(now):
+            self.newest.put([(int(i), int(c), bool(r)) for i, c, r in now[cols].itertuples(index=False)])
+            yield pd.DataFrame({"user_id": [key[0]], "unread": [int((~now["is_read"]).sum())], "n_latest": [len(now)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        early = [(i, at or now) for i, at in self.early.get()]  # of those that came before any watermark it starts now
+        left = [(i, at) for i, at in early if at + self.ttl_ms > now]
+        if left:
+            self.early.put(left)
+            self.handle.registerTimer(min(at for _, at in left) + self.ttl_ms)
+        else:
+            self.early.clear()
+        yield from ()
 
-    return fn
+    def close(self) -> None:
+        pass
 
 
 def request_status_fold():

@@ -167,7 +167,7 @@ def test_active_sessions_picks_latest_covering_login(spark):
     events = spark.createDataFrame([(10, 7, T + dt.timedelta(days=1)), (11, 7, T + dt.timedelta(days=9)),
                                     (12, 7, T + dt.timedelta(days=10, seconds=1)), (13, 8, T)],
                                    "event_id long, user_id long, ts timestamp_ntz")
-    got = {r.event_id: r.login_id for r in keys.active_sessions(logins, events).collect()}
+    got = {r.event_id: r.login_id for r in keys.latest_session(logins, events).collect()}
     assert got == {10: 1, 11: 2}
 
 

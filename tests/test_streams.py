@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from mercato.operators.keys import active_sessions
+from mercato.operators.keys import active_sessions, latest_session
 from mercato.operators.limiter import attempt_limiter
 from mercato.session import scratch_path
 from mercato.sources.binding import bind
-from mercato.streaming.jobs import (attempt_limiter_stream, read_stream, run_available_now, session_stream,
-                                    write_stream_input)
+from mercato.streaming.jobs import (attempt_limiter_stream, latest_session_stream, read_stream, run_available_now,
+                                    session_stream, write_stream_input)
 from tests.conftest import SF_SMALL
 
 
@@ -27,17 +27,17 @@ def test_limiter_stream_equals_batch_over_several_batches(spark):
     assert got == want
 
 
-def test_session_stream_equals_batch(spark):
+def test_latest_session_stream_equals_batch(spark):
     ev = _events(spark)
     path = write_stream_input(ev.withColumn("is_login", F.col("event_id") % 4 == 0), scratch_path(spark, "t-ses"),
                               "ts", slices=3, files_per_slice=1)
     s = read_stream(spark, path, ev.schema.add("is_login", "boolean"), files_per_trigger=1)
     logins = s.where("is_login").select(F.col("event_id").alias("id"), "user_id", "ts")
-    out = run_available_now(session_stream(logins, s.select("event_id", "user_id", "ts"), lateness="365 days"),
+    out = run_available_now(latest_session_stream(logins, s.select("event_id", "user_id", "ts"), lateness="365 days"),
                             name="t-ses")
     got = {(r.event_id, r.login_id) for r in spark.read.parquet(out).collect()}
     lg = ev.where(F.col("event_id") % 4 == 0).select(F.col("event_id").alias("id"), "user_id", "ts")
-    want = {(r.event_id, r.login_id) for r in active_sessions(lg, ev).collect()}
+    want = {(r.event_id, r.login_id) for r in latest_session(lg, ev).collect()}
     assert got == want
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.operators import changes, guards, integrity, notify, requests
+from mercato.functions.columns import ntz
 from mercato.operators.orders import apply_payments
 from mercato.plans.q_changes import (_ACCEPT_FINAL, _ACCEPT_OUT, _DECLINE_OUT, _DLV_OUT, _MSG_OUT, _PAID, _PAY_OUT,
                                      _QUOTE_OUT, accepted_quotes)
@@ -150,6 +151,35 @@ def branch_frames(d) -> dict:
     return {name: build(d) for name, build in BRANCHES.items()}
 
 
+def change_frame(d):
+    """The changes behind the feed in one frame (``notify.CHANGES``), after their guards."""
+    accepted = changes.submit_quotes(d.quote_posts, d.service_requests, d.users).where(F.col("outcome") == "accepted")
+    upserted = requests.upsert_quotes(d.quotes, accepted.select(
+        F.col("seq").alias("id"), F.col("request_id").alias("service_request_id"), "amount_cents", "notes",
+        F.col("ts").alias("submitted_at"))).select(F.col("service_request_id").alias("_r"), F.col("id").alias("quote_id"))
+    acc = accepted_quotes(d).where(F.col("outcome") == "accept")
+    declines = d.quote_answers.where(F.col("action") == "decline").select("seq", "quote_id", "caller_id", "ts")
+    declined = changes.decline_quotes(declines, d.quotes, d.service_requests)[1].where(F.col("outcome") == "declined")
+    messages = changes.post_messages(d.message_posts, d.service_requests, d.users)[1].where(F.col("outcome") == "created")
+    posted = changes.post_deliverables(d.deliverable_posts, d.service_requests, d.users)[1].where(F.col("outcome") == "created")
+    row = notify.change_rows
+    frames = [
+        row("order_ready", _paid(d), seq="order_id", owner_id="owner_id", order_type="order_type", ts="paid_at"),
+        row("quote_ready", accepted.join(upserted, accepted["request_id"] == upserted["_r"], "left"), seq="seq",
+            request_id="request_id", quote_id="quote_id", ts="ts"),
+        row("quote_accepted", acc, seq="seq", request_id="service_request_id", caller_id="caller_id",
+            order_id=changes.new_id("quote-order", "seq"), ts="ts"),
+        row("quote_declined", declined, seq="seq", request_id="service_request_id", caller_id="caller_id",
+            quote_id="quote_id", ts="ts"),
+        row("message_posted", messages, seq="seq", request_id="request_id", caller_id="sender_id", ts="ts"),
+        row("deliverable_posted", posted, seq="seq", request_id="request_id", deliverable_id="deliverable_id", ts="ts"),
+        row("broadcast", d.broadcasts, seq="seq", title="title", body="body", role="role", ts=ntz(NOW))]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _register_branch(name: str):
     sql, ctes = BRANCH_SQL[name]
 

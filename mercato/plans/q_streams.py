@@ -192,46 +192,36 @@ def q_request_status_stream(d):
 
 @register("notification_stream")
 def q_notification_stream(d):
-    """order_ready, deliverable_posted and message_posted notifications
-    produced by a stream (replayed input deduplicated within the watermark)."""
-    from mercato.operators import changes as ch, guards
-    from mercato.operators.orders import apply_payments
+    """All seven notification branches from one stream of changes in time order, over four micro-batches."""
+    from mercato.plans.q_notify import change_frame
     from mercato.session import scratch_path
-    from mercato.streaming.jobs import notification_stream, read_stream, run_available_now, write_stream_input
+    from mercato.streaming.jobs import read_stream, write_stream_input
+    from mercato.streaming.notifications import NotificationSink, notification_stream
 
-    _, paid = apply_payments(guards.payable_orders(d.payments, d.orders, d.users), d.orders)
-    _, dvo = ch.post_deliverables(d.deliverable_posts, d.service_requests, d.users)
-    dv = dvo.where(F.col("outcome") == "created").select("seq", "request_id", "deliverable_id", "ts")
-    _, mo = ch.post_messages(d.message_posts, d.service_requests, d.users)
-    mv = mo.where(F.col("outcome") == "created").select("seq", "request_id", "sender_id", "ts")
-    ppath = write_stream_input(paid, scratch_path(d.spark, "paid-in"), "paid_at", slices=2)
-    dpath = write_stream_input(dv, scratch_path(d.spark, "dlv-in"), "ts", slices=2)
-    mpath = write_stream_input(mv, scratch_path(d.spark, "msg-in"), "ts", slices=2)
-    s = notification_stream(read_stream(d.spark, ppath, paid.schema), read_stream(d.spark, dpath, dv.schema),
-                            d.service_requests, read_stream(d.spark, mpath, mv.schema), d.users,
-                            lateness="36500 days")
-    out = run_available_now(s, name="notify")
-    from mercato.operators.notify import NOTIFY_COLS
+    once = scratch_path(d.spark, "changes")
+    change_frame(d).write.parquet(once)
+    rows = d.spark.read.parquet(once)
+    path = write_stream_input(rows, scratch_path(d.spark, "changes-in"), "ts", slices=4, files_per_slice=1)
+    root = scratch_path(d.spark, "notify-out")
 
-    return _ntz(d.spark.read.parquet(out).select(*NOTIFY_COLS), "created_at", "read_at")
+    def tables():
+        return {"users": d.users, "service_requests": d.service_requests, "services": d.services}
+
+    q = notification_stream(read_stream(d.spark, path, rows.schema, files_per_trigger=1), root, tables,
+                            trigger={"availableNow": True})
+    q.awaitTermination()
+    return NotificationSink(d.spark, root, tables).read("notifications")
 
 
 def _reuse_oracles():
     """A stream that must equal its batch op is checked with the batch oracle."""
     from mercato.plans import q_joins, q_notify  # noqa: F401  (registers the batch texts first)
     from mercato.plans.registry import ORACLE
-    from mercato.sources.binding import with_binding
 
     ORACLE["attempt_limiter_stream"] = ORACLE["attempt_limiter"]
     ORACLE["session_stream"] = ORACLE["active_sessions"]
     ORACLE["latest_session_stream"] = ORACLE["latest_session"]
-    ctes = []
-    for name in ("order_ready", "deliverable_posted", "message_posted"):
-        for c in q_notify.BRANCH_SQL[name][1]:
-            if c not in ctes:
-                ctes.append(c)
-    body = "\nUNION ALL\n".join(f"({q_notify.BRANCH_SQL[n][0].strip()})" for n in ("order_ready", "deliverable_posted", "message_posted"))
-    ORACLE["notification_stream"] = with_binding(body, *ctes)
+    ORACLE["notification_stream"] = ORACLE["notification_feed"]
 
 
 _reuse_oracles()

@@ -1,5 +1,5 @@
-"""Structured Streaming jobs: the limiter, unread counts, request status,
-the notification stream and session attribution as unbounded queries.
+"""Structured Streaming jobs: the limiter, unread counts, request status and
+sessions as unbounded queries (notifications: ``streaming.notifications``).
 
 Each ``*_stream`` function maps a streaming DataFrame to a streaming
 DataFrame; ``run_available_now`` drives one to completion into a parquet
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from mercato.functions.columns import wall_micros
-from mercato.operators import notify
-from mercato.operators.feeds import first_staff
 from mercato.operators.keys import active_sessions
 from mercato.operators.limiter import _seconds
 from mercato.session import BASE_CONF, scratch_path
@@ -117,32 +115,6 @@ def latest_session_stream(logins: DataFrame, events: DataFrame, lifetime: str =
         "login long, login_id long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def notification_stream(paid: DataFrame, deliverables: DataFrame, requests: DataFrame,
-                        messages: DataFrame | None = None, users: DataFrame | None = None,
-                        lateness: str = DEFAULT_LATENESS) -> DataFrame:
-    """Notification rows as changes arrive: paid digital orders -> owner;
-    posted deliverables -> request owner; posted messages -> the oldest
-    staff user when the owner wrote, else the owner. Owners come from a
-    stream-static join with the requests table; the oldest staff id is one
-    bounded row looked up once when the stream starts. Duplicate ids
-    (replayed input) are dropped within the watermark, so a replay inserts
-    nothing twice."""
-    r = requests.select(F.col("id").alias("_rid"), F.col("user_id").alias("owner_id"))
-    d = deliverables.join(r, deliverables["request_id"] == r["_rid"], "inner")
-    out = notify.order_ready(paid).unionByName(notify.deliverable_posted(d.select(
-        "seq", "request_id", "owner_id", "deliverable_id", "ts")))
-    if messages is not None:
-        staff = first_staff(users).select("id").first()
-        staff_id = F.lit(staff[0] if staff else None).cast("long")
-        m = messages.join(r, messages["request_id"] == r["_rid"], "inner")
-        to = F.when(F.col("sender_id") == F.col("owner_id"), staff_id).otherwise(F.col("owner_id"))
-        m = m.withColumn("_to", to).where(F.col("_to").isNotNull())
-        out = out.unionByName(notify._rows(m, "message_posted", F.col("seq"), F.col("_to"), *notify.MESSAGE_POSTED,
-                                           F.struct(F.col("request_id").alias("requestId")), F.col("ts")))
-    return (out.withColumn("created_at", F.col("created_at").cast("timestamp"))
-            .withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["id"]))
-
-
 def start_stream(stream: DataFrame, out_path: str, mode: str = "append", trigger: str = "60 seconds",
                  name: str = "stream", checkpoint: str | None = None):
     """Start ``stream`` for production: a processing-time trigger (the

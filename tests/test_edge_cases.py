@@ -185,3 +185,25 @@ def test_visibility_never_pairs_all_scope_viewers(spark, rule):
     else:
         assert (2, 100) in pairs and (3, 101) in pairs
         assert {r.row_id for r in out if r.viewer_id is None} == {100, 101, 102}
+
+
+def test_active_sessions_are_all_covering_logins(spark):
+    import datetime as dt
+    import random
+
+    from mercato.operators import keys
+
+    rng = random.Random(2)
+    T = dt.datetime(2024, 3, 30)
+    some = lambda n: [(i, rng.choice([1, 1, 1, 2, 3, None]),
+                       rng.choice([None] + [T + dt.timedelta(minutes=rng.randrange(30_000)) for _ in range(12)])) for i in range(n)]
+    logins, events = some(60), some(200)
+    logins += [(90, 1, T), (90, 1, T)]
+    events += [(300, 1, T), (301, 1, T + dt.timedelta(days=7)), (302, 1, T + dt.timedelta(days=7) - dt.timedelta(microseconds=1))]
+    lg = spark.createDataFrame(logins, "id long, user_id long, ts timestamp_ntz")
+    ev = spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz")
+    want = sorted((e, i) for e, u, t in events for i, v, s in logins
+                  if u is not None and u == v and t and s and s <= t < s + dt.timedelta(days=7))
+    for width in ("1 day", "7 hours", "30 days"):
+        got = sorted((r.event_id, r.login_id) for r in keys.active_sessions(lg, ev, width=width).collect())
+        assert got == want

@@ -110,3 +110,49 @@ def test_start_stream_with_processing_time_trigger(spark):
     finally:
         q.stop()
     assert spark.read.parquet(out).count() == ev.count()
+
+
+def _unread(spark, batches, k=3, **kw):
+    """Last (unread, n_latest) of user 7; each batch is (notification ids or (id, hour), read ids)."""
+    import datetime as dt
+
+    from mercato.streaming.jobs import unread_stream
+
+    T = dt.datetime(2024, 1, 1)
+    npath, rpath = scratch_path(spark, "t-un"), scratch_path(spark, "t-ur")
+    ns, rs = "id long, user_id long, created_at timestamp_ntz, read_at timestamp_ntz", "id long, user_id long"
+    for notes, reads in batches:
+        notes = [n if isinstance(n, tuple) else (n, n) for n in notes]
+        spark.createDataFrame([(i, 7, T + dt.timedelta(hours=h), None) for i, h in notes], ns).coalesce(1).write.mode("append").parquet(npath)
+        spark.createDataFrame([(i, 7) for i in reads], rs).coalesce(1).write.mode("append").parquet(rpath)
+    s = unread_stream(read_stream(spark, npath, spark.createDataFrame([], ns).schema, 1),
+                      read_stream(spark, rpath, spark.createDataFrame([], rs).schema, 1), k=k, **kw)
+    res = spark.read.parquet(run_available_now(s, mode="update", name="t-un"))
+    last = res.groupBy("user_id").agg(F.max_by(F.struct("unread", "n_latest"), F.col("batch")).alias("s")).first().s
+    return last.unread, last.n_latest
+
+
+def test_unread_stream_counts_reads_that_come_batches_early(spark):
+    # 5 and 6 are read two batches and one batch before they come; 9 never comes
+    assert _unread(spark, [([1, 2], [5, 9]), ([3], [6]), ([4], []), ([5, 6], [4])]) == (0, 3)
+    # the same notification again keeps its mark; a read of one that left the newest changes nothing
+    assert _unread(spark, [([1, 2, 3], [2]), ([2, 4], [1]), ([5], [])]) == (3, 3)
+
+
+def test_unread_stream_forgets_early_reads_in_time(spark):
+    late = [([1], [50]), ([(2, 30)], []), ([(3, 200)], []), ([(4, 300)], []), ([(50, 400)], [])]
+    assert _unread(spark, late, early="2 days", lateness="1 hour") == (3, 3)
+    assert _unread(spark, late, early="60 days", lateness="1 hour") == (2, 3)
+
+
+def test_session_stream_equals_the_interval_join(spark):
+    """Two watermarks of an hour, five micro-batches, one user with a third of all events."""
+    ev = _events(spark).withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id")))
+    path = write_stream_input(ev, scratch_path(spark, "t-pairs"), "ts", slices=5, files_per_slice=1)
+    logins = read_stream(spark, path, ev.schema, files_per_trigger=1).where(F.col("event_id") % 4 == 0)
+    s = session_stream(logins.select(F.col("event_id").alias("id"), "user_id", "ts"),
+                       read_stream(spark, path, ev.schema, files_per_trigger=1), lateness="1 hour")
+    got = sorted(tuple(r) for r in spark.read.parquet(run_available_now(s, name="t-pairs")).select("event_id", "login_id").collect())
+    lg = ev.where(F.col("event_id") % 4 == 0).select(F.col("event_id").alias("id"), "user_id", "ts")
+    want = sorted(tuple(r) for r in active_sessions(lg, ev).select("event_id", "login_id").collect())
+    assert got == want and len(want) > ev.count()

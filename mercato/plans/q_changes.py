@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.columns import ntz
 from mercato.functions.rules import EMAIL_RE, URL_RE, validate_rows, issues
+from mercato.operators import quote_events as quote_ops
 from mercato.operators import changes, guards
 from mercato.plans.registry import register
 
@@ -344,6 +345,77 @@ def q_order_from_quote(d):
             .drop("_o"))
 
 
+#: Submissions that pass their guard, accepts and declines as the events of one batch. An answer's quote has its request's id.
+_QUOTE_EVENTS = ("qev", """
+SELECT 3 * seq AS seq, request_id, 'quote' AS kind, actor_id AS caller_id, amount_cents, notes, ts FROM qo WHERE outcome = 'accepted'
+UNION ALL
+SELECT 3 * seq + 1, quote_id, action, caller_id, NULL, NULL, ts FROM d_quote_answers
+UNION ALL
+SELECT 3 * e.event_id + 2, e.event_id % (SELECT count(DISTINCT conv_id) FROM conversations), CASE WHEN e.event_id % 2 = 0 THEN 'accept' ELSE 'decline' END,
+       e.event_id % (SELECT count(DISTINCT conv_id) FROM conversations) + 2, NULL, NULL, e.ts FROM events e WHERE e.event_type = 'click'
+""")
+_QUOTE_STEPS = """
+WITH RECURSIVE e AS (
+  SELECT v.*, r.id IS NOT NULL AS found, coalesce(v.caller_id = r.user_id, false) AS mine,
+         row_number() OVER (PARTITION BY v.request_id ORDER BY v.ts NULLS FIRST, v.seq) AS rn
+  FROM qev v LEFT JOIN d_service_requests r ON r.id = v.request_id),
+steps AS (
+  SELECT x.request_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, q.status,
+         q.amount_cents, q.amount_cents AS stood, q.notes, q.id, q.created_at
+  FROM (SELECT DISTINCT request_id FROM qev) x LEFT JOIN d_quotes q ON q.service_request_id = x.request_id
+  UNION ALL
+  SELECT e.request_id, e.rn, e.seq,
+         CASE WHEN NOT e.found THEN 'not_found' WHEN e.kind = 'quote' THEN 'quoted' WHEN s.status IS NULL THEN 'not_found'
+              WHEN NOT e.mine THEN 'forbidden' WHEN e.kind = 'accept' AND s.status NOT IN ('draft', 'sent') THEN 'bad_state'
+              WHEN e.kind = 'accept' THEN 'accepted' ELSE 'declined' END,
+         CASE WHEN NOT e.found THEN s.status WHEN e.kind = 'quote' THEN 'sent' WHEN s.status IS NULL OR NOT e.mine THEN s.status
+              WHEN e.kind = 'accept' THEN CASE WHEN s.status IN ('draft', 'sent') THEN 'accepted' ELSE s.status END ELSE 'declined' END,
+         CASE WHEN e.found AND e.kind = 'quote' THEN e.amount_cents ELSE s.amount_cents END,
+         CASE WHEN e.kind = 'quote' THEN e.amount_cents WHEN s.status IS NOT NULL THEN s.amount_cents END,
+         CASE WHEN e.found AND e.kind = 'quote' THEN e.notes ELSE s.notes END,
+         coalesce(s.id, CASE WHEN e.found AND e.kind = 'quote' THEN e.seq END),
+         coalesce(s.created_at, CASE WHEN e.found AND e.kind = 'quote' THEN e.ts END)
+  FROM steps s JOIN e ON e.request_id = s.request_id AND e.rn = s.rn + 1)
+"""
+
+
+def quote_events(d):
+    """The batch's events: submissions that pass their guard, the answers, and more answers by the owners."""
+    n = d.service_requests.select(F.col("id").alias("request_id")).agg(F.count(F.lit(1)).alias("n")).scalar()
+    sent = changes.submit_quotes(d.quote_posts, d.service_requests, d.users).where(F.col("outcome") == "accepted")
+    sent = sent.select((3 * F.col("seq")).alias("seq"), "request_id", F.lit("quote").alias("kind"),
+                       F.col("actor_id").alias("caller_id"), "amount_cents", "notes", "ts")
+    blank = [F.lit(None).cast("int").alias("amount_cents"), F.lit(None).cast("string").alias("notes"), "ts"]
+    answers = d.quote_answers.select((3 * F.col("seq") + 1).alias("seq"), F.col("quote_id").alias("request_id"),
+                                     F.col("action").alias("kind"), "caller_id", *blank)
+    clicks = d.source("events").where(F.col("event_type") == "click")
+    owners = clicks.select((3 * F.col("event_id") + 2).alias("seq"), (F.col("event_id") % n).alias("request_id"),
+                           F.when(F.col("event_id") % 2 == 0, "accept").otherwise("decline").alias("kind"),
+                           (F.col("event_id") % n + 2).alias("caller_id"), *blank)
+    return sent.unionByName(answers).unionByName(owners)
+
+
+@register("accept_quotes", _QUOTE_STEPS + """
+SELECT s.seq, e.request_id, e.kind, e.caller_id, e.ts, s.outcome, s.stood AS amount_cents
+FROM steps s JOIN e ON e.request_id = s.request_id AND e.rn = s.rn
+""", _QUOTE_OUT, _QUOTE_EVENTS)
+def q_accept_quotes(d):
+    """What became of each submission, accept and decline of a batch, each in its turn."""
+    return quote_ops.apply_quote_events(d.quotes, quote_events(d), d.service_requests)[1]
+
+
+@register("answered_quotes", _QUOTE_STEPS + """
+SELECT id, request_id AS service_request_id, amount_cents, notes, status, created_at FROM steps
+WHERE status IS NOT NULL QUALIFY rn = max(rn) OVER (PARTITION BY request_id)
+UNION ALL
+SELECT id, service_request_id, amount_cents, notes, status, created_at FROM d_quotes
+WHERE service_request_id NOT IN (SELECT request_id FROM qev)
+""", _QUOTE_OUT, _QUOTE_EVENTS)
+def q_answered_quotes(d):
+    """The quotes after the batch."""
+    return quote_ops.apply_quote_events(d.quotes, quote_events(d), d.service_requests)[0]
+
+
 def accepted_quotes(d):
     """Quote accepts that pass the guard; of several accepts of one quote in a
     batch only the first (by seq) succeeds, later ones find it accepted."""

@@ -47,7 +47,8 @@ def test_limiter_has_no_per_key_collect(spark):
 
 #: Entries that write (sinks, streams and their inputs), or run rounds of joins, while they are built.
 EAGER = {"write_snapshot", "read_changes", "attempt_limiter", "attempt_limiter_stream", "unread_stream",
-         "request_status_stream", "notification_stream", "session_stream", "latest_session_stream", "delete_cascade", "pipeline"}
+         "request_status_stream", "notification_stream", "session_stream", "latest_session_stream", "delete_cascade", "pipeline",
+         "accept_quotes", "answered_quotes"}
 
 
 def test_building_a_query_starts_no_job(spark):

@@ -1,35 +1,61 @@
 """LM scoring against a plain count of every n-gram, and probabilities that sum to one."""
 
+import functools
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from mercato.llm import exchange, ngram_lm
 
 SCHEMA = "doc_id long, text string, block string, score string"
 
 
-def brute(rows, k=ngram_lm.PRIOR):
-    def toks(t):
-        return [w.decode() for w in (t or "").encode().lower().split()] + [" "]
+def toks(t):
+    return [w.decode() for w in (t or "").encode().lower().split()] + [" "]
 
-    fold = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 for i, _ in rows}
+
+def model(texts):
+    """p(word), and weight(state, word) by discounting and backing off, from plain counts."""
     uni, bi = Counter(), Counter()
-    for i, t in rows:
-        if fold[i] != 1:
-            w = toks(t)
-            uni.update(w)
-            bi.update(zip([" ", *w], w, strict=False))
-    n, v = sum(uni.values()), len(uni)
+    for t in texts:
+        w = toks(t)
+        uni.update(w)
+        bi.update(zip([" ", *w], w, strict=False))
+    z = sum(uni.values()) + 0.5 * (len(uni) + 1)
+    after = defaultdict(list)
+    for h, w in bi:
+        after[h].append(w)
+
+    def p(w):
+        return (uni[w] + 0.5) / z
+
+    @functools.cache
+    def backoff(h):
+        if not uni[h]:
+            return 1.0
+        left = ngram_lm.DISCOUNT * len(after[h]) / uni[h]
+        return left / (1 - sum(map(p, after[h])))
+
+    def weight(h, w):
+        return (bi[h, w] - ngram_lm.DISCOUNT) / uni[h] if bi[h, w] else backoff(h) * p(w)
+
+    return uni, p, weight
+
+
+def brute(rows):
+    fold = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 for i, _ in rows}
+    uni, p, weight = model([t for i, t in rows if fold[i] != 1])
     out = []
     for i, t in rows:
         w = toks(t)
-        p = [(uni[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        s = [(bi[h, x] + k * q) / (uni[h] + k) for h, x, q in zip([" ", *w], w, p, strict=False)]
-        out.append((i, fold[i] == 1, len(w), sum(x in uni for x in w), n, sum(map(math.log10, p)), sum(map(math.log10, s))))
+        s = [weight(h, x) for h, x in zip([" ", *w], w, strict=False)]
+        out.append((i, fold[i] == 1, len(w), sum(x in uni for x in w), sum(uni.values()),
+                    sum(math.log10(p(x)) for x in w), sum(map(math.log10, s))))
     return sorted(out, key=str)
 
 
@@ -59,19 +85,63 @@ def test_edge_cases(spark):
 
 def test_every_arc_and_failure_arc_of_one_state(spark):
     """Every known word and one unknown word after the same word; the weights of a state sum to one."""
-    train = [(i, t) for i, t in enumerate(["a b c a b", "b c c", "a c b a"] * 3) if zlib.crc32(str(i).encode()) % 5 != 1]
+    train = [(i, t) for i, t in enumerate(["a b c a b", "b c c", "a c b a", "d"] * 3)
+             if zlib.crc32(str(i).encode()) % 5 != 1]
     vocab = sorted({w for _, t in train for w in t.split()})
     held = [i for i in range(10_000, 10_200) if zlib.crc32(str(i).encode()) % 5 == 1]
-    probes = dict(zip(held, ["a", *[f"a {w}" for w in [*vocab, "zzz"]]], strict=False))
+    ends = [*vocab, "zzz"]
+    probes = dict(zip(held, ["a", *[f"a {w}" for w in ends]], strict=False))
     docs = spark.createDataFrame([(i, t, "", "") for i, t in [*train, *probes.items()]], SCHEMA)
     got = {r.doc_id: r.score for r in ngram_lm.lm_scores(docs).collect()}
-    want = brute([*train, *probes.items()])
-    assert {w[0]: w[6] for w in want} == pytest.approx(got, abs=2e-6)
-    c = Counter(x for _, t in train for x in [*t.split(), " "])
-    p = [(c[w] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1)) for w in [*c, "zzz"]]
-    after = Counter(b for _, t in train for a, b in zip(t.split(), [*t.split()[1:], " "], strict=True) if a == "a")
-    arcs = [(after[w] + ngram_lm.PRIOR * q) / (c["a"] + ngram_lm.PRIOR) for w, q in zip([*c, "zzz"], p, strict=True)]
-    assert sum(p) == pytest.approx(1) and sum(arcs) == pytest.approx(1)
+    want = {w[0]: w[6] for w in brute([*train, *probes.items()])}
+    assert got == pytest.approx(want, abs=2e-6)
+    uni, p, weight = model([t for _, t in train])
+    assert sum(p(w) for w in [*uni, "zzz"]) == pytest.approx(1)
+    for state in [*vocab, " "]:
+        assert sum(weight(state, w) for w in [*uni, "zzz"]) == pytest.approx(1)
+    # the arcs out of "a" as the operator walks them: score("a w") less that of "a" up to its end and of "w" to its end
+    to_a, arcs = weight(" ", "a"), {}
+    assert 10 ** got[held[0]] == pytest.approx(to_a * weight("a", " "), rel=1e-5)
+    for i, w in zip(held[1:], ends, strict=False):
+        arcs[w] = 10 ** got[i] / to_a / weight(w, " ")
+    assert sum(arcs.values()) + weight("a", " ") == pytest.approx(1, rel=1e-5)
+
+
+def test_backing_off_is_not_interpolating(spark):
+    """A seen bigram does not get the root's share too, and an unseen one gets more than interpolation gives."""
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:6]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [*[(i, t) for i, t in zip(train, ["a b", "a b", "a b", "a b", "c d", "c d"], strict=True)],
+            (held[0], "a b"), (held[1], "a d")]
+    got = {r.doc_id: r.score for r in ngram_lm.lm_scores(
+        spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()}
+    d = ngram_lm.DISCOUNT
+    uni, p, weight = model([t for i, t in rows if i in train])
+    assert weight("a", "b") == (4 - d) / 4
+    assert 10 ** got[held[0]] == pytest.approx(weight(" ", "a") * (4 - d) / 4 * weight("b", " "), rel=1e-5)
+    left = d * 1 / 4
+    assert 10 ** got[held[1]] == pytest.approx(weight(" ", "a") * left / (1 - p("b")) * p("d") * weight("d", " "), rel=1e-5)
+    assert left / (1 - p("b")) * p("d") > 1.2 * left * p("d")
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    row = ngram_lm.lm_scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert row[0] / row[2] > row[1] / row[2] + 0.1
+
+
+def test_no_row_for_an_empty_bucket(spark):
+    """1000 buckets, few words: rows sent never exceed distinct keys, and totals cover all buckets."""
+    table = pa.table({"doc_id": [1, 2], "text": ["a b a", "b"]})
+    sent = ngram_lm._ask(1000)([pa.scalar(0)], table)
+    assert sent.num_rows <= 3 + 6  # words and bigrams
+    assert sum(len(exchange.unsteps(b.as_py())) for b in sent.column("words")) == 3
+
+
+def test_no_training_text_at_all(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    docs = spark.createDataFrame([(held[0], "a b", "", ""), (held[1], None, "", "")], SCHEMA)
+    assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.lm_scores(docs).collect()] == [(0, 0, 0, 0)] * 2
 
 
 def test_packing():

@@ -125,6 +125,22 @@ def append_with_defaults(rows: DataFrame, kind: str, now) -> DataFrame:
     raise ValueError(f"unknown kind {kind!r}")
 
 
+def merge_given(table: DataFrame, updates: DataFrame, fields: list[str], order_col: str, touch: str | None, now) -> DataFrame:
+    """``table`` with the given (non-null) fields of ``updates`` by id, the last by ``order_col`` of each field."""
+    merged = updates.groupBy(F.col("id").alias("_pid")).agg(
+        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order_col))).alias(f"_p_{f}") for f in fields])
+    j = table.join(merged, table["id"] == merged["_pid"], "left")
+    cols = []
+    for c in table.columns:
+        if c in fields:
+            cols.append(F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c))
+        elif touch and c == touch:
+            cols.append(F.when(F.col("_pid").isNotNull(), _now(now, table)).otherwise(F.col(c)).alias(c))
+        else:
+            cols.append(F.col(c))
+    return j.select(*cols)
+
+
 def apply_patches(table: DataFrame, patches: DataFrame, fields: list[str], unique_col: str | None, now,
                   rules: list[tuple[str, Column]] | None = None, order_col: str = "id",
                   touch: str | None = "updated_at", normalize: dict[str, Column] | None = None, also: tuple[str, ...] = ()):
@@ -163,19 +179,7 @@ def apply_patches(table: DataFrame, patches: DataFrame, fields: list[str], uniqu
                .when(F.col("_found").isNull(), "not_found").otherwise("updated"))
     p = p.withColumn("outcome", outcome)
     outcomes = p.select("id", "outcome", "issues")
-    upd = p.where(F.col("outcome") == "updated")
-    merged = upd.groupBy(F.col("id").alias("_pid")).agg(
-        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order_col))).alias(f"_p_{f}") for f in fields])
-    j = table.join(merged, table["id"] == merged["_pid"], "left")
-    cols = []
-    for c in table.columns:
-        if c in fields:
-            cols.append(F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c))
-        elif touch and c == touch:
-            cols.append(F.when(F.col("_pid").isNotNull(), _now(now, table)).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
-    return j.select(*cols), outcomes
+    return merge_given(table, p.where(F.col("outcome") == "updated"), fields, order_col, touch, now), outcomes
 
 
 def patch_rules(kind: str) -> list[tuple[str, str, Column]]:

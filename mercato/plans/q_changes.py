@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mercato.functions.columns import ntz
 from mercato.functions.rules import EMAIL_RE, URL_RE, validate_rows, issues
 from mercato.operators import quote_events as quote_ops
-from mercato.operators import changes, guards
+from mercato.operators import changes, guards, handover
 from mercato.plans.registry import register
 
 NOW = dt.datetime(2024, 2, 1, 0, 0, 0)
@@ -158,6 +158,64 @@ def q_patched_products(d):
     return table.select("id", "slug", "title", "price_cents", "is_active", "updated_at")
 
 
+#: One patch after the other: who holds each slug (-1: no one) and which slug each product has, where they changed.
+_MOVES = ("mv", f"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER (ORDER BY m.seq) AS rn, m.*, t.id IS NOT NULL AS found, t.slug AS own, h.id AS holder,
+         concat_ws(',', {opt("m.slug", "length(m.slug) >= 3", "slug")}, {opt("m.title", "length(m.title) >= 3", "title")},
+                   {opt("m.description", "length(m.description) >= 10", "description")},
+                   {opt("m.price_cents", "m.price_cents >= 0", "price")},
+                   {opt("m.cover_image_url", f"regexp_matches(m.cover_image_url, '{URL_RE}')", "cover_image_url")},
+                   {opt("m.digital_file_url", f"regexp_matches(m.digital_file_url, '{URL_RE}')", "digital_file_url")}) AS issues_canon
+  FROM d_product_moves m LEFT JOIN d_products t ON t.id = m.id LEFT JOIN d_products h ON h.slug = m.slug),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS rn, true AS ok, MAP(CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])) AS owner,
+         MAP(CAST([] AS BIGINT[]), CAST([] AS VARCHAR[])) AS held
+  UNION ALL
+  SELECT m.rn, x.ok,
+         CASE WHEN NOT y.takes THEN r.owner
+              WHEN y.prev = m.slug THEN map_concat(r.owner, MAP([m.slug], [CAST(m.id AS BIGINT)]))
+              ELSE map_concat(r.owner, MAP([y.prev, m.slug], [CAST(-1 AS BIGINT), CAST(m.id AS BIGINT)])) END,
+         CASE WHEN NOT y.takes THEN r.held ELSE map_concat(r.held, MAP([CAST(m.id AS BIGINT)], [m.slug])) END
+  FROM r JOIN m ON m.rn = r.rn + 1
+  CROSS JOIN LATERAL (SELECT m.slug IS NULL OR coalesce(r.owner[m.slug], m.holder, -1) IN (-1, m.id) AS ok) x
+  CROSS JOIN LATERAL (SELECT m.slug IS NOT NULL AND m.found AND m.issues_canon = '' AND x.ok AS takes,
+                             coalesce(r.held[CAST(m.id AS BIGINT)], m.own) AS prev) y)
+SELECT m.*, CASE WHEN issues_canon <> '' THEN 'invalid' WHEN NOT ok THEN 'conflict'
+                 WHEN slug IS NULL AND title IS NULL AND description IS NULL AND price_cents IS NULL AND is_active IS NULL
+                      AND sku IS NULL AND tags IS NULL AND cover_image_url IS NULL AND digital_file_url IS NULL THEN 'no_updates'
+                 WHEN NOT found THEN 'not_found' ELSE 'updated' END AS outcome
+FROM m JOIN r USING (rn)
+""")
+_PRODUCT_FIELDS = ["slug", "title", "description", "price_cents", "is_active", "sku", "tags", "cover_image_url", "digital_file_url"]
+
+
+def _product_moves(d):
+    return handover.apply_patches_in_turn(d.products, d.product_moves, _PRODUCT_FIELDS, "slug", NOW,
+                                          rules=changes.patch_rules("product"))
+
+
+@register("patches_in_turn", "SELECT seq, id, outcome, issues_canon FROM mv", _MOVES)
+def q_patches_in_turn(d):
+    """Outcome of every product patch, each in its turn: slugs are handed over inside the batch."""
+    return _product_moves(d)[1].select("seq", "id", "outcome", canon())
+
+
+@register("products_in_turn", f"""
+SELECT t.id, {", ".join(f"coalesce(u.{f}, t.{f}) AS {f}" for f in _PRODUCT_FIELDS if f != "tags")},
+       array_to_string(coalesce(u.tags, t.tags), ',') AS tags_canon,
+       CASE WHEN u.id IS NOT NULL THEN {NOW_SQL} ELSE t.updated_at END AS updated_at
+FROM d_products t LEFT JOIN (
+  SELECT id, {", ".join(f"max_by({f}, seq) FILTER ({f} IS NOT NULL) AS {f}" for f in _PRODUCT_FIELDS)}
+  FROM mv WHERE outcome = 'updated' GROUP BY id) u ON u.id = t.id
+""", _MOVES)
+def q_products_in_turn(d):
+    """Products table after the patches, each in its turn, with every field of a patch."""
+    table, _ = _product_moves(d)
+    return table.select("id", *[f for f in _PRODUCT_FIELDS if f != "tags"],
+                        F.array_join("tags", ",").alias("tags_canon"), "updated_at")
+
+
 #: Callers of the product patches: no one, unknown ones, customers and staff.
 _CALLER = "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN -1 ELSE id % 50 + 1 END"
 

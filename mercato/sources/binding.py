@@ -153,6 +153,33 @@ SELECT p_partkey + CASE WHEN p_partkey % 40 = 0 THEN 1000000 ELSE 0 END AS id,
        CASE WHEN p_partkey % 8 = 0 THEN CAST(p_size * 100 AS INT) END AS price_cents
 FROM part
 WHERE p_partkey % 2 = 0
+""",
+    # In turn by seq: from the highest id down, products take over the slug that the next one gave up (or did not, where
+    # its own claim failed); many claim one slug; then its holders leave it and others come.
+    "d_product_moves": """
+SELECT 1000000000 - p.p_partkey AS seq,
+       p.p_partkey + CASE WHEN p.p_partkey % 40 = 0 THEN 1000000 ELSE 0 END AS id,
+       CASE WHEN p.p_partkey % 50 = 1 THEN 'x' WHEN p.p_partkey % 3 = 0 OR p.p_partkey % 27 = 8 THEN 'front-page'
+            WHEN p.p_partkey % 9 = 8 THEN concat('spring-', CAST(p.p_partkey AS STRING))
+            WHEN p.p_partkey % 11 <> 4 AND q.p_partkey IS NOT NULL THEN concat(replace(lower(q.p_name), ' ', '-'), '-', CAST(q.p_partkey AS STRING)) END AS slug,
+       CASE WHEN p.p_partkey % 4 = 0 THEN concat(p.p_name, ' v2') END AS title,
+       CASE WHEN p.p_partkey % 6 = 0 THEN concat('Now from ', p.p_brand, ', ', p.p_type) END AS description,
+       CASE WHEN p.p_partkey % 8 = 0 THEN CAST(p.p_size * 100 AS INT) END AS price_cents,
+       CASE WHEN p.p_partkey % 12 = 0 THEN p.p_size > 20 END AS is_active,
+       CASE WHEN p.p_partkey % 14 = 0 THEN concat('NEW-', CAST(p.p_partkey AS STRING)) END AS sku,
+       CASE WHEN p.p_partkey % 10 = 0 THEN split(lower(p.p_brand), ',') END AS tags,
+       CASE WHEN p.p_partkey % 16 = 0 THEN concat('https://img.example.com/', CAST(p.p_partkey AS STRING)) END AS cover_image_url,
+       CASE WHEN p.p_partkey % 18 = 0 THEN 'https://files.example.com/new' END AS digital_file_url
+FROM part p LEFT JOIN part q ON q.p_partkey = p.p_partkey + 1
+UNION ALL
+SELECT 1000000001 + p.p_partkey AS seq, p.p_partkey AS id,
+       CASE WHEN p.p_partkey % 6 = 0 THEN concat('autumn-', CAST(p.p_partkey AS STRING))
+            WHEN p.p_partkey % 6 = 1 THEN 'front-page'
+            ELSE concat(replace(lower(p.p_name), ' ', '-'), '-', CAST(p.p_partkey AS STRING)) END AS slug,
+       concat(p.p_name, ' v3') AS title, CAST(NULL AS STRING) AS description, CAST(NULL AS INT) AS price_cents,
+       CAST(NULL AS BOOLEAN) AS is_active, CAST(NULL AS STRING) AS sku, split(CAST(NULL AS STRING), ',') AS tags,
+       CAST(NULL AS STRING) AS cover_image_url, CAST(NULL AS STRING) AS digital_file_url
+FROM part p WHERE p.p_partkey % 2 = 0 OR p.p_partkey % 6 = 1
 """,
     "d_payments": """
 SELECT o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 10000000 ELSE 0 END AS order_id,

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.operators import changes, guards, integrity, notify, requests
+from mercato.operators import cascade, changes, export, guards, integrity, notify, requests
 from mercato.functions.columns import ntz
 from mercato.operators.orders import apply_payments
 from mercato.plans.q_changes import (_ACCEPT_FINAL, _ACCEPT_OUT, _DECLINE_OUT, _DLV_OUT, _MSG_OUT, _PAID, _PAY_OUT,
@@ -297,6 +299,57 @@ def q_export_user(d):
         F.size("audit").cast("bigint").alias("n_audit"))
 
 
+def _surviving() -> str:
+    """SQL: (table_name, id, refs) of every row that stays."""
+    doomed = {"users": "du", "services": "ds", "products": "dp", "service_requests": "dr", "orders": "dord"}
+    out = []
+    for name in DOMAIN_SCHEMAS:
+        if name == "coaching_slots":
+            continue
+        refs = [(c, p) for (table, c), p in integrity.REFERENCES.items() if table == name]
+        goes = [(c, p) for c, p in refs if (name, c) not in cascade.SET_NULL] + [("id", name)] * (name in doomed)
+        kept = " AND ".join(f"coalesce({c} NOT IN (SELECT id FROM {doomed[p]}), true)" for c, p in goes) or "true"
+        texts = [f"coalesce(CAST({c} AS VARCHAR), '-')" if (name, c) not in cascade.SET_NULL else
+                 f"CASE WHEN {c} IN (SELECT id FROM {doomed[p]}) THEN '-' ELSE coalesce(CAST({c} AS VARCHAR), '-') END" for c, p in refs]
+        out.append(f"SELECT '{name}' AS table_name, CAST(id AS VARCHAR) AS id, concat_ws(' ', '', {', '.join(texts) or chr(39) * 2}) AS refs "
+                   f"FROM d_{name} WHERE {kept}")
+    return " UNION ALL ".join(out)
+
+
+@register("delete_cascade_rows", _surviving(), *_DEL)
+def q_delete_cascade_rows(d):
+    """Every row that stays, with its references, after users, services and products with id % 97 = 0 went at once."""
+    t = {k: v for k, v in load_tables_from_binding(d).items() if k != "coaching_slots"}
+    doomed = [t[k].where(F.col("id") % 97 == 0).select(F.lit(k).alias("table"), F.col("id").alias("key"))
+              for k in ("users", "services", "products")]
+    kept = cascade.delete_all(t, reduce(DataFrame.unionByName, doomed))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    rows = [df.select(F.lit(k).alias("table_name"), F.col("id").cast("string").alias("id"), F.concat_ws(
+        " ", F.lit(""), *([text(c) for table, c in integrity.REFERENCES if table == k] or [F.lit("")])).alias("refs"))
+        for k, df in kept.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _export_sql() -> str:
+    out = []
+    for section, (table, key, at, fields) in export.SECTIONS.items():
+        types = {f.name: f.dataType for f in DOMAIN_SCHEMAS[table].fields}
+        pairs = ", ".join(f"'{f}', " + (f"strftime(x.{f}, '%Y-%m-%d %H:%M:%S.%f')" if isinstance(types[f], T.TimestampNTZType) else f"x.{f}")
+                          for f in fields)
+        user = "o.user_id" if section in export.THROUGH else f"x.{key}"
+        join = f" JOIN d_{export.THROUGH[section]} o ON o.id = x.{key}" if section in export.THROUGH else ""
+        out.append(f"SELECT {user} AS user_id, '{section}' AS section, {f'x.{at}' if at else 'CAST(NULL AS TIMESTAMP)'} AS at, "
+                   f"CAST(x.id AS VARCHAR) AS row_id, CAST(json_object({pairs}) AS VARCHAR) AS payload "
+                   f"FROM d_{table} x{join} WHERE {user} IS NOT NULL")
+    return " UNION ALL ".join(out)
+
+
+@register("export_rows", _export_sql())
+def q_export_rows(d):
+    """Everything held on every user, one row for each thing, with its contents."""
+    return export.export_rows(load_tables_from_binding(d))
+
+
 def _planted(table: str) -> list[tuple[list[str], str]]:
     """(expressions, condition) of the rows of a table and of two kinds of broken rows derived from them: a repeated id
     with nothing else, and no id with references, numbers and enums out of range."""

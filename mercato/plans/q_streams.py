@@ -162,7 +162,7 @@ QUALIFY rn = max(rn) OVER (PARTITION BY request_id)
 """, ("ev_batch", _EVENTS_SQL), ("ev0", "SELECT request_id, status, ts, seq FROM ev_batch"))
 def q_request_status_stream(d):
     """Request statuses from a stream of transition events with sequential
-    guards, seeded by one init row per request."""
+    guards, seeded by one init row per request, over four micro-batches."""
     from mercato.plans.q_changes import status_events
     from mercato.session import scratch_path
     from mercato.streaming.jobs import read_stream, request_status_stream, run_available_now, write_stream_input
@@ -180,9 +180,9 @@ def q_request_status_stream(d):
     rows = init.unionByName(ev.select("request_id", kind.alias("kind"), "status",
                                       F.col("seq").cast("string").alias("order_id"), "ts", "seq",
                                       F.lit(None).cast("timestamp_ntz").alias("init_at")))
-    path = write_stream_input(rows, scratch_path(d.spark, "status-in"), "ts", slices=2)
-    out = run_available_now(request_status_stream(read_stream(d.spark, path, rows.schema)), mode="update",
-                            name="status")
+    path = write_stream_input(rows, scratch_path(d.spark, "status-in"), "ts", slices=4, files_per_slice=1)
+    out = run_available_now(request_status_stream(read_stream(d.spark, path, rows.schema, files_per_trigger=1)),
+                            mode="update", name="status")
     res = d.spark.read.parquet(out)
     last = res.groupBy("request_id").agg(F.max_by(F.struct("status", "updated_at", "quote_status"), F.col("batch")).alias("_l"))
     return _ntz(last.select(F.col("request_id").alias("id"), F.col("_l.status").alias("status"),

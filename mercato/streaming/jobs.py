@@ -74,16 +74,19 @@ def unread_stream(notifications: DataFrame, reads: DataFrame, k: int = 30, early
         UnreadProcessor(k, _seconds(early) * 1000), "user_id long, unread long, n_latest long", "update", "EventTime")
 
 
-def request_status_stream(events: DataFrame) -> DataFrame:
+def request_status_stream(events: DataFrame, remember: str = "7 days") -> DataFrame:
     """events (request_id, kind, status, order_id, ts, seq) -> current
     (request_id, status, updated_at, quote_status) per trigger, with the
-    sequential guards: accept only from sent/draft, an order pays once."""
+    sequential guards: accept only from sent/draft, an order pays once. A
+    payment that repeats an order's last one counts as a repeat for
+    ``remember`` of event time, so a request's state holds the payments of
+    that time and no more; size it for the payment source's retries."""
     at = F.col("init_at").cast("timestamp") if "init_at" in events.columns else F.lit(None).cast("timestamp")
     e = events.select("request_id", "kind", "status", F.col("order_id").cast("string").alias("order_id"),
                       F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"),
                       at.alias("init_at"))
     return e.groupBy("request_id").applyInPandasWithState(
-        request_status_fold(), "request_id long, status string, updated_at timestamp, quote_status string",
+        request_status_fold(_seconds(remember) * 1_000_000), "request_id long, status string, updated_at timestamp, quote_status string",
         "status string, updated long, quote string, paid string", "update", GroupStateTimeout.NoTimeout)
 
 

@@ -128,10 +128,12 @@ class UnreadProcessor(StatefulProcessor):
         pass
 
 
-def request_status_fold():
+def request_status_fold(remember_us: int):
     """state (status, updated_us, quote_status, paid json); rows (request_id,
     kind, status, order_id, ts, seq[, init_at]) in (ts, seq) order. Guards: accept
-    only from sent/draft; an order pays once. An init row (sorted first)
+    only from sent/draft; an order pays once. ``paid`` holds the time of each
+    order's last payment; those ``remember_us`` behind the newest event of the
+    request are forgotten at the end of a batch. An init row (sorted first)
     seeds the state: status, quote status in ``order_id``, and the request's
     own updated_at in ``init_at``."""
 
@@ -142,9 +144,9 @@ def request_status_fold():
         df = df.sort_values(["ts", "seq"], kind="stable")
         if state.exists:
             status, updated, quote, paid = state.get
-            paid = set(json.loads(paid))
+            paid = json.loads(paid)
         else:
-            status, updated, quote, paid = None, None, None, set()
+            status, updated, quote, paid = None, None, None, {}
         at = _us(df["init_at"].fillna(df["ts"])) if "init_at" in df.columns else _us(df["ts"])
         for kind, st, order, u, a in zip(df["kind"], df["status"], df["order_id"], _us(df["ts"]), at):
             new = None
@@ -159,16 +161,19 @@ def request_status_fold():
             elif kind == "decline":
                 quote, new = "declined", "declined"
             elif kind == "pay":
+                order = order if isinstance(order, str) else ""  # payments without an order are one order's
                 if order not in paid:
-                    paid.add(order)
                     new = "paid"
+                paid[order] = max(int(u), paid.get(order, int(u)))
             elif kind == "deliver":
                 new = "delivered"
             elif kind == "set":
                 new = st
             if new is not None:
                 status, updated = new, int(u)
-        state.update((status, updated, quote, json.dumps(sorted(paid))))
+        newest = max([int(_us(df["ts"]).max()), *paid.values()])
+        paid = {o: u for o, u in paid.items() if u > newest - remember_us}
+        state.update((status, updated, quote, json.dumps(paid, sort_keys=True)))
         yield pd.DataFrame({"request_id": [key[0]], "status": [status],
                             "updated_at": [pd.Timestamp(updated, unit="us") if updated is not None else pd.NaT],
                             "quote_status": [quote]})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.columns import STAFF_ROLES, is_staff, new_id, ntz
 from mercato.functions.rules import issues, optional, _rules
+from mercato.sources.domain import DOMAIN_SCHEMAS
 
 
 def _now(now, df: DataFrame, col: str = "created_at") -> Column:
@@ -86,6 +87,12 @@ def insert_catalog(rows: DataFrame, table: DataFrame, kind: str, now):
     return inserts, outcomes
 
 
+#: Kind -> its table and the columns with a default beside created_at (now). The data model's.
+DEFAULTS = {"user": ("users", {"role": "customer"}), "order": ("orders", {"status": "pending"}), "order_item": ("order_items", {}),
+            "notification": ("notifications", {"meta": "{}"}), "deliverable": ("deliverables", {}),
+            "audit": ("audit_log", {"meta": "{}"}), "coaching_slot": ("coaching_slots", {"is_active": True})}
+
+
 def append_with_defaults(rows: DataFrame, kind: str, now) -> DataFrame:
     """Insert-time defaults: COALESCE(is_active, TRUE), COALESCE(tags, '{}'),
     status defaults, created_at/updated_at = now, minted id when absent."""
@@ -122,6 +129,15 @@ def append_with_defaults(rows: DataFrame, kind: str, now) -> DataFrame:
         return rows.select("id", "service_request_id", "amount_cents", get("notes", "string").alias("notes"),
                            F.coalesce(get("status", "string"), F.lit("draft")).alias("status"),
                            F.coalesce(get("created_at", "timestamp_ntz"), ts).alias("created_at"))
+    if kind in DEFAULTS:
+        table, given = DEFAULTS[kind]
+        out = []
+        for f in DOMAIN_SCHEMAS[table].fields:
+            kind_of = dict(rows.dtypes).get(f.name, "string") if f.name == "id" else f.dataType  # minted ids are text
+            default = ts if f.name == "created_at" else F.lit(given[f.name]) if f.name in given else None
+            value = get(f.name, "string").cast(kind_of)
+            out.append((value if default is None else F.coalesce(value, default.cast(kind_of))).alias(f.name))
+        return rows.select(out)
     raise ValueError(f"unknown kind {kind!r}")
 
 

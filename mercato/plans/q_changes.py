@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.columns import ntz
@@ -114,6 +116,32 @@ def q_append_with_defaults(d):
     return inserts
 
 
+#: Kind -> its source, the column with a default (and that default) that every third row leaves out; every other one has no time.
+_APPENDED = {"user": ("users", "role", "customer"), "order": ("orders", "status", "pending"),
+             "notification": ("notifications", "meta", "{}"), "audit": ("audit_log", "meta", "{}"),
+             "deliverable": ("deliverables", "title", None)}
+
+
+def _appended_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, id, CASE WHEN id % 3 = 0 THEN {f"'{default}'" if default else 'NULL'} ELSE {col} END AS value, "
+        f"CASE WHEN id % 2 = 0 THEN {NOW_SQL} ELSE coalesce(created_at, {NOW_SQL}) END AS created_at FROM d_{table}"
+        for kind, (table, col, default) in _APPENDED.items())
+
+
+@register("append_other_defaults", _appended_sql())
+def q_append_other_defaults(d):
+    """Users, orders, notifications, audit rows and deliverables as inserted without some of their fields."""
+    out = []
+    for kind, (table, col, _) in _APPENDED.items():
+        rows = getattr(d, table)
+        rows = rows.withColumn(col, F.when(F.col("id") % 3 != 0, F.col(col))).withColumn(
+            "created_at", F.when(F.col("id") % 2 != 0, F.col("created_at")))
+        out.append(changes.append_with_defaults(rows, kind, NOW).select(
+            F.lit(kind).alias("kind"), "id", F.col(col).alias("value"), "created_at"))
+    return reduce(DataFrame.unionByName, out)
+
+
 _PATCH_P = ("pp", """
 SELECT pp.*,
        concat_ws(',', CASE WHEN slug IS NOT NULL AND NOT coalesce(length(slug) >= 3, false) THEN 'slug' END,

@@ -207,3 +207,18 @@ def test_active_sessions_are_all_covering_logins(spark):
     for width in ("1 day", "7 hours", "30 days"):
         got = sorted((r.event_id, r.login_id) for r in keys.active_sessions(lg, ev, width=width).collect())
         assert got == want
+
+
+def test_every_table_has_its_insert_defaults(spark):
+    from mercato.sources.domain import DOMAIN_SCHEMAS
+
+    for kind, (table, given) in changes.DEFAULTS.items():
+        rows = spark.createDataFrame([("a", "extra")], "id string, clash string")
+        out = changes.append_with_defaults(rows, kind, T)
+        assert out.columns == DOMAIN_SCHEMAS[table].fieldNames()
+        row = out.first().asDict()
+        times = {"created_at": T} if "created_at" in out.columns else {}
+        assert {k: v for k, v in row.items() if v is not None} == {"id": "a", **given, **times}
+        assert changes.append_with_defaults(rows.limit(0), kind, T).collect() == []
+    kept = changes.append_with_defaults(spark.createDataFrame([(7, "paid")], "id long, status string"), "order", T).first()
+    assert (kept.id, kept.status) == (7, "paid")

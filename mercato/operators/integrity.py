@@ -8,7 +8,7 @@ of all 12 tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.columns import (ORDER_STATUSES, ORDER_TYPES, QUOTE_STATUSES, REQUEST_STATUSES, ROLES)
@@ -46,40 +46,80 @@ REFERENCES = {("service_requests", "user_id"): "users", ("service_requests", "se
               ("audit_log", "actor_user_id"): "users"}
 
 
-def _row_rules(table: str) -> list[tuple[str, Column]]:
-    """(rule, whether a row breaks it); like the declared checks, a null breaks only the not-null rule."""
-    rules = [(f"{table}.{c} not null", F.col(c).isNull()) for c in ["id", *NOT_NULL[table]]]
-    rules += [(f"{t}.{c} enum", ~F.col(c).isin(list(v))) for (t, c), v in ENUMS.items() if t == table]
-    return rules + [(f"{t}.{c} >= {n}", F.col(c) < n) for (t, c), n in AT_LEAST.items() if t == table]
+def _row_rules(table: str) -> list[tuple[str, str]]:
+    """(rule, SQL that says whether a row breaks it); like the declared checks, a null breaks only the not-null rule."""
+    rules = [(f"{table}.{c} not null", f"`{c}` IS NULL") for c in ["id", *NOT_NULL[table]]]
+    rules += [(f"{t}.{c} enum", f"`{c}` NOT IN ({', '.join(repr(x) for x in v)})") for (t, c), v in ENUMS.items() if t == table]
+    return rules + [(f"{t}.{c} >= {n}", f"`{c}` < {n}") for (t, c), n in AT_LEAST.items() if t == table]
 
 
 def integrity_report(t: dict[str, DataFrame]) -> DataFrame:
-    """One row per declared rule with its number of violations.
-
-    Row rules of a table are one aggregate pass. For unique columns and
-    references one more pass over each table gives its keys, nulls left out;
-    they are counted by (rule, key), map-side first, so no key gathers its rows,
-    and only these counts meet the parents' keys."""
-    parts, keys = [], []
-    for table, df in t.items():
-        rules = _row_rules(table)
-        row = df.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(f"r{i}") for i, (_, bad) in enumerate(rules)])
-        stack = ", ".join(f"'{name}', r{i}" for i, (name, _) in enumerate(rules))
-        parts.append(row.selectExpr(f"stack({len(rules)}, {stack}) AS (rule, violations)"))
-        held = [(f"{x}.{c} unique", "", c) for x, c in UNIQUE if x == table]
-        held += [(f"{x}.{c} -> {p}", p, c) for (x, c), p in REFERENCES.items() if x == table]
-        pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(p).alias("parent"), F.col(c).cast("string").alias("key"))
-                          for rule, p, c in held])
-        keys.append(df.select(F.explode(pairs).alias("x")).select("x.*").where("key is not null"))
-    counted = _union(keys).groupBy("rule", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
-    parents = _union([t[p].select(F.lit(p).alias("parent"), F.col("id").cast("string").alias("key"))
-                      for p in dict.fromkeys(REFERENCES.values())])
-    surplus = counted.where("parent = ''").select("rule", (F.col("n") - 1).alias("violations"))
-    lost = counted.where("parent <> ''").join(parents, ["parent", "key"], "left_anti").select("rule", F.col("n").alias("violations"))
-    names = F.array(*[F.lit(f"{x}.{c} unique") for x, c in UNIQUE], *[F.lit(f"{x}.{c} -> {p}") for (x, c), p in REFERENCES.items()])
-    none = t["users"].sparkSession.range(1).select(F.explode(names).alias("rule"), F.lit(0).cast("bigint").alias("violations"))
-    parts.append(_union([none, surplus, lost]).groupBy("rule").agg(F.sum("violations").alias("violations")))
-    return _union(parts).select("rule", F.col("violations").cast("bigint").alias("violations"))
+    """One row per declared rule with its number of violations, from one scan
+    of each table and one shuffle of keys.
+
+    A row turns into one entry for each key it holds and one for each row rule
+    it breaks (most break none). An entry is (space, key, slot): a space is the
+    ids of one table, or one other unique column, and its slots are the columns
+    that hold such keys, slot 0 being the id itself. Entries are counted by
+    (space, key) with one count per slot, map-side first, so no key gathers its
+    rows; a group alone tells both whether its key repeats and whether a
+    reference is without its parent, so nothing is joined. Integer keys stay
+    integers; only a space with a column of another type compares text."""
+    spaces, rules = _spaces(t)
+    width = max(len(columns) for columns in spaces)
+    types = {name: dict(df.dtypes) for name, df in t.items()}
+    whole = [all(types[x][c] in ("bigint", "int", "smallint", "tinyint") for x, c in columns) for columns in spaces]
+    entries = _union([_entries(df, name, spaces, whole, rules) for name, df in t.items()])
+    counts = entries.groupBy("space", "key", "text").agg(
+        *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(width)])
+    n = [F.col(f"n{i}") for i in range(width)]
+    sums = counts.groupBy("space").agg(
+        F.array(*[F.sum(F.greatest(x - 1, F.lit(0))) for x in n]).alias("repeated"),
+        F.array(*[F.sum(F.when(n[0] == 0, x).otherwise(0)) for x in n]).alias("lost"),
+        F.sum(n[0]).alias("broken"))
+    # one row per declared rule: which sum, of which space and slot, is its number
+    declared = ", ".join(f"named_struct('rule', '{rule}', 's', {s}, 'kind', '{kind}', 'slot', {slot})"
+                         for rule, (s, kind, slot) in rules.items())
+    listed = t["users"].sparkSession.range(1).selectExpr(f"inline(array({declared}))")
+    number = (F.when(F.col("kind") == "broken", F.col("broken"))
+              .when(F.col("kind") == "lost", F.get("lost", "slot")).otherwise(F.get("repeated", "slot")))
+    return listed.join(sums, listed["s"] == sums["space"], "left").select(
+        "rule", F.coalesce(number, F.lit(0)).cast("bigint").alias("violations"))
+
+
+def _spaces(t: dict[str, DataFrame]) -> tuple[list[list[tuple[str, str]]], dict[str, tuple[int, str, int]]]:
+    """(the columns of each key space, id first; rule -> (space, kind of sum, slot)). Row rules get the spaces after them."""
+    parents = list(dict.fromkeys(REFERENCES.values()))
+    spaces = [[(p, "id"), *(at for at, q in REFERENCES.items() if q == p)] for p in parents]
+    rules = {}
+    for table, column in UNIQUE:
+        at = next((i for i, columns in enumerate(spaces) if (table, column) in columns), None)
+        if at is None:
+            at = len(spaces)
+            spaces.append([(table, column)])
+        rules[f"{table}.{column} unique"] = (at, "repeated", spaces[at].index((table, column)))
+    for (table, column), parent in REFERENCES.items():
+        at = parents.index(parent)
+        rules[f"{table}.{column} -> {parent}"] = (at, "lost", spaces[at].index((table, column)))
+    for table in t:
+        for rule, _ in _row_rules(table):
+            rules[rule] = (len(rules) + len(spaces), "broken", 0)
+    return spaces, rules
+
+
+def _entries(df: DataFrame, table: str, spaces: list, whole: list[bool], rules: dict) -> DataFrame:
+    """(space, key, text, slot) of every key of a row and every row rule it breaks; null keys have none. One scan."""
+    def entry(space: int, slot: int, key: str = "NULL", text: str = "NULL") -> str:
+        return (f"named_struct('space', {space}, 'key', CAST({key} AS BIGINT), 'text', CAST({text} AS STRING), 'slot', {slot})")
+
+    held = [entry(at, slot, **{"key" if whole[at] else "text": f"`{c}`"})
+            for at, columns in enumerate(spaces) for slot, (x, c) in enumerate(columns) if x == table]
+    checks = [(bad, entry(rules[rule][0], 0, "0")) for rule, bad in _row_rules(table)]
+    broken = (f"if({' OR '.join(bad for bad, _ in checks)}, "
+              f"filter(array({', '.join(f'if({bad}, {e}, NULL)' for bad, e in checks)}), e -> e IS NOT NULL), "
+              "CAST(array() AS ARRAY<STRUCT<space: INT, key: BIGINT, text: STRING, slot: INT>>))")
+    return (df.selectExpr(f"inline(concat(array({', '.join(held)}), {broken}))")
+            .where("key IS NOT NULL OR text IS NOT NULL"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -395,9 +395,12 @@ def q_integrity_report(d):
     t = load_tables_from_binding(d)
     t["coaching_slots"] = t["services"].selectExpr(*SLOTS)
     planted = {}
-    for name in integrity.NOT_NULL:
-        for cols, cond in _planted(name):
-            part = t[name].where(cond).selectExpr(*cols)
-            part = part.select(*[F.col(f.name).cast(f.dataType) for f in DOMAIN_SCHEMAS[name].fields])
-            planted[name] = planted[name].unionByName(part) if name in planted else part
+    for name in integrity.NOT_NULL:  # all kinds of rows from one scan
+        kinds = _planted(name)
+        values = zip(*[[c.rsplit(" AS ", 1)[0] for c in cols] for cols, _ in kinds])
+        planted[name] = (
+            t[name].selectExpr("*", f"explode(sequence(0, {len(kinds) - 1})) AS _kind")
+            .where(" OR ".join(f"_kind = {i} AND {cond}" for i, (_, cond) in enumerate(kinds)))
+            .selectExpr(*[f"CAST(CASE _kind {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(v))} END AS {f.dataType.simpleString()}) AS {f.name}"
+                          for f, v in zip(DOMAIN_SCHEMAS[name].fields, values)]))
     return integrity.integrity_report(planted)

@@ -76,6 +76,31 @@ def q_attempt_limiter_stream(d):
     return _ntz(res.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "ts", "allowed"), "ts")
 
 
+@register("attempt_limiter_late", """
+WITH newest AS (SELECT event_id % 4 AS batch, max(ts) AS ts FROM events GROUP BY ALL),
+bars AS (SELECT b.batch, max(p.ts) - INTERVAL 10 DAY AS bar FROM newest b LEFT JOIN newest p ON p.batch < b.batch GROUP BY ALL)
+SELECT e.event_id, e.user_id, e.ts, coalesce(e.ts < bars.bar, e.ts IS NULL)::BIGINT AS n_late,
+       1 - coalesce(e.ts < bars.bar, e.ts IS NULL)::BIGINT AS n_judged
+FROM events e JOIN bars ON bars.batch = e.event_id % 4
+""")
+def q_attempt_limiter_late(d):
+    """How often each event is among the late ones, and among the judged ones, of the limiter stream over four shuffled
+    micro-batches that each hold all times, with 10 days of lateness. Judged twice, or lost, would show."""
+    from mercato.session import scratch_path
+    from mercato.streaming.jobs import attempt_limiter_stream, read_stream, run_available_now
+    from mercato.streaming.late import split_available_now
+
+    path, ev = scratch_path(d.spark, "shuffled"), d.source("events").select("event_id", "user_id", "ts")
+    for i in range(4):
+        ev.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(path)
+    split = split_available_now(read_stream(d.spark, path, ev.schema, files_per_trigger=1), lateness="10 days")
+    out = run_available_now(attempt_limiter_stream(split.on_time(), "user_id", LIMIT, REFILL, id_col="event_id"), name="limiter")
+    judged = d.spark.read.parquet(out).select("id", F.lit(0).alias("late"), F.lit(1).alias("judged"))
+    both = split.late().select(F.col("event_id").alias("id"), F.lit(1).alias("late"), F.lit(0).alias("judged")).unionByName(judged)
+    sums = both.groupBy("id").agg(F.sum("late").alias("n_late"), F.sum("judged").alias("n_judged"))
+    return ev.join(sums, ev["event_id"] == sums["id"], "left").select("event_id", "user_id", "ts", "n_late", "n_judged")
+
+
 @register("session_stream")
 def q_session_stream(d):
     """Every login that covers an event, as a stream-stream join over four micro-batches of either stream."""

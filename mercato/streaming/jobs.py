@@ -18,6 +18,7 @@ from mercato.operators.keys import active_sessions
 from mercato.operators.limiter import _seconds
 from mercato.session import BASE_CONF, scratch_path
 from mercato.streaming import processors
+from mercato.streaming.late import BAR
 from mercato.streaming.processors import UnreadProcessor, limiter_fold, request_status_fold, session_fold
 
 # Ship the per-key folds by value: executors then need only pandas/numpy,
@@ -37,10 +38,11 @@ def attempt_limiter_stream(attempts: DataFrame, key: str, limit: int, refill, ts
     """attempts stream -> (key, id, ts, allowed, anchor_id), one row per
     attempt. State per key = (tokens, anchor); it expires (event time) once
     the watermark passes anchor + refill, when a new attempt would reset it
-    anyway."""
-    s = (attempts.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"),
-                         F.col(ts).cast("timestamp").alias("ts"))
-         .withWatermark("ts", lateness))
+    anyway. Attempts behind the watermark are dropped, unless ``attempts`` is the
+    on-time side of a ``late.LateSplit``, which keeps them in a table."""
+    cols = [F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts")]
+    s = attempts.select(*cols, BAR).withWatermark(BAR, "1 second") if BAR in attempts.columns else \
+        attempts.select(*cols).withWatermark("ts", lateness)
     return s.groupBy("key").applyInPandasWithState(
         limiter_fold(limit, _seconds(refill) * 1_000_000),
         f"key {attempts.schema[key].dataType.simpleString()}, id long, ts timestamp, allowed boolean, anchor_id long",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mercato.operators import feeds, keys, requests
 from mercato.operators.catalog import admin_products
 from mercato.operators.topk import paginate
-from mercato.functions.columns import newest_first
+from mercato.functions.columns import newest_first, wall_micros
 from mercato.plans.registry import register
 
 NOW = dt.datetime(2024, 2, 1, 0, 0, 0)
@@ -58,34 +58,51 @@ def q_quote_owner(d):
     return requests.quote_owner(d.quotes, d.service_requests)
 
 
+def _line(*fields: str) -> str:
+    """A child's fields as one text, in the oracle."""
+    return "concat_ws('~', " + ", ".join(f"coalesce(CAST({f} AS VARCHAR), '-')" for f in fields) + ")"
+
+
+_MESSAGE_LINE = _line("m.id", "m.body", "array_to_string(m.attachments, ',')", "epoch_us(m.created_at)", "x.id", "x.name", "x.role")
+_DELIVERABLE_LINE = _line("id", "title", "description", "file_url", "epoch_us(created_at)")
+
+
 @register("request_detail", f"""
-SELECT sr.id, sr.status, sr.brief, sr.created_at, sr.updated_at, s.id AS service_id, s.title AS service_title,
-       u.id AS customer_id, u.name AS customer_name,
-       coalesce(m.n, 0) AS n_messages, coalesce(m.ids, '') AS message_ids,
-       q.id AS quote_id, q.amount_cents AS quote_amount_cents, q.status AS quote_status,
-       coalesce(dl.n, 0) AS n_deliverables, coalesce(dl.ids, '') AS deliverable_ids
+SELECT sr.id, sr.status, sr.brief, sr.created_at, sr.updated_at, s.id AS service_id, s.title AS service_title, s.slug AS service_slug,
+       u.id AS customer_id, u.name AS customer_name, u.email AS customer_email,
+       coalesce(m.n, 0) AS n_messages, coalesce(m.ids, '') AS message_ids, coalesce(m.lines, '') AS message_lines,
+       q.id AS quote_id, q.amount_cents AS quote_amount_cents, q.status AS quote_status, q.notes AS quote_notes,
+       q.created_at AS quote_created_at,
+       coalesce(dl.n, 0) AS n_deliverables, coalesce(dl.ids, '') AS deliverable_ids, coalesce(dl.lines, '') AS deliverable_lines
 FROM {_HEADER}
 LEFT JOIN (SELECT m.service_request_id, count(*) AS n,
-                  string_agg(CAST(m.id AS VARCHAR), '|' ORDER BY m.created_at, m.id) AS ids
+                  string_agg(CAST(m.id AS VARCHAR), '|' ORDER BY m.created_at, m.id) AS ids,
+                  string_agg({_MESSAGE_LINE}, '|' ORDER BY m.created_at, m.id) AS lines
            FROM d_messages m JOIN d_users x ON x.id = m.sender_user_id GROUP BY m.service_request_id) m
   ON m.service_request_id = sr.id
 LEFT JOIN d_quotes q ON q.service_request_id = sr.id
 LEFT JOIN (SELECT service_request_id, count(*) AS n,
-                  string_agg(CAST(id AS VARCHAR), '|' ORDER BY created_at DESC, id DESC) AS ids
+                  string_agg(CAST(id AS VARCHAR), '|' ORDER BY created_at DESC, id DESC) AS ids,
+                  string_agg({_DELIVERABLE_LINE}, '|' ORDER BY created_at DESC, id DESC) AS lines
            FROM d_deliverables GROUP BY service_request_id) dl ON dl.service_request_id = sr.id
 """)
 def q_request_detail(d):
-    """Nested request documents, compared through flat canonical columns."""
+    """Nested request documents, compared through flat canonical columns that hold every field."""
     doc = requests.request_detail(d.service_requests, d.services, d.users, d.messages, d.quotes, d.deliverables)
-    ids = lambda c: F.array_join(F.transform(F.col(c), lambda x: x["id"].cast("string")), "|")
+
+    def joined(c, *fields):
+        def text(x, f):
+            return (wall_micros(x[f]) if f == "created_at" else F.array_join(x[f], ",") if f == "attachments" else x[f]).cast("string")
+        return F.array_join(F.transform(F.col(c), lambda x: F.concat_ws("~", *[F.coalesce(text(x, f), F.lit("-")) for f in fields])), "|")
+
     return doc.select("id", "status", "brief", "created_at", "updated_at",
-                      F.col("service.id").alias("service_id"), F.col("service.title").alias("service_title"),
-                      F.col("customer.id").alias("customer_id"), F.col("customer.name").alias("customer_name"),
-                      F.size("messages").cast("bigint").alias("n_messages"), ids("messages").alias("message_ids"),
-                      F.col("quote.id").alias("quote_id"), F.col("quote.amount_cents").alias("quote_amount_cents"),
-                      F.col("quote.status").alias("quote_status"),
-                      F.size("deliverables").cast("bigint").alias("n_deliverables"),
-                      ids("deliverables").alias("deliverable_ids"))
+                      *[F.col(f"service.{f}").alias(f"service_{f}") for f in ("id", "title", "slug")],
+                      *[F.col(f"customer.{f}").alias(f"customer_{f}") for f in ("id", "name", "email")],
+                      F.size("messages").cast("bigint").alias("n_messages"), joined("messages", "id").alias("message_ids"),
+                      joined("messages", "id", "body", "attachments", "created_at", "sender_id", "sender_name", "sender_role").alias("message_lines"),
+                      *[F.col(f"quote.{f}").alias(f"quote_{f}") for f in ("id", "amount_cents", "status", "notes", "created_at")],
+                      F.size("deliverables").cast("bigint").alias("n_deliverables"), joined("deliverables", "id").alias("deliverable_ids"),
+                      joined("deliverables", "id", "title", "description", "file_url", "created_at").alias("deliverable_lines"))
 
 
 @register("request_board", f"""

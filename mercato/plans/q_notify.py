@@ -206,8 +206,9 @@ for _sql, _ctes in BRANCH_SQL.values():
 @register("notification_feed", "\nUNION ALL\n".join(f"({sql.strip()})" for sql, _ in BRANCH_SQL.values()),
           *_ALL_CTES)
 def q_notification_feed(d):
-    """UNION ALL of the seven notification branches."""
-    return notify.notification_feed(*branch_frames(d).values())
+    """The seven notification branches from one frame of changes, in one pass over requests and one over users for names."""
+    rows, _ = notify.change_notifications(change_frame(d), d.users, d.service_requests, d.services)
+    return rows.select(*notify.NOTIFY_COLS)
 
 
 @register("broadcast_counts", """

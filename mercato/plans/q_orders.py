@@ -10,15 +10,14 @@ from mercato.plans.registry import register
 
 
 def items_canon(col: str = "items"):
-    """Nested items as one comparable string (title:id:qty:subtotal|...)."""
+    """Nested items, all fields, as one comparable string (title:id:price:...|...)."""
     return F.array_join(F.transform(F.col(col), lambda x: F.concat_ws(
-        ":", x["title"], x["id"].cast("string"), x["quantity"].cast("string"),
-        x["subtotal_cents"].cast("string"))), "|")
+        ":", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in orders.ITEM_FIELDS])), "|")
 
 
-_ITEMS_AGG = """count(i.id) AS n_items,
-       coalesce(string_agg(concat_ws(':', i.title, i.id, CAST(i.quantity AS VARCHAR), CAST(i.subtotal_cents AS VARCHAR)),
-                           '|' ORDER BY i.title, i.id), '') AS items_canon"""
+_ITEM_LINE = "concat_ws(':', " + ", ".join(f"coalesce(CAST(i.{f} AS VARCHAR), '-')" for f in orders.ITEM_FIELDS) + ")"
+_ITEMS_AGG = f"""count(i.id) AS n_items,
+       coalesce(string_agg({_ITEM_LINE}, '|' ORDER BY i.title, i.id) FILTER (WHERE i.id IS NOT NULL), '') AS items_canon"""
 
 
 @register("orders_with_items", f"""

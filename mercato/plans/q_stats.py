@@ -6,29 +6,31 @@ from pyspark.sql import functions as F
 
 from mercato.operators import stats
 from mercato.plans.registry import register
-from mercato.sources.domain import load_tables_from_binding
+from mercato.session import scratch_path
+from mercato.sources.domain import load_tables, load_tables_from_binding
 
 
-@register("load_tables", """
-SELECT 'users' AS table_name, count(*) AS n FROM d_users
-UNION ALL SELECT 'products', count(*) FROM d_products
-UNION ALL SELECT 'services', count(*) FROM d_services
-UNION ALL SELECT 'service_requests', count(*) FROM d_service_requests
-UNION ALL SELECT 'orders', count(*) FROM d_orders
-UNION ALL SELECT 'order_items', count(*) FROM d_order_items
-UNION ALL SELECT 'messages', count(*) FROM d_messages
-UNION ALL SELECT 'quotes', count(*) FROM d_quotes
-UNION ALL SELECT 'notifications', count(*) FROM d_notifications
-UNION ALL SELECT 'deliverables', count(*) FROM d_deliverables
-UNION ALL SELECT 'coaching_slots', 0
-UNION ALL SELECT 'audit_log', count(*) FROM d_audit_log
-""")
+#: The time column of each domain table with rows; the items have none.
+_TIMES = {t: "NULL" if t == "order_items" else "created_at" for t in (
+    "users", "products", "services", "service_requests", "orders", "order_items", "messages", "quotes", "notifications",
+    "deliverables", "audit_log")}
+
+
+@register("load_tables", "\nUNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, count(*) AS n, count(DISTINCT id) AS ids, min(CAST(id AS VARCHAR)) AS least_id, "
+     f"max(CAST(id AS VARCHAR)) AS greatest_id, CAST(min({at}) AS TIMESTAMP) AS oldest, CAST(max({at}) AS TIMESTAMP) AS newest "
+     f"FROM d_{t}" for t, at in _TIMES.items()] + ["SELECT 'coaching_slots', 0, 0, NULL, NULL, NULL, NULL"]))
 def q_load_tables(d):
-    """Typed domain tables (declared schema) and their row counts."""
-    tables = load_tables_from_binding(d)
+    """The domain tables, written once and read back by ``load_tables``: rows, ids and times of each."""
+    folder = scratch_path(d.spark, "tables")
+    for name, df in load_tables_from_binding(d).items():
+        df.write.parquet(f"{folder}/{name}")
     out = None
-    for name, df in tables.items():
-        part = df.select().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+    for name, df in load_tables(d.spark, folder).items():
+        at = F.expr(_TIMES.get(name, "starts_at")).cast("timestamp_ntz")
+        part = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.min(F.col("id").cast("string")).alias("least_id"),
+                      F.max(F.col("id").cast("string")).alias("greatest_id"), F.min(at).alias("oldest"), F.max(at).alias("newest"))
+        part = part.select(F.lit(name).alias("table_name"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 

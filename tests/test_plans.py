@@ -46,7 +46,7 @@ def test_limiter_has_no_per_key_collect(spark):
 
 
 #: Entries that write (sinks, streams and their inputs), or run rounds of joins, while they are built.
-EAGER = {"write_snapshot", "read_changes", "attempt_limiter", "attempt_limiter_stream", "unread_stream",
+EAGER = {"write_snapshot", "read_changes", "load_tables", "attempt_limiter", "attempt_limiter_stream", "attempt_limiter_late", "unread_stream",
          "request_status_stream", "notification_stream", "session_stream", "latest_session_stream", "delete_cascade", "pipeline",
          "accept_quotes", "answered_quotes", "patches_in_turn", "products_in_turn", "delete_cascade_rows"}
 

@@ -139,12 +139,13 @@ def q_unread_stream(d):
     micro-batches, many reads ahead of their notification; the last emitted
     row per user equals the batch count after mark_read."""
     from mercato.session import scratch_path
-    from mercato.streaming.jobs import read_stream, run_available_now, unread_stream, write_stream_input
+    from mercato.streaming.jobs import files_for, read_stream, run_available_now, unread_stream, write_stream_input
 
-    npath = write_stream_input(d.notifications, scratch_path(d.spark, "unread-n"), "created_at", slices=4, files_per_slice=1)
+    files = files_for(d.notifications)
+    npath = write_stream_input(d.notifications, scratch_path(d.spark, "unread-n"), "created_at", slices=4, files_per_slice=files)
     rpath = scratch_path(d.spark, "unread-r")
     d.reads.repartition(4, "id").write.parquet(rpath)
-    n = read_stream(d.spark, npath, d.notifications.schema, files_per_trigger=1)
+    n = read_stream(d.spark, npath, d.notifications.schema, files_per_trigger=files)
     r = read_stream(d.spark, rpath, d.reads.schema, files_per_trigger=1)
     out = run_available_now(unread_stream(n, r, 30, early="60 days"), mode="update", name="unread")
     res = d.spark.read.parquet(out)

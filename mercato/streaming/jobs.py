@@ -57,22 +57,27 @@ def _rocksdb(spark: SparkSession) -> None:
 
 
 def unread_stream(notifications: DataFrame, reads: DataFrame, k: int = 30, early: str = "7 days",
-                  lateness: str = "7 days") -> DataFrame:
+                  lateness: str = "7 days", buckets: int = 256) -> DataFrame:
     """Unread count among each user's newest ``k``, refreshed per trigger
     (the page polls every 60 s: ``trigger(processingTime='60 seconds')``).
-    A read only touches the reader's own notifications (same key). A read may
+    A read only touches the reader's own notifications. A read may
     come before its notification: it is kept for ``early`` (event time, as the
     watermark of the notifications tells it) and counts when the notification
     comes, in this batch or batches later. Notifications more than
-    ``lateness`` behind the newest are left out, as by any watermark."""
+    ``lateness`` behind the newest are left out, as by any watermark. The state is
+    dealt out over ``buckets`` of users, a fixed number for a checkpoint: size it so that
+    a bucket holds some thousand users (its newest are one value), and above the cores."""
     _rocksdb(notifications.sparkSession)
     n = notifications.select("user_id", F.lit("n").alias("kind"), "id",
                              F.col("created_at").cast("timestamp").alias("created_at"),
+                             F.coalesce(wall_micros("created_at"), F.lit(2**63 - 1)).alias("created"),  # no time: newest
                              F.col("read_at").isNotNull().alias("is_read"))
-    r = reads.select("user_id", F.lit("r").alias("kind"), "id",
-                     F.lit(None).cast("timestamp").alias("created_at"), F.lit(True).alias("is_read"))
+    r = reads.select("user_id", F.lit("r").alias("kind"), "id", F.lit(None).cast("timestamp").alias("created_at"),
+                     F.lit(0).cast("long").alias("created"), F.lit(True).alias("is_read"))
     rows = n.unionByName(r).where(F.col("id").isNotNull()).withWatermark("created_at", lateness)
-    return rows.groupBy("user_id").transformWithStateInPandas(
+    bucket = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(buckets))).cast("long")
+    rows = rows.withColumn("bucket", bucket).withColumn("user_id", F.coalesce("user_id", F.lit(0)).cast("long"))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         UnreadProcessor(k, _seconds(early) * 1000), "user_id long, unread long, n_latest long", "update", "EventTime")
 
 
@@ -162,14 +167,16 @@ def write_stream_input(df: DataFrame, path: str, order_col: str, slices: int = 4
     """Lay ``df`` down as ``slices`` consecutive time ranges of ``order_col``
     (boundaries from approxQuantile: ``slices - 1`` numbers on the driver),
     written one after another, so the file source reads them in time order.
-    ``files_per_slice`` pins the file count (tests pair it with
-    ``maxFilesPerTrigger`` to get one micro-batch per slice)."""
+    ``files_per_slice`` pins the file count (paired with ``maxFilesPerTrigger``
+    it gives one micro-batch per slice): a slice with too few rows for its files
+    is filled up with empty ones. ``df`` is read once for each slice and once for
+    the boundaries, so store it first if it is costly."""
     key = wall_micros(order_col).cast("double")
     keyed = df.withColumn("_o", key)
     probs = [i / slices for i in range(1, slices)]
     cuts = keyed.approxQuantile("_o", probs, 0.0001) if probs else []
     bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
+    for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]), 1):
         part = keyed
         if lo is not None:
             part = part.where(F.col("_o") > lo)
@@ -181,9 +188,23 @@ def write_stream_input(df: DataFrame, path: str, order_col: str, slices: int = 4
         if files_per_slice:
             part = part.repartition(files_per_slice)
         part.write.mode("append").parquet(path)
+        if files_per_slice and files_per_slice > 1:
+            spark = df.sparkSession
+            missing = i * files_per_slice - len(spark.read.schema(df.schema).parquet(path).inputFiles())
+            for _ in range(missing):
+                spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
+#: Rows in one file of a slice, which one task writes.
+FILE_ROWS = 500_000
+
+
+def files_for(df: DataFrame, slices: int = 4) -> int:
+    """Files for each of ``slices`` slices of ``df``, so that a file holds about ``FILE_ROWS`` rows."""
+    return -(-df.count() // (slices * FILE_ROWS)) or 1
+
+
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema)
     if files_per_trigger:

@@ -4,7 +4,7 @@ Each factory returns a function for ``applyInPandasWithState`` (and each class
 is a processor for ``transformWithStateInPandas``): it gets one key's rows of
 one micro-batch (as pandas chunks) and its state, folds the rows in event order,
 and yields output rows. State per key is O(1) (or the
-k newest notifications), never the key's history; the rows of one key in
+k newest notifications of a bucket of users), never the key's history; the rows of one key in
 one micro-batch are bounded by the trigger size (``maxFilesPerTrigger`` /
 ``maxBytesPerTrigger``). Event-time timeouts drop idle keys.
 """
@@ -61,67 +61,80 @@ def limiter_fold(limit: int, refill_us: int):
 
 
 class UnreadProcessor(StatefulProcessor):
-    """Unread count among a user's newest ``k`` notifications.
+    """Unread count among each user's newest ``k`` notifications.
 
-    Two state variables per user: ``newest``, the k newest (id, created, read),
-    and ``early``, the reads whose notification has not come yet (id, watermark
-    at its arrival in ms). A timer ``ttl_ms`` of event time later forgets those
-    still there. Rows: (user_id, kind 'n'|'r', id, created_at, is_read); out:
-    (user_id, unread, n_latest). A batch's rows are merged, ranked and marked as
-    whole columns, and each state variable is read and written once, in one piece."""
+    A key is a bucket of users, so that a call into Python, and a read and a write of
+    state, serve many users. Two state variables per bucket: ``newest``, the k newest of
+    each user, and ``early``, the reads whose notification has not come yet (with the
+    watermark at their last arrival in ms), each one value of parallel arrays. While there
+    are early reads a timer stands ``ttl_ms`` of event time after the oldest came, and
+    forgets it. Rows: (bucket, user_id, kind 'n'|'r', id, created micros, is_read, all of
+    them set; users without an id are bucket -1); out: (user_id, unread, n_latest) of the
+    users with rows in the batch. All is merged, ranked and marked as whole columns."""
 
     def __init__(self, k: int, ttl_ms: int):
         self.k, self.ttl_ms = k, ttl_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.newest = handle.getListState("newest", "id long, created long, is_read boolean")
-        self.early = handle.getListState("early", "id long, at long")
+        self.newest = handle.getValueState(
+            "newest", "user array<bigint>, id array<bigint>, created array<bigint>, is_read array<boolean>")
+        self.early = handle.getValueState("early", "user array<bigint>, id array<bigint>, at array<bigint>")
+
+    @staticmethod
+    def _held(state, **types) -> pd.DataFrame:
+        values = state.get() or [[]] * len(types)
+        return pd.DataFrame({c: pd.Series(v, dtype=t) for (c, t), v in zip(types.items(), values)})
+
+    def _keep_early(self, early: pd.DataFrame) -> None:
+        if len(early):
+            self.early.update(tuple(early[c].tolist() for c in ("user", "id", "at")))
+        else:
+            self.early.clear()
+
+    def _early(self) -> pd.DataFrame:
+        return self._held(self.early, user="int64", id="int64", at="int64")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names of the interface
         df = _concat(rows)
         if df.empty:
             return
-        cols = ["id", "created", "is_read"]
-        held = pd.DataFrame(list(self.newest.get()), columns=cols)
-        notes = df[df["kind"] == "n"]
-        created = np.where(notes["created_at"].isna(), np.iinfo("int64").max, _us(notes["created_at"]))  # no time: newest
-        fresh = pd.DataFrame({"id": notes["id"].astype("int64"), "created": created, "is_read": notes["is_read"].astype(bool)})
-        seen = pd.concat([held, fresh]).astype({"id": "int64", "created": "int64", "is_read": bool})
-        now = seen.groupby("id", as_index=False).agg({"created": "last", "is_read": "max"})
-        now = now.sort_values(["created", "id"], ascending=False).head(self.k)
-        reads = df.loc[df["kind"] == "r", "id"].astype("int64").drop_duplicates()
-        now["is_read"] |= now["id"].isin(reads)
-
-        early = pd.DataFrame(list(self.early.get()) if len(fresh) else [], columns=["id", "at"])
-        now["is_read"] |= now["id"].isin(early["id"])
-        left = early[~early["id"].isin(fresh["id"])]  # its notification is here: no longer early
-        ahead = reads[~reads.isin(seen["id"])]
+
+        def among(some: pd.DataFrame, others: pd.DataFrame) -> np.ndarray:
+            return pd.MultiIndex.from_frame(some[one]).isin(pd.MultiIndex.from_frame(others[one]))
+
+        one = ["user", "id"]
+        df = df.rename(columns={"user_id": "user"}).astype({"user": "int64", "id": "int64", "created": "int64", "is_read": bool})
+        fresh = df.loc[df["kind"] == "n", [*one, "created", "is_read"]]
+        reads = df.loc[df["kind"] == "r", one].drop_duplicates()
+        seen = pd.concat([self._held(self.newest, user="int64", id="int64", created="int64", is_read=bool), fresh])
+        now = seen.groupby(one, as_index=False).agg({"created": "last", "is_read": "max"})
+        now = now.sort_values(["user", "created", "id"], ascending=[True, False, False])
+        now = now[now.groupby("user").cumcount() < self.k].reset_index(drop=True)
+        early = self._early()
+        now["is_read"] = now["is_read"].astype(bool) | among(now, reads) | among(now, early)
+
+        left = early[~among(early, fresh)]  # its notification is here: no longer early
+        ahead = reads[~among(reads, seen)]
         at = max(0, timerValues.getCurrentWatermarkInMs())
-        new = [(int(i), at) for i in ahead]
-        if len(left) < len(early):
-            kept = [(int(i), int(t)) for i, t in left.itertuples(index=False)] + new
-            if kept:
-                self.early.put(kept)
-            else:
-                self.early.clear()
-        elif new:
-            self.early.appendList(new)
-        if new:
+        if len(ahead) or len(left) < len(early):
+            self._keep_early(pd.concat([left, ahead.assign(at=at)]).drop_duplicates(one, keep="last"))
+        if len(ahead) and not len(early):
             self.handle.registerTimer(at + self.ttl_ms)
         if len(now):
-            self.newest.put([(int(i), int(c), bool(r)) for i, c, r in now[cols].itertuples(index=False)])
-            yield pd.DataFrame({"user_id": [key[0]], "unread": [int((~now["is_read"]).sum())], "n_latest": [len(now)]})
+            self.newest.update(tuple(now[c].tolist() for c in ("user", "id", "created", "is_read")))
+        out = now[now["user"].isin(df["user"])].groupby("user")["is_read"].agg(["size", "sum"]).reset_index()
+        if len(out):
+            users = out["user"] if key[0] >= 0 else None
+            yield pd.DataFrame({"user_id": pd.Series(users, out.index, "Int64"), "unread": out["size"] - out["sum"].astype("int64"), "n_latest": out["size"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs()
-        early = [(i, at or now) for i, at in self.early.get()]  # of those that came before any watermark it starts now
-        left = [(i, at) for i, at in early if at + self.ttl_ms > now]
-        if left:
-            self.early.put(left)
-            self.handle.registerTimer(min(at for _, at in left) + self.ttl_ms)
-        else:
-            self.early.clear()
+        now, early = timerValues.getCurrentWatermarkInMs(), self._early()
+        early["at"] = early["at"].where(early["at"] > 0, now)  # of those that came before any watermark it starts now
+        left = early[early["at"] + self.ttl_ms > now]
+        self._keep_early(left)
+        if len(left):
+            self.handle.registerTimer(int(left["at"].min()) + self.ttl_ms)
         yield from ()
 
     def close(self) -> None:

@@ -156,3 +156,52 @@ def test_session_stream_equals_the_interval_join(spark):
     lg = ev.where(F.col("event_id") % 4 == 0).select(F.col("event_id").alias("id"), "user_id", "ts")
     want = sorted(tuple(r) for r in active_sessions(lg, ev).select("event_id", "login_id").collect())
     assert got == want and len(want) > ev.count()
+
+
+def test_one_call_counts_for_many_users(spark):
+    """Users of a bucket are merged in one call with one read and one write of each state variable."""
+    import pandas as pd
+
+    from mercato.streaming.processors import UnreadProcessor
+
+    class Value:
+        held, reads, writes = None, 0, 0
+
+        def get(self):
+            self.reads += 1
+            return self.held
+
+        def update(self, value):
+            self.held, self.writes = value, self.writes + 1
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def __init__(self):
+            self.values, self.timers = {}, []
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self.values.setdefault(name, Value())
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 50
+
+    handle, p = Handle(), UnreadProcessor(2, 1000)
+    p.init(handle)
+
+    def call(rows, bucket=3):
+        df = pd.DataFrame(rows, columns=["user_id", "kind", "id", "created", "is_read"]).assign(bucket=bucket)
+        outs = list(p.handleInputRows((bucket,), iter([df]), Times()))
+        return {(None if pd.isna(u) else u): (n, k) for o in outs for u, n, k in o[["user_id", "unread", "n_latest"]].itertuples(index=False)}
+
+    notes = [(u, "n", i, i, False) for u in range(1, 40) for i in range(u * 10, u * 10 + 3)]
+    got = call([*notes, (1, "r", 12, 0, True), (2, "r", 12, 0, True), (2, "r", 29, 0, True)])
+    assert got == {u: (1 if u == 1 else 2, 2) for u in range(1, 40)}  # a read of another user's id touches nothing
+    assert [v.writes for v in handle.values.values()] == [1, 1] and handle.timers == [1050]
+    assert call([(2, "n", 29, 29, False)]) == {2: (1, 2)}  # read before it came; the others had no rows
+    assert call([(0, "n", 7, 7, False)], bucket=-1) == {None: (1, 1)}

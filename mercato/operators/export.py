@@ -36,20 +36,23 @@ def export_rows(t: dict[str, DataFrame], ids: DataFrame | None = None) -> DataFr
 
     ``payload`` is the row's other fields as JSON, nulls kept. A user's history is as
     many rows as there are things in it, so no row, group or task grows with it; rows
-    without a user (an audit row of a deleted one) are no one's and left out.
+    without a user (an audit row of a deleted one) are no one's and left out. A table of
+    ``THROUGH`` that already holds its user as ``owner_id`` is not joined again.
     """
     want = None if ids is None else ids.select(F.col("id").alias("user_id")).distinct()
     parts = []
     for section, (table, key, at, fields) in SECTIONS.items():
-        df = t[table]
+        df, user = t[table], key
+        if section in THROUGH:  # before the payload is made, so that it is not moved
+            user = "owner_id"
+            if user not in df.columns:
+                owner = t[THROUGH[section]].select(F.col("id").alias("_id"), F.col("user_id").alias(user))
+                df = df.join(owner, df[key] == owner["_id"])
         types = {f.name: f for f in df.schema}
         rows = df.select(
-            F.col(key).alias("user_id"), F.lit(section).alias("section"),
+            F.col(user).alias("user_id"), F.lit(section).alias("section"),
             (F.col(at) if at else F.lit(None)).cast("timestamp_ntz").alias("at"), F.col("id").cast("string").alias("row_id"),
             F.to_json(F.struct(*[_text(types[f]) for f in fields]), {"ignoreNullFields": "false"}).alias("payload"))
-        if section in THROUGH:
-            owner = t[THROUGH[section]].select(F.col("id").alias("_id"), F.col("user_id").alias("_owner"))
-            rows = rows.join(owner, rows["user_id"] == owner["_id"]).withColumn("user_id", F.col("_owner")).drop("_id", "_owner")
         rows = rows.where(F.col("user_id").isNotNull())
         parts.append(rows if want is None else rows.join(want, "user_id", "left_semi"))
     return reduce(DataFrame.unionByName, parts)

@@ -348,7 +348,10 @@ def _export_sql() -> str:
 @register("export_rows", _export_sql())
 def q_export_rows(d):
     """Everything held on every user, one row for each thing, with its contents."""
-    return export.export_rows(load_tables_from_binding(d))
+    t = load_tables_from_binding(d)
+    if not d.stored:
+        t["order_items"] = d.owned_order_items()
+    return export.export_rows(t)
 
 
 def _planted(table: str) -> list[tuple[list[str], str]]:

@@ -372,6 +372,7 @@ class Domain:
         self.sf_dir = sf_dir
         self._raw: dict[str, DataFrame] = {}
         self._frames: dict[str, DataFrame] = {}
+        self.stored = False
 
     @property
     def raw(self) -> dict[str, DataFrame]:
@@ -408,6 +409,15 @@ class Domain:
             self._frames[key] = self.view(key)
         return self._frames[key]
 
+    def owned_order_items(self) -> DataFrame:
+        """``d_order_items`` with the user of its order as ``owner_id``. The orders are joined to the bare lines, ahead of
+        parts and suppliers, so that titles and ids are made where a line ends up and are not moved."""
+        for t in ("lineitem", "orders", "part", "supplier"):
+            self._source(t)
+        fields, joins = ALL_VIEWS["d_order_items"].split("\nFROM lineitem l ")
+        return self.spark.sql(f"{fields},\n       o.o_custkey AS owner_id\n"
+                              f"FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey {joins}")
+
     def store(self) -> str:
         """Write every bound table once (a job of its own, never part of a
         query) and read from there. Returns the folder."""
@@ -418,6 +428,7 @@ class Domain:
             self.view(key).write.parquet(f"{folder}/{key}")
         for key in ALL_VIEWS:
             self._frames[key] = self.spark.read.parquet(f"{folder}/{key}")
+        self.stored = True
         return folder
 
     def __getattr__(self, item: str) -> DataFrame:

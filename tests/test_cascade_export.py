@@ -122,3 +122,22 @@ def test_a_large_history_spreads_over_files(spark):
     assert back.count() == export.export_rows(tables).count()
     files = back.where("user_id = 1").groupBy(F.input_file_name().alias("f")).agg(F.min("at"), F.max("at")).count()
     assert files >= 4 and len(glob.glob(f"{path}/*.parquet")) >= 8
+
+
+def test_export_makes_payloads_after_the_user_is_known(spark):
+    """JSON texts were made below the join to the user, and moved by it; items meet their orders as bare lines."""
+    from mercato.plans import q_notify
+    from mercato.sources.binding import bind
+    from tests.conftest import SF_SMALL
+
+    items = {k: v for k, v in made(spark).items()}
+    plan = export.export_rows(items)._jdf.queryExecution().optimizedPlan().toString()
+    for part in plan.split("Project [")[1:]:
+        assert "Join" not in part or "to_json" not in part.split("Join", 1)[1].split("Project [", 1)[0]
+    d = bind(spark, SF_SMALL)
+    plan = d.owned_order_items()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("p_partkey") < plan.rindex("o_orderkey") and "concat_ws" not in plan.split("Join", 1)[1]
+    want = d.order_items.join(d.orders.selectExpr("id AS o", "user_id AS owner_id"), F.col("order_id") == F.col("o")).drop("o")
+    got = d.owned_order_items()
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "owner_id" not in q_notify.q_export_rows(d).columns

@@ -104,11 +104,12 @@ def q_attempt_limiter_late(d):
 @register("session_stream")
 def q_session_stream(d):
     """Every login that covers an event, as a stream-stream join over four micro-batches of either stream."""
-    from mercato.streaming.jobs import read_stream, run_available_now, session_stream
+    from mercato.streaming.jobs import files_for, read_stream, run_available_now, session_stream
 
-    path, schema = _events_input(d, "sessions-in", files_per_slice=1)
-    logins = read_stream(d.spark, path, schema, files_per_trigger=1).where(F.col("event_type").isin("signup", "click"))
-    events = read_stream(d.spark, path, schema, files_per_trigger=1)
+    files = files_for(d.source("events"))
+    path, schema = _events_input(d, "sessions-in", files_per_slice=files)
+    logins = read_stream(d.spark, path, schema, files_per_trigger=files).where(F.col("event_type").isin("signup", "click"))
+    events = read_stream(d.spark, path, schema, files_per_trigger=files)
     out = run_available_now(session_stream(logins.select(F.col("event_id").alias("id"), "user_id", "ts"), events), name="sessions")
     return _ntz(d.spark.read.parquet(out).select("user_id", "event_id", "ts", "login_id", "login_ts"),
                 "ts", "login_ts")
@@ -191,7 +192,7 @@ def q_request_status_stream(d):
     guards, seeded by one init row per request, over four micro-batches."""
     from mercato.plans.q_changes import status_events
     from mercato.session import scratch_path
-    from mercato.streaming.jobs import read_stream, request_status_stream, run_available_now, write_stream_input
+    from mercato.streaming.jobs import files_for, read_stream, request_status_stream, run_available_now, write_stream_input
 
     kinds = {"quoted": "quote", "in_progress": "accept", "declined": "decline", "delivered": "deliver", "paid": "pay"}
     ev = status_events(d)
@@ -206,8 +207,12 @@ def q_request_status_stream(d):
     rows = init.unionByName(ev.select("request_id", kind.alias("kind"), "status",
                                       F.col("seq").cast("string").alias("order_id"), "ts", "seq",
                                       F.lit(None).cast("timestamp_ntz").alias("init_at")))
-    path = write_stream_input(rows, scratch_path(d.spark, "status-in"), "ts", slices=4, files_per_slice=1)
-    out = run_available_now(request_status_stream(read_stream(d.spark, path, rows.schema, files_per_trigger=1)),
+    once = scratch_path(d.spark, "status-once")
+    rows.write.parquet(once)
+    rows = d.spark.read.parquet(once)
+    files = files_for(rows)
+    path = write_stream_input(rows, scratch_path(d.spark, "status-in"), "ts", slices=4, files_per_slice=files)
+    out = run_available_now(request_status_stream(read_stream(d.spark, path, rows.schema, files_per_trigger=files)),
                             mode="update", name="status")
     res = d.spark.read.parquet(out)
     last = res.groupBy("request_id").agg(F.max_by(F.struct("status", "updated_at", "quote_status"), F.col("batch")).alias("_l"))
@@ -221,19 +226,20 @@ def q_notification_stream(d):
     """All seven notification branches from one stream of changes in time order, over four micro-batches."""
     from mercato.plans.q_notify import change_frame
     from mercato.session import scratch_path
-    from mercato.streaming.jobs import read_stream, write_stream_input
+    from mercato.streaming.jobs import files_for, read_stream, write_stream_input
     from mercato.streaming.notifications import NotificationSink, notification_stream
 
     once = scratch_path(d.spark, "changes")
     change_frame(d).write.parquet(once)
     rows = d.spark.read.parquet(once)
-    path = write_stream_input(rows, scratch_path(d.spark, "changes-in"), "ts", slices=4, files_per_slice=1)
+    files = files_for(rows)
+    path = write_stream_input(rows, scratch_path(d.spark, "changes-in"), "ts", slices=4, files_per_slice=files)
     root = scratch_path(d.spark, "notify-out")
 
     def tables():
         return {"users": d.users, "service_requests": d.service_requests, "services": d.services}
 
-    q = notification_stream(read_stream(d.spark, path, rows.schema, files_per_trigger=1), root, tables,
+    q = notification_stream(read_stream(d.spark, path, rows.schema, files_per_trigger=files), root, tables,
                             trigger={"availableNow": True})
     q.awaitTermination()
     return NotificationSink(d.spark, root, tables).read("notifications")

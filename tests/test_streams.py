@@ -205,3 +205,33 @@ def test_one_call_counts_for_many_users(spark):
     assert [v.writes for v in handle.values.values()] == [1, 1] and handle.timers == [1050]
     assert call([(2, "n", 29, 29, False)]) == {2: (1, 2)}  # read before it came; the others had no rows
     assert call([(0, "n", 7, 7, False)], bucket=-1) == {None: (1, 1)}
+
+
+def test_a_slice_has_its_files_even_with_few_rows(spark):
+    """A micro-batch of so many files is then a slice, so times stay in order from batch to batch."""
+    df = spark.range(6).selectExpr("id", "CASE WHEN id < 4 THEN timestamp_ntz'2024-01-01 00:00:00' ELSE "
+                                         "timestamp_ntz'2024-01-02 00:00:00' + make_interval(0,0,0,id) END AS ts")
+    path = write_stream_input(df, scratch_path(spark, "t-files"), "ts", slices=4, files_per_slice=5)
+    assert len(spark.read.parquet(path).inputFiles()) == 20 and spark.read.parquet(path).count() == 6
+    out = run_available_now(read_stream(spark, path, df.schema, files_per_trigger=5), name="t-files")
+    ends = spark.read.parquet(out).groupBy("batch").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("batch").collect()
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]))
+
+
+def test_status_stream_reads_each_source_once(spark, monkeypatch):
+    """The events are stored before they are cut into slices: they were worked out again for each slice."""
+    from mercato.plans import q_streams
+    from mercato.streaming import jobs
+
+    class Cut(Exception):
+        pass
+
+    def cut(df, *args, **kw):
+        raise Cut(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(jobs, "write_stream_input", cut)
+    try:
+        q_streams.q_request_status_stream(bind(spark, SF_SMALL))
+        raise AssertionError("nothing was cut")
+    except Cut as e:
+        assert "Join" not in str(e) and "Relation" in str(e)

@@ -252,7 +252,7 @@ def own_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
     named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(text), "__g": F.hash(text)})
     each = F.struct("__h", "__g")
     shared = named.groupBy("__id").agg(F.min(each).alias("lo"), F.max(each).alias("hi")).where(
-        "lo <> hi or __id is null").select(F.col("__id").alias("shared"))
+        "lo <> hi or __id is null").select(F.col("__id").alias("__shared"))
     shared = written(shared, "shared-ids")
     if shared.isEmpty():
         return named.withColumn("__own", F.col("__id")).drop("__id", "__h", "__g"), False
@@ -261,12 +261,12 @@ def own_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
         number = F.lit((high or 0) + 1) + F.monotonically_increasing_id()
     else:  # no room above
         number = F.lit(min(low, 0) - 1) - F.monotonically_increasing_id()
-    odd = named.join(shared, F.col("__id").eqNullSafe(F.col("shared")), "left_semi").select("__id", "__h", "__g").distinct()
-    odd = written(odd.withColumn("number", number).toDF("i", "h", "g", "number"), "own-ids")
-    named = named.join(odd, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h")) & (F.col("__g") == F.col("g")),
+    odd = named.join(shared, F.col("__id").eqNullSafe(F.col("__shared")), "left_semi").select("__id", "__h", "__g").distinct()
+    odd = written(odd.withColumn("number", number).toDF("__i", "__oh", "__og", "__number"), "own-ids")
+    named = named.join(odd, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__oh")) & (F.col("__g") == F.col("__og")),
                        "left")
-    return named.withColumn("__own", F.coalesce("number", "__id")).drop(
-        "__id", "__h", "__g", "i", "h", "g", "number"), True
+    return named.withColumn("__own", F.coalesce("__number", "__id")).drop(
+        "__id", "__h", "__g", "__i", "__oh", "__og", "__number"), True
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
